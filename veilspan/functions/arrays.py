@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,8 +17,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def map_literal(values: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+@lru_cache
+def _map(sql: str) -> Column:
+    return F.expr(sql)
+
+
+def map_literal(values: dict[str, str] | dict[str, int]) -> Column:
+    """A constant map of plain words, as one SQL expression."""
+    return _map("map(" + ", ".join(f"{k!r}, {v!r}" for k, v in values.items()) + ")")
+
+
+def ranks(names: Iterable[str]) -> Column:
+    return map_literal({name: i for i, name in enumerate(names)})
 
 
 def lookup(values: dict[str, str], key: Column, default: Column) -> Column:

@@ -7,6 +7,7 @@ count code points, half open. All of it is one narrow stage over the text table.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +98,13 @@ def spans_of(text: Column, kinds: Sequence[str] = TYPES, checked: bool = True) -
     return spans
 
 
+@lru_cache
+def text_spans(text: str, kinds: tuple[str, ...] = TYPES, checked: bool = True) -> Column:
+    """``spans_of`` a named column. Columns do not change, and building this one takes thousands
+    of calls into the JVM, which every micro-batch would repeat."""
+    return spans_of(F.col(text), kinds, checked)
+
+
 def _passes(span: Column) -> Column:
     result = F.lit(True)
     for kind, check in _CHECKS.items():
@@ -104,19 +112,21 @@ def _passes(span: Column) -> Column:
     return result
 
 
-def counts_of(text: Column, kinds: Sequence[str] = TYPES) -> Column:
+@lru_cache
+def text_counts(text: str, kinds: tuple[str, ...] = TYPES) -> Column:
     """``array<struct<type, count>>`` of the detectors that found something; no positions."""
+    col = F.col(text)
     nothing = F.array().cast("array<struct<type:string,count:bigint>>")
 
     def one(kind: str) -> Column:
         return F.array(
             F.struct(
                 F.lit(kind).alias("type"),
-                F.size(match_values(text, kind)).cast("bigint").alias("count"),
+                F.size(match_values(col, kind)).cast("bigint").alias("count"),
             )
         )
 
-    return F.filter(gated(text, kinds, one, nothing), lambda c: c["count"] > 0)
+    return F.filter(gated(col, kinds, one, nothing), lambda c: c["count"] > 0)
 
 
 def holds_pii(text: Column, kinds: Sequence[str] = TYPES) -> Column:
@@ -155,7 +165,7 @@ def detect(
 ) -> DataFrame:
     """Add the span array. With ``strip`` the text column becomes the stripped text, which is
     what the offsets refer to."""
-    spans = spans_of(F.col(text), types).alias(out)
+    spans = text_spans(text, tuple(types)).alias(out)
     # Through a generator, because a filter on a plain projected column would be pushed below
     # it and repeat the whole scan there.
     return prepared(df, text, strip).select("*", F.inline(F.array(F.struct(spans))))
@@ -169,7 +179,7 @@ def detect_spans(
     strip: bool = True,
 ) -> DataFrame:
     """Span table ``keys, type, value, start, end``, one row per match."""
-    return prepared(df, text, strip).select(*keys, F.inline(spans_of(F.col(text), types)))
+    return prepared(df, text, strip).select(*keys, F.inline(text_spans(text, tuple(types))))
 
 
 def candidate_spans(
@@ -181,7 +191,7 @@ def candidate_spans(
 ) -> DataFrame:
     """Span table before the card and address checks."""
     return prepared(df, text, strip).select(
-        *keys, F.inline(spans_of(F.col(text), types, checked=False))
+        *keys, F.inline(text_spans(text, tuple(types), checked=False))
     )
 
 

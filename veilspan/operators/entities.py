@@ -251,7 +251,6 @@ def _places(text: str, values: Sequence[str]) -> list[int | None]:
     return result
 
 
-@F.pandas_udf("array<int>")
 def _locate(texts: pd.Series, values: pd.Series) -> pd.Series:
     return pd.Series(
         [
@@ -264,7 +263,8 @@ def _locate(texts: pd.Series, values: pd.Series) -> pd.Series:
 def located(text: Column, entities: Column) -> Column:
     """Start of each entity of a row, or null. Each search depends on the one before it, so this runs in
     Arrow batches in Python; only the rows themselves are needed, nothing is shuffled."""
-    return _locate(text, F.transform(entities, lambda e: e["value"]))
+    locate = F.pandas_udf(_locate, "array<int>")
+    return locate(text, F.transform(entities, lambda e: e["value"]))
 
 
 def _spans_at(entities: Column, starts: Column) -> Column:

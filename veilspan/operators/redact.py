@@ -8,14 +8,15 @@ which damages the text, and may leak part of it, where spans overlap.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions.arrays import blocks, let, piece
+from veilspan.functions.arrays import blocks, let, piece, ranks
 from veilspan.functions.patterns import TYPES
 from veilspan.functions.tokens import as_session, entity_of, label_of, token_of
-from veilspan.operators.detect import no_spans, prepared, spans_of
+from veilspan.operators.detect import no_spans, prepared, text_spans
 from veilspan.operators.lookup import HOT_ROWS, attach_values
 from veilspan.operators.spans import covered, merged, sorted_spans
 from veilspan.operators.tables import cut_lineage
@@ -63,21 +64,42 @@ def redactable(
     """Stripped text plus the spans to be replaced, in the order the mapping uses."""
     if overlap not in ("cover", "splice"):
         raise ValueError(f"overlap must be 'cover' or 'splice', not {overlap!r}")
-    col = F.col(text)
-    found = spans_of(col, types)
-    if extra is not None:
-        found = let(found, lambda f: merged(f, F.coalesce(F.col(extra), no_spans())))
-    if overlap == "cover":
-        found = let(
-            found,
-            lambda f: F.when(
-                F.size(f) > 1, let(blocks(col), lambda cut: covered(f, cut))
-            ).otherwise(f),
-        )
+    found = _to_replace(text, tuple(types), extra, overlap)
     # A generator, so that later filters on the spans do not repeat the scan.
     return prepared(df, text, strip).select("*", F.inline(F.array(F.struct(found.alias(spans)))))
 
 
+@lru_cache
+def _to_replace(text: str, types: tuple[str, ...], extra: str | None, overlap: str) -> Column:
+    found = text_spans(text, types)
+    if extra is not None:
+        found = let(found, lambda f: merged(f, F.coalesce(F.col(extra), no_spans())))
+    if overlap == "splice":
+        return found
+    return let(
+        found,
+        lambda f: F.when(
+            F.size(f) > 1, let(blocks(F.col(text)), lambda cut: covered(f, cut))
+        ).otherwise(f),
+    )
+
+
+@lru_cache
+def _hashed(text: str, spans: str, overlap: str, session: str | Column, secret: str) -> Column:
+    who = as_session(session)
+    return _spliced(
+        F.col(text),
+        F.col(spans),
+        lambda s: token_of(who, entity_of(s["type"]), s["value"], secret),
+        overlap,
+    )
+
+
+@lru_cache
+def _labelled(text: str, spans: str, overlap: str) -> Column:
+    return _spliced(F.col(text), F.col(spans), lambda s: label_of(s["type"]), overlap)
+
+
 def redact(
     df: DataFrame,
     mode: str = "label",
@@ -119,13 +141,12 @@ def scrub_labels(
 ) -> DataFrame:
     """Strip, detect and replace by labels in one narrow stage."""
     work = redactable(df, text, types, extra, overlap, strip, "_spans")
-    done = _spliced(F.col(text), F.col("_spans"), lambda s: label_of(s["type"]), overlap)
-    return work.withColumn(out or text, done).drop("_spans")
+    return work.withColumn(out or text, _labelled(text, "_spans", overlap)).drop("_spans")
 
 
 def _mapping_entries(spans: Column, by_start: bool) -> Column:
     """``array<struct<label, value>>``: each label with its first value."""
-    rank = F.create_map(*[F.lit(x) for i, k in enumerate(TYPES) for x in (k, i)])
+    rank = ranks(TYPES)
     keyed = F.array_sort(
         F.transform(
             spans,
@@ -175,7 +196,7 @@ def scrub_with_mapping(
         work.withColumn(
             mapping, F.map_from_entries(_mapping_entries(spans, by_start=extra is not None))
         )
-        .withColumn(text, _spliced(F.col(text), spans, lambda s: label_of(s["type"]), overlap))
+        .withColumn(text, _labelled(text, "_spans", overlap))
         .drop("_spans")
     )
 
@@ -232,11 +253,12 @@ def scrub_tokens(
     work = redactable(df, text, types, extra, overlap, strip, "_spans")
     col, spans = F.col(text), F.col("_spans")
 
-    def plain(s: Column) -> Column:
-        return token_of(who, entity_of(s["type"]), s["value"], secret)
+    def hashed() -> DataFrame:
+        make = _hashed if isinstance(session, str) else _hashed.__wrapped__
+        return work.withColumn(text, make(text, "_spans", overlap, session, secret)).drop("_spans")
 
     if vault is None:
-        return work.withColumn(text, _spliced(col, spans, plain, overlap)).drop("_spans")
+        return hashed()
 
     repaired = _repaired(vault)
     sample = repaired.limit(inline_tokens + 1)
@@ -244,7 +266,7 @@ def scrub_tokens(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("value")), F.lit(0)).alias("chars")
     ).first()
     if size["n"] == 0:
-        return work.withColumn(text, _spliced(col, spans, plain, overlap)).drop("_spans")
+        return hashed()
 
     if size["n"] <= inline_tokens and size["chars"] <= INLINE_CHARS:
         rows = repaired.collect()
@@ -256,7 +278,7 @@ def scrub_tokens(
         def by(s: Column) -> Column:
             key = _identity(who, s)
             fixed = F.when(s["value"].isin(values), F.try_element_at(tokens, key))
-            return F.coalesce(fixed, plain(s))
+            return F.coalesce(fixed, token_of(who, entity_of(s["type"]), s["value"], secret))
 
         return work.withColumn(text, _spliced(col, spans, by, overlap)).drop("_spans")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions.arrays import blocks, let, piece, running
+from veilspan.functions.arrays import blocks, let, piece, ranks, running
 from veilspan.functions.patterns import LABELS
 from veilspan.operators.detect import SPANS, no_spans
 
@@ -111,7 +111,7 @@ def covered(spans: Column, cut: Column) -> Column:
     The type is that of the longest member, ties by registry order. A span opens a new group
     when it starts at or after the end of everything before it.
     """
-    rank = F.create_map(*[F.lit(x) for i, k in enumerate(LABELS) for x in (k, i)])
+    rank = ranks(LABELS)
 
     def best(members: Column) -> Column:
         return F.array_min(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions.patterns import TYPES
-from veilspan.operators.detect import counts_of, gated, match_values, prepared
+from veilspan.operators.detect import gated, match_values, prepared, text_counts
 
 
 def pii_summary(
@@ -19,7 +19,7 @@ def pii_summary(
     strip: bool = True,
 ) -> DataFrame:
     """``keys, type, count`` per text. Each row is one text, so nothing is shuffled."""
-    return prepared(df, text, strip).select(*keys, F.inline(counts_of(F.col(text), types)))
+    return prepared(df, text, strip).select(*keys, F.inline(text_counts(text, tuple(types))))
 
 
 def summarize_spans(spans: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -17,16 +17,31 @@ def read_texts(
     keys: Sequence[str] = (),
     schema: StructType | str | None = None,
     options: dict[str, str] | None = None,
+    even_out: bool = False,
 ) -> DataFrame:
     """``keys`` and the text (as ``text``) of a source; other columns are never read.
 
     ``fmt`` is any batch format of the session: parquet, orc, json, csv, text, ... Plain text
     files give one row per line, or per file with ``wholetext``; their column is ``value``.
+    ``even_out`` deals the rows of a few large files out over all cores.
     """
     reader = spark.read.format(fmt).options(**(options or {}))
     if schema is not None:
         reader = reader.schema(schema)
-    return _texts(reader.load(path), fmt, text, keys)
+    df = _texts(reader.load(path), fmt, text, keys)
+    return spread(df, keys) if even_out else df
+
+
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of a few files dealt out over all cores by key.
+
+    A file with one row group is one task, whatever its size. A source with enough files to
+    keep the cores busy stays as it is, so that a large corpus is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= 2 * cores:
+        return df
+    return df.repartition(2 * cores, *keys)
 
 
 def stream_texts(
