@@ -56,7 +56,7 @@ def documents(spark: SparkSession, sf_dir: str, keys=("doc_id",)) -> DataFrame:
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = {n: table(spark, sf_dir, n) for n in ("orders", "customer", "nation")}
-    return spark.sql(PROMPTS, **named)
+    return spread(spark.sql(PROMPTS, **named), ["prompt_id"])
 
 
 def ner_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,12 +87,15 @@ _START = f"(?<!{_WORD})"
 # An e-mail may only start at a word boundary. All boundaries inside one run of address
 # characters succeed or fail together, so only the first one in a run (or the one where the
 # previous match stopped) needs trying; otherwise a long run without `@` costs quadratic
-# time. Runs that open with more than 16 punctuation characters fall back to trying each.
-_LOCAL = "A-Za-z0-9._%+-"
+# time. The first one follows the punctuation that opens the run; after four or more such
+# characters every boundary is tried. Look-behinds of fixed length keep this cheap.
+_LOCAL = "[A-Za-z0-9._%+-]"
 _PUNCT = "[.%+-]"
+_OPENING = "|".join(
+    [f"(?<=(?<!{_LOCAL}){_PUNCT * n})" for n in (1, 2, 3)] + [f"(?<={_PUNCT * 4})"]
+)
 _EMAIL_START = (
-    f"(?:(?<!{_WORD})(?={_WORD})"
-    f"(?:(?<!{_PUNCT})|(?<={_PUNCT})(?:(?<=(?:^|[^{_LOCAL}]){_PUNCT}{{1,16}})|(?<={_PUNCT}{{17}})))"
+    f"(?:(?<!{_LOCAL})(?={_WORD})|(?<={_PUNCT})(?={_WORD})(?:{_OPENING})"
     rf"|\G(?<={_WORD})(?={_PUNCT}))"
 )
 

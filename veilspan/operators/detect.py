@@ -6,7 +6,7 @@ count code points, half open. All of it is one narrow stage over the text table.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +16,10 @@ from veilspan.functions.arrays import let, running
 from veilspan.functions.checks import is_card, is_ipv4
 from veilspan.functions.patterns import DIGIT_GATE, TYPES, VALIDATED, java_pattern
 from veilspan.functions.text import stripped
+from veilspan.operators.tables import computed
 
 SPANS = "array<struct<type:string,value:string,start:int,end:int>>"
+_MARK = "\u2060"
 _CHECKS = {"creditCard": is_card, "ipAddress": is_ipv4}
 
 
@@ -44,6 +46,40 @@ def gated(text: Column, kinds: Sequence[str], per_kind, nothing: Column) -> Colu
     return F.when(text.isNull(), nothing).otherwise(F.concat(*parts))
 
 
+def split_around(text: Column, pattern: str) -> Column:
+    """``[gap, match, gap, match, ..., gap]`` in one scan.
+
+    The matches are set between marks and the text is cut there: splitting on one plain
+    character needs no regex. Stripped texts never hold the mark; for one that does, matches
+    and gaps are found by two scans.
+    """
+    marked = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    twice = F.flatten(
+        F.zip_with(
+            F.split(text, pattern, -1),
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+            lambda gap, match: F.when(match.isNull(), F.array(gap)).otherwise(F.array(gap, match)),
+        )
+    )
+    return F.when(text.contains(_MARK), twice).otherwise(marked)
+
+
+def place(parts: Column, span: Callable[[Column, Column, Column, Column], Column]) -> Column:
+    """``span(value, start, end, ord)`` for each match in ``split_around``'s result."""
+    first = F.length(parts[0])
+    single = F.array(span(parts[1], first, first + F.length(parts[1]), F.lit(0)))
+    several = let(
+        running(F.transform(parts, F.length), lambda a, b: a + b),
+        lambda before: F.transform(
+            F.sequence(F.lit(0), F.shiftright(F.size(parts) - 3, 1)),
+            lambda j: span(
+                F.get(parts, 2 * j + 1), F.get(before, 2 * j + 1), F.get(before, 2 * j + 2), j
+            ),
+        ),
+    )
+    return F.when(F.size(parts) == 3, single).otherwise(several)
+
+
 def match_values(text: Column, kind: str) -> Column:
     """Values of one detector in text order, after its check."""
     found = _matches(text, kind)
@@ -53,42 +89,28 @@ def match_values(text: Column, kind: str) -> Column:
 def spans_of(text: Column, kinds: Sequence[str] = TYPES, checked: bool = True) -> Column:
     """Spans of the given detectors in registry order, then position.
 
-    A match starts after all gaps and matches before it; the gaps are what a split on the
-    same pattern leaves over. A match that fails its check still uses up its characters.
+    A match starts after all gaps and matches before it. A match that fails its check still
+    uses up its characters.
     """
 
-    nothing = F.array().cast("array<struct<type:string,found:array<string>,gaps:array<int>>>")
+    nothing = F.array().cast("array<struct<type:string,parts:array<string>>>")
 
     def scanned(kind: str) -> Column:
         return let(
-            _matches(text, kind),
-            lambda m: F.when(
-                F.size(m) > 0,
-                F.array(
-                    F.struct(
-                        F.lit(kind).alias("type"),
-                        m.alias("found"),
-                        F.transform(F.split(text, java_pattern(kind), -1), F.length).alias("gaps"),
-                    )
-                ),
+            split_around(text, java_pattern(kind)),
+            lambda parts: F.when(
+                F.size(parts) > 1, F.array(F.struct(F.lit(kind).alias("type"), parts.alias("parts")))
             ).otherwise(nothing),
         )
 
     def located(scan: Column) -> Column:
-        found, gaps = scan["found"], scan["gaps"]
-        steps = F.zip_with(
-            found, F.slice(gaps, F.lit(1), F.size(found)), lambda v, g: F.length(v) + g
-        )
-        return let(
-            running(steps, lambda a, b: a + b),
-            lambda before: F.transform(
-                found,
-                lambda v, i: F.struct(
-                    scan["type"].alias("type"),
-                    v.alias("value"),
-                    (F.get(before, i) + F.get(gaps, i)).alias("start"),
-                    F.get(before, i + 1).alias("end"),
-                ),
+        return place(
+            scan["parts"],
+            lambda value, start, end, _: F.struct(
+                scan["type"].alias("type"),
+                value.alias("value"),
+                start.alias("start"),
+                end.alias("end"),
             ),
         )
 
@@ -165,10 +187,7 @@ def detect(
 ) -> DataFrame:
     """Add the span array. With ``strip`` the text column becomes the stripped text, which is
     what the offsets refer to."""
-    spans = text_spans(text, tuple(types)).alias(out)
-    # Through a generator, because a filter on a plain projected column would be pushed below
-    # it and repeat the whole scan there.
-    return prepared(df, text, strip).select("*", F.inline(F.array(F.struct(spans))))
+    return computed(prepared(df, text, strip), **{out: text_spans(text, tuple(types))})
 
 
 def detect_spans(

@@ -19,7 +19,7 @@ from veilspan.functions.tokens import as_session, entity_of, label_of, token_of
 from veilspan.operators.detect import no_spans, prepared, text_spans
 from veilspan.operators.lookup import HOT_ROWS, attach_values
 from veilspan.operators.spans import covered, merged, sorted_spans
-from veilspan.operators.tables import cut_lineage
+from veilspan.operators.tables import computed, cut_lineage
 
 # Repaired tokens that may travel inside the plan; beyond that they are joined.
 INLINE_TOKENS = 2_000
@@ -64,24 +64,22 @@ def redactable(
     """Stripped text plus the spans to be replaced, in the order the mapping uses."""
     if overlap not in ("cover", "splice"):
         raise ValueError(f"overlap must be 'cover' or 'splice', not {overlap!r}")
-    found = _to_replace(text, tuple(types), extra, overlap)
-    # A generator, so that later filters on the spans do not repeat the scan.
-    return prepared(df, text, strip).select("*", F.inline(F.array(F.struct(found.alias(spans)))))
+    work = prepared(df, text, strip).withColumn(spans, text_spans(text, tuple(types)))
+    if extra is not None:
+        work = work.withColumn(spans, _merged(spans, extra))
+    return computed(work, **{spans: _covered(text, spans) if overlap == "cover" else F.col(spans)})
 
 
 @lru_cache
-def _to_replace(text: str, types: tuple[str, ...], extra: str | None, overlap: str) -> Column:
-    found = text_spans(text, types)
-    if extra is not None:
-        found = let(found, lambda f: merged(f, F.coalesce(F.col(extra), no_spans())))
-    if overlap == "splice":
-        return found
-    return let(
-        found,
-        lambda f: F.when(
-            F.size(f) > 1, let(blocks(F.col(text)), lambda cut: covered(f, cut))
-        ).otherwise(f),
-    )
+def _merged(spans: str, extra: str) -> Column:
+    return merged(F.col(spans), F.coalesce(F.col(extra), no_spans()))
+
+
+@lru_cache
+def _covered(text: str, spans: str) -> Column:
+    return F.when(
+        F.size(spans) > 1, let(blocks(F.col(text)), lambda cut: covered(F.col(spans), cut))
+    ).otherwise(F.col(spans))
 
 
 @lru_cache
@@ -127,7 +125,7 @@ def redact(
         )
     else:
         result = _spliced(col, F.col(spans), by, overlap)
-    return df.withColumn(out or text, result)
+    return computed(df, **{out or text: result})
 
 
 def scrub_labels(
@@ -141,10 +139,12 @@ def scrub_labels(
 ) -> DataFrame:
     """Strip, detect and replace by labels in one narrow stage."""
     work = redactable(df, text, types, extra, overlap, strip, "_spans")
-    return work.withColumn(out or text, _labelled(text, "_spans", overlap)).drop("_spans")
+    done = _labelled(text, "_spans", overlap)
+    return computed(work, **{out or text: done}).drop("_spans")
 
 
-def _mapping_entries(spans: Column, by_start: bool) -> Column:
+@lru_cache
+def _mapping_entries(spans: str, by_start: bool) -> Column:
     """``array<struct<label, value>>``: each label with its first value."""
     rank = ranks(TYPES)
     keyed = F.array_sort(
@@ -191,14 +191,12 @@ def scrub_with_mapping(
     Entries come in registry order, or in text order when extra spans were merged.
     """
     work = redactable(df, text, types, extra, overlap, strip, "_spans")
-    spans = F.col("_spans")
-    return (
-        work.withColumn(
-            mapping, F.map_from_entries(_mapping_entries(spans, by_start=extra is not None))
-        )
-        .withColumn(text, _labelled(text, "_spans", overlap))
-        .drop("_spans")
-    )
+    entries = _mapping_entries("_spans", by_start=extra is not None)
+    columns = {
+        text: _labelled(text, "_spans", overlap),
+        mapping: F.map_from_entries(entries),
+    }
+    return computed(work, **columns).drop("_spans")
 
 
 def label_mapping(df: DataFrame, keys: Sequence[str], mapping: str = "mapping") -> DataFrame:
@@ -255,7 +253,8 @@ def scrub_tokens(
 
     def hashed() -> DataFrame:
         make = _hashed if isinstance(session, str) else _hashed.__wrapped__
-        return work.withColumn(text, make(text, "_spans", overlap, session, secret)).drop("_spans")
+        done = make(text, "_spans", overlap, session, secret)
+        return computed(work, **{text: done}).drop("_spans")
 
     if vault is None:
         return hashed()
@@ -280,7 +279,7 @@ def scrub_tokens(
             fixed = F.when(s["value"].isin(values), F.try_element_at(tokens, key))
             return F.coalesce(fixed, token_of(who, entity_of(s["type"]), s["value"], secret))
 
-        return work.withColumn(text, _spliced(col, spans, by, overlap)).drop("_spans")
+        return computed(work, **{text: _spliced(col, spans, by, overlap)}).drop("_spans")
 
     # Joined form. Rows without spans never move; the others are written once, because the
     # join reads them twice.
@@ -309,9 +308,8 @@ def scrub_tokens(
             ).alias("token"),
         ),
     )
-    done = with_tokens.withColumn(
-        text, let(numbered, lambda n: _spliced(col, n, lambda s: s["token"], overlap))
-    ).drop("_spans", "_session", "_tokens")
+    replaced = let(numbered, lambda n: _spliced(col, n, lambda s: s["token"], overlap))
+    done = computed(with_tokens, **{text: replaced}).drop("_spans", "_session", "_tokens")
     return without.unionByName(done)
 
 

@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions.arrays import running, let
+from veilspan.functions.arrays import let
 from veilspan.functions.patterns import TOKEN
 from veilspan.functions.text import stripped
 from veilspan.functions.tokens import as_session
+from veilspan.operators.detect import place, split_around
 from veilspan.operators.lookup import HOT_ROWS, attach_values
+from veilspan.operators.tables import computed
 
 
 def token_test(text: Column) -> Column:
@@ -32,34 +34,15 @@ def extract_tokens(df: DataFrame, keys: Sequence[str], text: str = "text") -> Da
     """``keys, ord, token, start, end`` for every token occurrence."""
     col = F.col(text)
 
-    def placed(found: Column) -> Column:
-        gaps = F.transform(F.split(col, TOKEN, -1), F.length)
-
-        def rows(gap: Column, before: Column) -> Column:
-            return F.transform(
-                found,
-                lambda t, i: F.struct(
-                    i.alias("ord"),
-                    t.alias("token"),
-                    (F.get(before, i) + F.get(gap, i)).alias("start"),
-                    F.get(before, i + 1).alias("end"),
-                ),
-            )
-
-        return let(
-            gaps,
-            lambda gap: let(
-                running(
-                    F.zip_with(
-                        found, F.slice(gap, F.lit(1), F.size(found)), lambda t, g: F.length(t) + g
-                    ),
-                    lambda a, b: a + b,
-                ),
-                lambda before: rows(gap, before),
+    def found(parts: Column) -> Column:
+        return place(
+            parts,
+            lambda token, start, end, ord: F.struct(
+                ord.alias("ord"), token.alias("token"), start.alias("start"), end.alias("end")
             ),
         )
 
-    return has_tokens(df, text).select(*keys, F.inline(let(_tokens(col), placed)))
+    return has_tokens(df, text).select(*keys, F.inline(let(split_around(col, TOKEN), found)))
 
 
 def restore_tokens(
@@ -81,21 +64,18 @@ def restore_tokens(
     table = vault.select("session", F.col("token").alias("key"), "value")
     valued = attach_values(hits, _tokens(col), table, "_session", "_values", hot_rows)
 
-    def fill(gaps: Column, found: Column) -> Column:
-        return F.array_join(
-            F.transform(
-                gaps,
-                lambda g, i: F.concat(
-                    g, F.coalesce(F.get(F.col("_values"), i), F.get(found, i), F.lit(""))
-                ),
-            ),
-            "",
-        )
-
-    filled = let(
-        F.split(col, TOKEN, -1), lambda gaps: let(_tokens(col), lambda found: fill(gaps, found))
+    # Odd parts are the tokens, in the order of their values.
+    values = F.col("_values")
+    filled = F.array_join(
+        F.transform(
+            split_around(col, TOKEN),
+            lambda part, i: F.when(
+                i % 2 == 1, F.coalesce(F.get(values, F.shiftright(i, 1)), part)
+            ).otherwise(part),
+        ),
+        "",
     )
-    return plain.unionByName(valued.withColumn(text, filled).select(*columns))
+    return plain.unionByName(computed(valued, **{text: filled}).select(*columns))
 
 
 def unresolved_tokens(

@@ -1,11 +1,24 @@
-"""Writing an intermediate table to the shared checkpoint folder."""
+"""Keeping costly results: computed columns, and tables in the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add or replace columns that are costly to compute.
+
+    They pass through a generator. A filter on an ordinary computed column is pushed below it
+    and computes it a second time there.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    values = F.struct(*[column.alias(name) for name, column in columns.items()])
+    order = df.columns + [name for name in columns if name not in df.columns]
+    return df.select(*kept, F.inline(F.array(values))).select(*order)
 
 
 def work_folder(spark: SparkSession) -> str:
