@@ -14,7 +14,7 @@ from veilspan.functions.tokens import entity_of, label_of
 from veilspan.operators.entities import TOKENS, entities_of, entity_spans, ner_type
 from veilspan.operators.spans import merge_span_tables, overlaps
 from veilspan.operators.summary import summarize_spans
-from veilspan.operators.tables import new_path
+from veilspan.operators.tables import cut_lineage, new_path
 from veilspan.operators.vault import vault_entries
 from veilspan.sources.texts import stream_texts
 from veilspan.streaming.streams import scrub_token_stream
@@ -223,8 +223,10 @@ def vault_collisions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scrubbed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A scrubbed table and its vault, written as one job leaves them for the next."""
     vault = build_vault(spark, sf)
-    return v.scrub_tokens(corpus(spark, sf), secret=SECRET, vault=vault), vault
+    scrubbed = v.scrub_tokens(corpus(spark, sf), secret=SECRET, vault=vault)
+    return cut_lineage(scrubbed), vault
 
 
 def has_tokens(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.operators.tables import cut_lineage
+
 # Rows of one key that a single task may join; hotter keys are split over several tasks.
 HOT_ROWS = 1_000_000
 
 
-def _salts(rows: Column, hot_rows: int) -> Column:
-    return F.ceil(rows / hot_rows).cast("int")
+def _salts(rows: str, hot_rows: int) -> Column:
+    return F.ceil(F.col(rows) / hot_rows).cast("int")
+
+
+def _each_salt(rows: str, hot_rows: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), _salts(rows, hot_rows) - 1)).alias("_salt")
 
 
 def _row_hash(df: DataFrame) -> Column:
@@ -38,71 +44,87 @@ def attach_values(
     they would all meet in one task for nothing.
 
     Rows with equal key lists share one lookup, so copies of a text collapse before the first
-    shuffle. Every hot key (looked up by more than ``hot_rows`` lists) and every hot list (held
-    by more than ``hot_rows`` rows) is split by a salt. Only those travel by broadcast, and of
-    them there are at most (rows / hot_rows).
+    shuffle. The distinct lists are written once and everything but the last join works on
+    them. A hot key (in more than ``hot_rows`` lists) or hot list (held by more than ``hot_rows``
+    rows) is split by a salt. Only the names of the hot ones travel by broadcast, and of them
+    there are at most (rows / hot_rows).
     """
-    rows = df.withColumn("_keys", keys).withColumn(
-        "_list", F.sha2(F.array_join("_keys", "\x1f"), 256)
-    )
-    uses = (
+    rows = df.withColumn("_list", F.sha2(F.array_join(keys, "\x1f"), 256))
+    uses = cut_lineage(
         rows.select(
-            F.col(session).alias("session"), "_list", F.posexplode("_keys").alias("pos", "key")
+            F.col(session).alias("session"), "_list", F.posexplode(keys).alias("pos", "key")
         )
         .groupBy("session", "_list", "pos", "key")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    lists_per_key = uses.groupBy("session", "key").agg(F.count(F.lit(1)).alias("lists"))
+    size = uses.agg(F.count(F.lit(1)).alias("uses"), F.max("rows").alias("most")).first()
+    lists = _values_of_lists(uses, table, out, hot_rows, salted=size["uses"] > hot_rows)
+
+    if (size["most"] or 0) <= hot_rows:
+        lists = lists.select(F.col("session").alias("_s"), F.col("_list").alias("_l"), out)
+        same = (F.col(session) == F.col("_s")) & (F.col("_list") == F.col("_l"))
+        return rows.join(lists, same, "left").drop("_list", "_s", "_l")
+
+    lists = lists.select(
+        F.col("session").alias("_s"), F.col("_list").alias("_l"), out, _each_salt("rows", hot_rows)
+    )
+    hot = uses.filter((F.col("pos") == 0) & (F.col("rows") > hot_rows)).select(
+        F.col("session").alias("_hs"),
+        F.col("_list").alias("_hl"),
+        _salts("rows", hot_rows).alias("_salts"),
+    )
+    is_hot = (F.col(session) == F.col("_hs")) & (F.col("_list") == F.col("_hl"))
+    own_salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(_row_hash(df), "_salts"))
+    same = (
+        (F.col(session) == F.col("_s"))
+        & (F.col("_list") == F.col("_l"))
+        & (F.col("_own") == F.col("_salt"))
+    )
+    return (
+        rows.join(F.broadcast(hot), is_hot, "left")
+        .withColumn("_own", own_salt)
+        .join(lists, same, "left")
+        .drop("_list", "_hs", "_hl", "_salts", "_own", "_s", "_l", "_salt")
+    )
+
 
+def _values_of_lists(
+    uses: DataFrame, table: DataFrame, out: str, hot_rows: int, salted: bool
+) -> DataFrame:
+    """``session, _list, out, rows``. Each distinct key meets the table once; the values then go
+    to the lists that hold the key."""
+    per_key = uses.groupBy("session", "key").agg(F.count(F.lit(1)).alias("lists"))
     found = (
-        table.join(lists_per_key, ["session", "key"])
+        table.select("session", "key", "value")
+        .join(per_key, ["session", "key"])
         .groupBy("session", "key")
         .agg(
-            F.min("value").alias("value"), F.max("value").alias("other"), F.first("lists").alias("lists")
+            F.min("value").alias("value"),
+            F.max("value").alias("other"),
+            F.max("lists").alias("lists"),
         )
         .filter(F.col("value") == F.col("other"))
-        .select(
-            "session",
-            "key",
-            "value",
-            F.explode(F.sequence(F.lit(0), _salts(F.col("lists"), hot_rows) - 1)).alias("salt"),
-        )
-    )
-    hot_keys = lists_per_key.filter(F.col("lists") > hot_rows).select(
-        "session", "key", _salts(F.col("lists"), hot_rows).alias("salts")
-    )
-    salted_uses = uses.join(F.broadcast(hot_keys), ["session", "key"], "left").withColumn(
-        "salt", F.pmod(F.hash("_list", "pos"), F.coalesce("salts", F.lit(1)))
     )
-    lists = (
-        salted_uses.join(found, ["session", "key", "salt"], "left")
+    on = ["session", "key"]
+    if salted:
+        hot = per_key.filter(F.col("lists") > hot_rows).select(
+            *on, _salts("lists", hot_rows).alias("_salts")
+        )
+        own_salt = F.pmod(F.hash("_list", "pos"), F.coalesce("_salts", F.lit(1)))
+        uses = uses.join(F.broadcast(hot), on, "left").withColumn("_salt", own_salt)
+        found = found.select(*on, "value", _each_salt("lists", hot_rows))
+        on = [*on, "_salt"]
+    return (
+        uses.join(found.select(*on, "value"), on, "left")
         .groupBy("session", "_list")
         .agg(
             F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("pairs"),
             F.max("rows").alias("rows"),
         )
         .select(
-            F.col("session").alias("_s"),
-            F.col("_list").alias("_l"),
+            "session",
+            "_list",
             F.transform("pairs", lambda p: p["value"]).alias(out),
-            F.explode(F.sequence(F.lit(0), _salts(F.col("rows"), hot_rows) - 1)).alias("_salt2"),
+            "rows",
         )
     )
-    hot_lists = uses.filter((F.col("pos") == 0) & (F.col("rows") > hot_rows)).select(
-        F.col("session").alias("_hs"), F.col("_list").alias("_hl"),
-        _salts(F.col("rows"), hot_rows).alias("_salts"),
-    )
-    salted_rows = rows.join(
-        F.broadcast(hot_lists),
-        (F.col(session) == F.col("_hs")) & (F.col("_list") == F.col("_hl")),
-        "left",
-    ).withColumn(
-        "_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(_row_hash(df), "_salts"))
-    )
-    return salted_rows.join(
-        lists,
-        (F.col(session) == F.col("_s"))
-        & (F.col("_list") == F.col("_l"))
-        & (F.col("_salt") == F.col("_salt2")),
-        "left",
-    ).drop("_keys", "_list", "_hs", "_hl", "_salts", "_salt", "_s", "_l", "_salt2")
