@@ -258,7 +258,7 @@ def unresolved_tokens(spark: SparkSession, sf: str) -> DataFrame:
     twice = vault.filter(F.col("entity") == "zip").withColumn("value", F.reverse("value"))
     twice = twice.withColumn("value", F.concat("value", F.lit("?")))
     broken = vault.filter(F.col("entity") != "date").unionByName(twice)
-    return v.unresolved_tokens(scrubbed, broken, KEYS)
+    return v.unresolved_tokens(scrubbed, broken, KEYS, hot_rows=500)
 
 
 def round_trip_check(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _CHUNK = 256
-_BLOCK = 2048
+_BLOCK_BITS = 11
+_BLOCK = 1 << _BLOCK_BITS
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -54,7 +55,7 @@ def running(
 
     def chunked(arr: Column) -> Column:
         parts = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(arr) - 1) / _CHUNK).cast("int")),
+            F.sequence(F.lit(0), F.shiftright(F.size(arr) - 1, 8)),
             lambda i: fold(F.slice(arr, i * _CHUNK + 1, F.lit(_CHUNK))),
         )
 
@@ -88,10 +89,11 @@ def blocks(text: Column) -> Column:
 
 def piece(cut: Column, start: Column, end: Column) -> Column:
     """Characters ``[start, end)`` of a text given as ``blocks``."""
-    first = F.floor(start / _BLOCK).cast("int")
-    last = F.floor((end - 1) / _BLOCK).cast("int")
+    first = F.shiftright(start, _BLOCK_BITS)
+    last = F.shiftright(end - 1, _BLOCK_BITS)
     return (
         F.when(end <= start, F.lit(""))
+        .when(F.size(cut) == 1, F.substring(cut[0], start + 1, end - start))
         .when(
             first == last,
             F.substring(F.get(cut, first), start - first * _BLOCK + 1, end - start),

@@ -156,7 +156,7 @@ def aggregate_entities(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.min_by("type", "idx").alias("type"),
             F.array_join(
                 F.transform(
-                    F.array_sort(F.collect_list(F.struct("idx", piece.alias("piece")))),
+                    F.sort_array(F.collect_list(F.struct("idx", piece.alias("piece")))),
                     lambda p: p["piece"],
                 ),
                 "",
@@ -322,7 +322,7 @@ def locate_entities(
     of the earlier ones are dropped. ``text`` should be stripped already.
     """
     gathered = entities.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("ord", "type", "value"))).alias("_entities")
+        F.sort_array(F.collect_list(F.struct("ord", "type", "value"))).alias("_entities")
     )
     found = df.select(*keys, F.col(text).alias("_text")).join(gathered, [*keys])
     placed = found.withColumn("_starts", located(F.col("_text"), F.col("_entities")))

@@ -11,12 +11,38 @@ from veilspan.operators.tables import cut_lineage
 HOT_ROWS = 1_000_000
 
 
-def _salts(rows: str, hot_rows: int) -> Column:
-    return F.ceil(F.col(rows) / hot_rows).cast("int")
+def hot_keys(counted: DataFrame, on: list[str], rows: str, hot_rows: int) -> DataFrame:
+    """Keys of ``counted`` with more than ``hot_rows`` rows, and how many ways to split each.
+
+    Over all keys the rows add up to the table, so there are at most (table / hot_rows) of them:
+    that is what makes them safe to broadcast.
+    """
+    return counted.filter(F.col(rows) > hot_rows).select(
+        *on, F.ceil(F.col(rows) / hot_rows).cast("int").alias("_salts")
+    )
 
 
-def _each_salt(rows: str, hot_rows: int) -> Column:
-    return F.explode(F.sequence(F.lit(0), _salts(rows, hot_rows) - 1)).alias("_salt")
+def join_unique(
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    how: str,
+    hot: DataFrame | None,
+    spread_by: Column,
+) -> DataFrame:
+    """Join a ``right`` side that is unique on ``on``; the left rows of each hot key are dealt
+    out over several tasks by ``spread_by``, and its one right row is copied to each of them."""
+    if hot is None:
+        return left.join(right, on, how)
+    hot = F.broadcast(hot)
+    ways = F.coalesce("_salts", F.lit(1))
+    dealt = left.join(hot, on, "left").withColumn("_salt", F.pmod(spread_by, ways)).drop("_salts")
+    copied = (
+        right.join(hot, on, "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), ways - 1)))
+        .drop("_salts")
+    )
+    return dealt.join(copied, [*on, "_salt"], how).drop("_salt")
 
 
 def _row_hash(df: DataFrame) -> Column:
@@ -58,73 +84,39 @@ def attach_values(
         .agg(F.count(F.lit(1)).alias("rows"))
     )
     size = uses.agg(F.count(F.lit(1)).alias("uses"), F.max("rows").alias("most")).first()
-    lists = _values_of_lists(uses, table, out, hot_rows, salted=size["uses"] > hot_rows)
-
-    if (size["most"] or 0) <= hot_rows:
-        lists = lists.select(F.col("session").alias("_s"), F.col("_list").alias("_l"), out)
-        same = (F.col(session) == F.col("_s")) & (F.col("_list") == F.col("_l"))
-        return rows.join(lists, same, "left").drop("_list", "_s", "_l")
-
-    lists = lists.select(
-        F.col("session").alias("_s"), F.col("_list").alias("_l"), out, _each_salt("rows", hot_rows)
-    )
-    hot = uses.filter((F.col("pos") == 0) & (F.col("rows") > hot_rows)).select(
-        F.col("session").alias("_hs"),
-        F.col("_list").alias("_hl"),
-        _salts("rows", hot_rows).alias("_salts"),
-    )
-    is_hot = (F.col(session) == F.col("_hs")) & (F.col("_list") == F.col("_hl"))
-    own_salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(_row_hash(df), "_salts"))
-    same = (
-        (F.col(session) == F.col("_s"))
-        & (F.col("_list") == F.col("_l"))
-        & (F.col("_own") == F.col("_salt"))
-    )
-    return (
-        rows.join(F.broadcast(hot), is_hot, "left")
-        .withColumn("_own", own_salt)
-        .join(lists, same, "left")
-        .drop("_list", "_hs", "_hl", "_salts", "_own", "_s", "_l", "_salt")
-    )
+    hot = None
+    if size["uses"] > hot_rows:
+        per_key = uses.groupBy("session", "key").agg(F.count(F.lit(1)).alias("lists"))
+        hot = hot_keys(per_key, ["session", "key"], "lists", hot_rows)
+    lists = _values_of_lists(uses, table, out, hot).withColumnRenamed("session", session)
+
+    hot = None
+    if (size["most"] or 0) > hot_rows:
+        per_list = uses.filter(F.col("pos") == 0).withColumnRenamed("session", session)
+        hot = hot_keys(per_list, [session, "_list"], "rows", hot_rows)
+    columns = [*df.columns, out]
+    return join_unique(
+        rows, lists, [session, "_list"], "left", hot, _row_hash(df)
+    ).select(*columns)
 
 
 def _values_of_lists(
-    uses: DataFrame, table: DataFrame, out: str, hot_rows: int, salted: bool
+    uses: DataFrame, table: DataFrame, out: str, hot: DataFrame | None
 ) -> DataFrame:
-    """``session, _list, out, rows``. Each distinct key meets the table once; the values then go
-    to the lists that hold the key."""
-    per_key = uses.groupBy("session", "key").agg(F.count(F.lit(1)).alias("lists"))
+    """``session, _list, out``. Each distinct key meets the table once; the values then go to the
+    lists that hold the key."""
+    on = ["session", "key"]
     found = (
-        table.select("session", "key", "value")
-        .join(per_key, ["session", "key"])
-        .groupBy("session", "key")
-        .agg(
-            F.min("value").alias("value"),
-            F.max("value").alias("other"),
-            F.max("lists").alias("lists"),
-        )
+        table.select(*on, "value")
+        .join(uses.select(*on).distinct(), on, "left_semi")
+        .groupBy(*on)
+        .agg(F.min("value").alias("value"), F.max("value").alias("other"))
         .filter(F.col("value") == F.col("other"))
+        .drop("other")
     )
-    on = ["session", "key"]
-    if salted:
-        hot = per_key.filter(F.col("lists") > hot_rows).select(
-            *on, _salts("lists", hot_rows).alias("_salts")
-        )
-        own_salt = F.pmod(F.hash("_list", "pos"), F.coalesce("_salts", F.lit(1)))
-        uses = uses.join(F.broadcast(hot), on, "left").withColumn("_salt", own_salt)
-        found = found.select(*on, "value", _each_salt("lists", hot_rows))
-        on = [*on, "_salt"]
     return (
-        uses.join(found.select(*on, "value"), on, "left")
+        join_unique(uses.drop("rows"), found, on, "left", hot, F.hash("_list", "pos"))
         .groupBy("session", "_list")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("pairs"),
-            F.max("rows").alias("rows"),
-        )
-        .select(
-            "session",
-            "_list",
-            F.transform("pairs", lambda p: p["value"]).alias(out),
-            "rows",
-        )
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("pairs"))
+        .select("session", "_list", F.transform("pairs", lambda p: p["value"]).alias(out))
     )

@@ -38,18 +38,18 @@ def _spliced(text: Column, spans: Column, by: Callable[[Column], Column], overla
             ),
         )
 
-    def join(cut: Column, ordered: Column) -> Column:
+    # Covering spans are in text order and disjoint.
+    def join(cut: Column) -> Column:
         kept = F.transform(
-            ordered,
+            spans,
             lambda s, i: F.concat(
-                piece(cut, F.coalesce(F.get(ordered, i - 1)["end"], F.lit(0)), s["start"]), by(s)
+                piece(cut, F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)), s["start"]), by(s)
             ),
         )
-        tail = piece(cut, F.element_at(ordered, -1)["end"], F.length(text))
+        tail = piece(cut, F.element_at(spans, -1)["end"], F.length(text))
         return F.concat(F.array_join(kept, ""), tail)
 
-    whole = let(blocks(text), lambda cut: let(sorted_spans(spans), lambda o: join(cut, o)))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, let(blocks(text), join)).otherwise(text)
 
 
 def redactable(
@@ -147,7 +147,7 @@ def scrub_labels(
 def _mapping_entries(spans: str, by_start: bool) -> Column:
     """``array<struct<label, value>>``: each label with its first value."""
     rank = ranks(TYPES)
-    keyed = F.array_sort(
+    keyed = F.sort_array(
         F.transform(
             spans,
             lambda s, i: F.struct(

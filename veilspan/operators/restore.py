@@ -12,8 +12,8 @@ from veilspan.functions.patterns import TOKEN
 from veilspan.functions.text import stripped
 from veilspan.functions.tokens import as_session
 from veilspan.operators.detect import place, split_around
-from veilspan.operators.lookup import HOT_ROWS, attach_values
-from veilspan.operators.tables import computed
+from veilspan.operators.lookup import HOT_ROWS, attach_values, hot_keys, join_unique
+from veilspan.operators.tables import computed, cut_lineage
 
 
 def token_test(text: Column) -> Column:
@@ -84,37 +84,39 @@ def unresolved_tokens(
     keys: Sequence[str],
     session: str | Column = "default",
     text: str = "text",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``keys, session, token, occurrences, reason`` of the tokens a restore would leave.
 
-    ``reason`` is ``unknown``, or ``ambiguous`` for a token with several values. Each distinct
-    token meets the vault once; only the (few) unresolved ones are joined back.
+    ``reason`` is ``unknown``, or ``ambiguous`` for a token with several values. The texts are
+    read once; each distinct token meets the vault once, and only the unresolved ones are
+    joined back.
     """
+    on = ["session", "token"]
     rows = has_tokens(df, text).select(
         *keys,
         as_session(session).alias("session"),
         F.explode(_tokens(F.col(text))).alias("token"),
     )
-    counted = rows.groupBy(*keys, "session", "token").agg(
-        F.count(F.lit(1)).alias("occurrences")
+    counted = cut_lineage(
+        rows.groupBy(*keys, *on).agg(F.count(F.lit(1)).alias("occurrences"))
     )
-    distinct = counted.select("session", "token").distinct()
+    distinct = counted.groupBy(*on).agg(F.count(F.lit(1)).alias("texts"))
     known = (
-        vault.join(distinct, ["session", "token"], "left_semi")
-        .groupBy("session", "token")
+        vault.join(distinct, on, "left_semi")
+        .groupBy(*on)
         .agg((F.min("value") == F.max("value")).alias("unique"))
     )
     bad = (
-        distinct.join(known, ["session", "token"], "left")
+        distinct.join(known, on, "left")
         .filter(~F.coalesce("unique", F.lit(False)))
         .select(
-            "session",
-            "token",
-            F.when(F.col("unique").isNull(), "unknown").otherwise("ambiguous").alias("reason"),
+            *on, F.when(F.col("unique").isNull(), "unknown").otherwise("ambiguous").alias("reason")
         )
     )
-    return counted.join(bad, ["session", "token"]).select(
-        *keys, "session", "token", "occurrences", "reason"
+    hot = hot_keys(distinct, on, "texts", hot_rows) if counted.count() > hot_rows else None
+    return join_unique(counted, bad, on, "inner", hot, F.hash(*keys)).select(
+        *keys, *on, "occurrences", "reason"
     )
 
 

@@ -28,7 +28,7 @@ def sorted_spans(spans: Column, descending: bool = False) -> Column:
             (-s["start"] if descending else s["start"]).alias("at"), i.alias("ord"), s.alias("span")
         ),
     )
-    return F.transform(F.array_sort(keyed), lambda k: k["span"])
+    return F.transform(F.sort_array(keyed), lambda k: k["span"])
 
 
 def _reach(spans: Column) -> Column:
@@ -81,7 +81,7 @@ def merged(base: Column, extra: Column) -> Column:
                 events, lambda e, i: (e["kind"] == 0) & (F.get(r, i) <= e["span"]["start"])
             ),
         )
-        in_order = F.array_sort(
+        in_order = F.sort_array(
             F.transform(kept, lambda e: F.struct(e["ord"].alias("ord"), e["span"].alias("span")))
         )
         return F.transform(in_order, lambda e: e["span"])
@@ -95,7 +95,7 @@ def merged(base: Column, extra: Column) -> Column:
             s.alias("span"),
         )
 
-    events = F.array_sort(
+    events = F.sort_array(
         F.concat(
             F.transform(base, lambda s, i: event(s, i, 1)),
             F.transform(extra, lambda s, i: event(s, i, 0)),
@@ -177,8 +177,8 @@ def merge_span_tables(base: DataFrame, extra: DataFrame, keys: list[str]) -> Dat
     )
     item = F.struct("ord", "span")
     grouped = rows.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(F.col("is_base"), item))).alias("base"),
-        F.array_sort(F.collect_list(F.when(~F.col("is_base"), item))).alias("extra"),
+        F.sort_array(F.collect_list(F.when(F.col("is_base"), item))).alias("base"),
+        F.sort_array(F.collect_list(F.when(~F.col("is_base"), item))).alias("extra"),
     )
     plain = [
         F.transform(c, lambda x: x["span"]).cast(SPANS).alias(c) for c in ("base", "extra")

@@ -71,7 +71,7 @@ def build_vault(
     """
     fresh = entries.select(*VALUE_KEY).distinct()
     if existing is not None:
-        fresh = missing_entries(fresh, existing)
+        fresh = missing_entries(cut_lineage(fresh), existing)
     pending = fresh.withColumn("attempt", F.lit(0))
     held = [] if existing is None else [existing.select(*TOKEN_KEY)]
     settled: list[DataFrame] = []
