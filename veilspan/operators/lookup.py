@@ -67,7 +67,7 @@ def attach_values(
 
     ``table`` has the columns ``session, key, value``; a key that is missing from it, or that
     has more than one value there, yields null. Rows with an empty list should not be passed in,
-    they would all meet in one task for nothing.
+    they would all meet in one task for nothing. Keys must not hold the character U+001F.
 
     Rows with equal key lists share one lookup, so copies of a text collapse before the first
     shuffle. The distinct lists are written once and everything but the last join works on
@@ -75,28 +75,28 @@ def attach_values(
     rows) is split by a salt. Only the names of the hot ones travel by broadcast, and of them
     there are at most (rows / hot_rows).
     """
-    rows = df.withColumn("_list", F.sha2(F.array_join(keys, "\x1f"), 256))
-    uses = cut_lineage(
-        rows.select(
-            F.col(session).alias("session"), "_list", F.posexplode(keys).alias("pos", "key")
-        )
-        .groupBy("session", "_list", "pos", "key")
+    rows = df.withColumn("_list", F.unhex(F.sha2(F.array_join(keys, "\x1f"), 256)))
+    lists = cut_lineage(
+        rows.select(F.col(session).alias("session"), "_list", keys.alias("keys"))
+        .groupBy("session", "_list", "keys")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    size = uses.agg(F.count(F.lit(1)).alias("uses"), F.max("rows").alias("most")).first()
+    size = lists.agg(F.sum(F.size("keys")).alias("uses"), F.max("rows").alias("most")).first()
+    uses = lists.select("session", "_list", F.posexplode("keys").alias("pos", "key"))
+
     hot = None
-    if size["uses"] > hot_rows:
+    if (size["uses"] or 0) > hot_rows:
         per_key = uses.groupBy("session", "key").agg(F.count(F.lit(1)).alias("lists"))
         hot = hot_keys(per_key, ["session", "key"], "lists", hot_rows)
-    lists = _values_of_lists(uses, table, out, hot).withColumnRenamed("session", session)
+    values = _values_of_lists(uses, table, out, hot).withColumnRenamed("session", session)
 
     hot = None
     if (size["most"] or 0) > hot_rows:
-        per_list = uses.filter(F.col("pos") == 0).withColumnRenamed("session", session)
-        hot = hot_keys(per_list, [session, "_list"], "rows", hot_rows)
+        held = lists.withColumnRenamed("session", session)
+        hot = hot_keys(held, [session, "_list"], "rows", hot_rows)
     columns = [*df.columns, out]
     return join_unique(
-        rows, lists, [session, "_list"], "left", hot, _row_hash(df)
+        rows, values, [session, "_list"], "left", hot, _row_hash(df)
     ).select(*columns)
 
 
@@ -115,7 +115,7 @@ def _values_of_lists(
         .drop("other")
     )
     return (
-        join_unique(uses.drop("rows"), found, on, "left", hot, F.hash("_list", "pos"))
+        join_unique(uses, found, on, "left", hot, F.hash("_list", "pos"))
         .groupBy("session", "_list")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("pairs"))
         .select("session", "_list", F.transform("pairs", lambda p: p["value"]).alias(out))

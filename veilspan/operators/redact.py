@@ -288,11 +288,11 @@ def scrub_tokens(
     hits = cut_lineage(work.filter(F.size(spans) > 0).withColumn("_session", who))
     table = repaired.select(
         "session",
-        F.concat_ws("|", "entity", "value").alias("key"),
+        F.sha2(F.concat_ws("|", "entity", "value"), 256).alias("key"),
         F.col("token").alias("value"),
     )
     keyed = F.transform(
-        spans, lambda s: F.concat_ws("|", entity_of(s["type"]), s["value"])
+        spans, lambda s: F.sha2(F.concat_ws("|", entity_of(s["type"]), s["value"]), 256)
     )
     with_tokens = attach_values(hits, keyed, table, "_session", "_tokens", hot_rows)
     numbered = F.transform(
