@@ -120,6 +120,7 @@ def pii_report(spark: SparkSession, sf: str) -> DataFrame:
 def pii_report_by_label(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "labels").select("doc_id", "quality")
     texts = documents(spark, sf, ("doc_id", "source", "lang")).join(labels, "doc_id", "left")
+    texts = texts.withColumn("quality", F.coalesce("quality", F.lit(-1)))
     return v.pii_report(texts, ["source", "lang", "quality"])
 
 
