@@ -18,7 +18,13 @@ from pyspark.sql import functions as F
 from veilspan.llm.common import cut_lineage, new_path
 
 BLANKS = r"[\x20\x09-\x0D]+"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state lives on disk. Without preallocation a small partition of it takes kilobytes there.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -79,8 +85,9 @@ def running_state(
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE}
+    for key, value in STATE.items():
+        spark.conf.set(key, value)
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -91,10 +98,8 @@ def running_state(
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     updates = spark.read.schema(state.schema).parquet(f"{out}/batch=*")
     # The count of a digest grows with every update, so its last entry is the largest.
     last = F.max_by(F.col("best"), F.col("group_size")).alias("best")
