@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilspan.llm import bpe, exact
+from veilspan.llm import bpe, exact, packing, toxicity
 from veilspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxic_score").alias("score"),
+        F.col("toxic_flag").alias("predicted"),
+    )
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks)
@@ -23,6 +35,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("locator")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.pack(table(spark, sf_dir, "documents"), ranks)
+
+
 OP8_SQL = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -38,7 +55,12 @@ FROM t JOIN g USING (whole)
 
 
 def registry() -> dict[str, Query]:
-    return {"op5_bpe": op5_bpe, "op8_exact_dedup": op8_exact_dedup}
+    return {
+        "op3_toxicity": op3_toxicity,
+        "op5_bpe": op5_bpe,
+        "op8_exact_dedup": op8_exact_dedup,
+        "op9_packing": op9_packing,
+    }
 
 
 def oracle() -> dict[str, str]:
