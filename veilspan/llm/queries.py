@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import bpe, exact, packing, toxicity
+from veilspan.llm import bpe, exact, lines, packing, toxicity
 from veilspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,47 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "lines_removed", "lines_left")
+
+
+OP4_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+f AS (
+  SELECT doc_id, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+         row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+c AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY seq) AS upto FROM f),
+d AS (SELECT doc_id, list(line ORDER BY seq) AS lines FROM f GROUP BY doc_id),
+w AS (
+  SELECT a.doc_id, a.seq AS s, b.seq AS e,
+         md5(array_to_string(list_slice(d.lines, a.seq, b.seq), chr(10))) AS run
+  FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.seq BETWEEN a.seq AND a.seq + 29
+  JOIN d ON d.doc_id = a.doc_id
+  WHERE b.upto - a.upto + a.words >= 30
+    AND (b.upto - b.words - a.upto + a.words < 30 OR b.upto - a.upto < 30)),
+o AS (
+  SELECT doc_id, s, e, first_value((doc_id, s)) OVER (PARTITION BY run ORDER BY doc_id, s) AS o
+  FROM w),
+g AS (
+  SELECT DISTINCT f.doc_id, f.pos FROM o JOIN f ON f.doc_id = o.doc_id AND f.seq BETWEEN s AND e
+  WHERE (o.doc_id, o.s) <> o.o),
+k AS (
+  SELECT l.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos)
+           FILTER (WHERE g.pos IS NULL), '') AS left_text,
+         count(g.pos) AS gone, count(f.pos) AS filled
+  FROM l LEFT JOIN g USING (doc_id, pos) LEFT JOIN f USING (doc_id, pos) GROUP BY l.doc_id)
+SELECT doc_id, CASE WHEN gone = 0 THEN text ELSE left_text END AS text,
+       CAST(gone AS INT) AS lines_removed, CAST(filled - gone AS INT) AS lines_left
+FROM k JOIN documents USING (doc_id)
+"""
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks)
@@ -57,6 +98,7 @@ FROM t JOIN g USING (whole)
 def registry() -> dict[str, Query]:
     return {
         "op3_toxicity": op3_toxicity,
+        "op4_line_dedup": op4_line_dedup,
         "op5_bpe": op5_bpe,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_packing": op9_packing,
@@ -64,4 +106,4 @@ def registry() -> dict[str, Query]:
 
 
 def oracle() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op8_exact_dedup": OP8_SQL}
