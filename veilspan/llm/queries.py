@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import bpe, exact, lines, packing, toxicity
+from veilspan.llm import bpe, exact, jaccard, lines, packing, toxicity
 from veilspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.exact_duplicates(spark, f"{sf_dir}/documents.parquet")
     return found.drop("locator")
@@ -100,6 +104,7 @@ def registry() -> dict[str, Query]:
         "op3_toxicity": op3_toxicity,
         "op4_line_dedup": op4_line_dedup,
         "op5_bpe": op5_bpe,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_packing": op9_packing,
     }
