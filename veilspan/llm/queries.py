@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import bpe, exact, jaccard, lines, packing, toxicity
+from veilspan.llm import bpe, exact, jaccard, lines, packing, pii, toxicity
 from veilspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), ranks)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.detect(docs, mask=False)
+    kept = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return found.select("doc_id", *[f"pii.{c}" for c in kept])
+
+
 OP8_SQL = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -107,6 +114,7 @@ def registry() -> dict[str, Query]:
         "op7_jaccard_join": op7_jaccard_join,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_packing": op9_packing,
+        "op10_pii": op10_pii,
     }
 
 
