@@ -8,12 +8,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import bpe, exact, jaccard, lines, packing, pii, toxicity
+from veilspan.llm import bpe, exact, jaccard, licenses, lines, packing, pii, topk, toxicity
 from veilspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank
+  FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.score(docs, toxicity.train(docs, labels))
@@ -71,6 +93,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return found.select("doc_id", *[f"license.{c}" for c in kept])
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -108,9 +136,11 @@ FROM t JOIN g USING (whole)
 
 def registry() -> dict[str, Query]:
     return {
+        "op2_topk": op2_topk,
         "op3_toxicity": op3_toxicity,
         "op4_line_dedup": op4_line_dedup,
         "op5_bpe": op5_bpe,
+        "op6_licenses": op6_licenses,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_packing": op9_packing,
@@ -119,4 +149,4 @@ def registry() -> dict[str, Query]:
 
 
 def oracle() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op2_topk": OP2_SQL, "op4_line_dedup": OP4_SQL, "op8_exact_dedup": OP8_SQL}
