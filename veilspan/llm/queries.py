@@ -8,12 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import bpe, exact, jaccard, licenses, lines, packing, pii, topk, toxicity
+from veilspan.llm import bpe, exact, html, jaccard, licenses, lines, packing, pii, topk, toxicity
 from veilspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html.main_texts(pages)
+    text = F.col("main_text")
+    return found.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.search(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
@@ -136,6 +143,7 @@ FROM t JOIN g USING (whole)
 
 def registry() -> dict[str, Query]:
     return {
+        "op1_html": op1_html,
         "op2_topk": op2_topk,
         "op3_toxicity": op3_toxicity,
         "op4_line_dedup": op4_line_dedup,
