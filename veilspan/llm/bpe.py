@@ -79,14 +79,17 @@ class Encoder(dict):
 
 
 def boundaries(text: str) -> np.ndarray:
-    """Where the pre-tokens of a text begin."""
-    return np.fromiter((m.start() for m in _pattern().finditer(text)), dtype=np.int64)
+    """Where the pre-tokens of a text begin that may be cut off there: what ends in white space
+    would be split in another way without its successor, and a match near the end may go on."""
+    starts = [m.start() for m in _pattern().finditer(text)]
+    last = len(text) - LOOK_AHEAD
+    kept = [at for at in starts if 0 < at <= last and not text[at - 1].isspace()]
+    return np.array(kept, dtype=np.int64)
 
 
 def seams(chunk: str, size: int, overlap: int) -> tuple[bytes, bytes]:
     """Sure boundaries in the overlap with the chunk before, and in that with the one behind."""
-    starts = boundaries(chunk)
-    sure = starts[starts <= len(chunk) - LOOK_AHEAD]
+    sure = boundaries(chunk)
     return sure[sure < overlap].tobytes(), (sure[sure >= size] - size).tobytes()
 
 
@@ -101,8 +104,7 @@ def stitch(text: str, heads: list[bytes], tails: list[bytes], size: int, overlap
             right = np.frombuffer(tails[k], dtype=np.int64)
         else:
             piece = text[cuts[-1] : (k + 1) * size + overlap]
-            starts = boundaries(piece)
-            starts = starts[starts <= len(piece) - LOOK_AHEAD] + cuts[-1] - (k + 1) * size
+            starts = boundaries(piece) + cuts[-1] - (k + 1) * size
             right = starts[starts >= 0]
     return cuts
 
