@@ -45,7 +45,7 @@ def token_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
         words = Words(texts[a:b], ~_BLANK)
         hashes, n = words.hashes(), len(words.start)
         rolled = np.zeros(n, dtype=_U)
-        for k in range(width):
+        for k in range(min(width, n)):
             rolled[: n - k] = mix(rolled[: n - k] * _U(0x9E3779B97F4A7C15) + hashes[k:])
         for i in range(b - a):
             lo, hi = words.first[i], words.first[i + 1]
