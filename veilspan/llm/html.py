@@ -396,10 +396,11 @@ def main_texts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     """``pages`` with main_text and wrapper (JSON, null without one) added.
 
     Null and empty pages have an empty text. Pages without a host count as one host's. Rows come
-    back as they are given, repeated or without an id; an empty table gives no rows.
+    back as they are given, repeated or without an id; an empty table gives no rows. Columns of ``pages`` with the new names are replaced.
     """
     ship(pages.sparkSession)
-    learned = cut_lineage(wrappers(pages, url_col, html_col))
+    pages = pages.drop("main_text", "wrapper")
+    learned = cut_lineage(wrappers(pages, url_col, html_col)).withColumnRenamed("host_", "__host")
 
     @F.pandas_udf("string")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -414,6 +415,5 @@ def main_texts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
                 out.append(extract(page, known[plan] if plan else None) if page else "")
             yield pd.Series(out, dtype=object)
 
-    placed = pages.withColumn("host_", host(F.col(url_col)))
-    joined = placed.join(learned, "host_", "left")
+    joined = pages.withColumn("__host", host(F.col(url_col))).join(learned, "__host", "left")
     return joined.select(*pages.columns, "wrapper", cut(F.col(html_col), F.col("wrapper")).alias("main_text"))

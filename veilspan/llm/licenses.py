@@ -235,7 +235,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with a struct column ``license``: n_words, n_base, first_word, last_word (of the
     base phrases), base_labels, labels, score, and the detections with their word intervals.
 
-    Null and empty texts have no words, no labels and score 0. Rows come back as they are.
+    Null and empty texts have no words, no labels and score 0. Rows come back as they are; a
+    column ``license`` is replaced.
     """
     ship(docs.sparkSession)
 

@@ -161,31 +161,28 @@ def line_dedup(
     """``docs`` with the later copies of repeated line runs cut out of the text, and with
     lines_removed, lines_left (both without blank lines) added.
 
-    Documents count in the order of their ids (null last), then of their texts' hashes. Null and
+    Columns of ``docs`` with these names are replaced. Documents count in the order of their ids (null last), then of their texts' hashes. Null and
     empty texts come back as they are. Rows that repeat an id and a text share what is removed
     from it. A run may overlap its own first copy, as in a line repeated at once.
     """
+    docs = docs.drop("lines_removed", "lines_left")
     runs = repeated_runs(docs, min_words, id_col, text_col)
     gone = runs.groupBy(*DOC).agg(
-        F.array_distinct(F.flatten(F.collect_set(F.sequence("start", "end")))).alias("gone_")
-    ).select(F.col("doc_").alias("gone_doc_"), F.col("hash_").alias("gone_hash_"), "gone_")
+        F.array_distinct(F.flatten(F.collect_set(F.sequence("start", "end")))).alias("__gone")
+    ).select(F.col("doc_").alias("__gone_doc"), F.col("hash_").alias("__gone_hash"), "__gone")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("hash_", F.xxhash64(text))
-    same = keyed[id_col].eqNullSafe(F.col("gone_doc_")) & (F.col("hash_") == F.col("gone_hash_"))
+    keyed = docs.withColumn("__hash", F.xxhash64(text))
+    same = keyed[id_col].eqNullSafe(F.col("__gone_doc")) & (F.col("__hash") == F.col("__gone_hash"))
     lines = F.split(text, "\n")
     at = F.transform(_filled(lines), lambda x: x["at"])
-    removed = F.transform("gone_", lambda i: F.get(at, i))
+    removed = F.transform("__gone", lambda i: F.get(at, i))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
     cut = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     filled = F.size(F.filter(lines, lambda x: x.rlike(WORD)))
-    others = [c for c in docs.columns if c != text_col]
-    return (
-        keyed.join(gone, same, "left")
-        .select(
-            *others,
-            F.when(F.col("gone_").isNull(), F.col(text_col)).otherwise(cut).alias(text_col),
-            F.coalesce(F.size("gone_"), F.lit(0)).alias("lines_removed"),
-            (filled - F.coalesce(F.size("gone_"), F.lit(0))).alias("lines_left"),
-        )
-        .select(*docs.columns, "lines_removed", "lines_left")
+    n_gone = F.coalesce(F.size("__gone"), F.lit(0))
+    new_text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(cut).alias(text_col)
+    return keyed.join(gone, same, "left").select(
+        *[new_text if c == text_col else F.col(c) for c in docs.columns],
+        n_gone.alias("lines_removed"),
+        (filled - n_gone).alias("lines_left"),
     )

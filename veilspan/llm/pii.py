@@ -395,7 +395,7 @@ def detect(
     with ``mask``, masked_text, as one struct column ``pii``.
 
     Null and empty texts have no spans; the masked text of a null is null. Rows come back as they
-    are, repeated or without ids; the field is trained once on the driver and broadcast.
+    are, repeated or without ids, and a column ``pii`` is replaced; the field is trained once on the driver and broadcast.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
 from veilspan.llm.common import Words, ship, slices
 
 #: Buckets of the hashed words.
@@ -182,10 +181,12 @@ def score(
 
     The spans are the offending sentences (probability at least half the threshold): start and
     length in UTF-8 bytes, and the probability. Null and empty texts have a score like a bag
-    without words. Rows are kept as they are given, repeated or without an id.
+    without words. Rows are kept as they are given, repeated or without an id; columns with the new
+    names are replaced.
     """
-    ship(docs.sparkSession)
     spark = docs.sparkSession
+    ship(spark)
+    docs = docs.drop("toxic_score", "toxic_flag", "toxic_spans")
     sent = spark.sparkContext.broadcast(
         (np.flatnonzero(model.weights).astype(np.int32), model.weights[model.weights != 0], model.bias)
     )
@@ -212,10 +213,10 @@ def score(
             yield pd.DataFrame({"score": scores, "spans": spans})
 
     result = scored(F.coalesce(F.col(text_col), F.lit("")))
-    scored_docs = docs.withColumn("scored_", result)
+    scored_docs = docs.withColumn("__scored", result)
     return scored_docs.select(
         *docs.columns,
-        F.col("scored_.score").alias("toxic_score"),
-        (F.col("scored_.score") >= threshold).cast("int").alias("toxic_flag"),
-        F.col("scored_.spans").alias("toxic_spans"),
+        F.col("__scored.score").alias("toxic_score"),
+        (F.col("__scored.score") >= threshold).cast("int").alias("toxic_flag"),
+        F.col("__scored.spans").alias("toxic_spans"),
     )
