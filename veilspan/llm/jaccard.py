@@ -69,6 +69,20 @@ def _bands(n: int, percent: int) -> set[int]:
     return {n.bit_length(), max(1, _least(n, percent)).bit_length()}
 
 
+def possible(x: np.ndarray, nx: int, y: np.ndarray, ny: int, percent: int) -> bool:
+    """Whether sets of nx and ny tokens can be similar, given the tokens of least hash of both.
+
+    Up to the smaller of the two last hashes both sets are known, and so is what each lacks there.
+    """
+    if not len(x) or not len(y):
+        return False
+    upto = min(x[-1], y[-1])
+    x, y = x[x <= upto], y[y <= upto]
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    least = -(-percent * (nx + ny) // (100 + percent))
+    return len(x) - both <= nx - least and len(y) - both <= ny - least
+
+
 def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, float]:
     """Index entries of a set, and the share of its tokens that are frequent."""
     n = len(tokens)
@@ -127,12 +141,20 @@ def _frequent_tokens(rows: DataFrame, width: int, percent: int) -> np.ndarray:
 
 
 def _described(rows: DataFrame, frequent, width: int, percent: int) -> DataFrame:
-    """Per document: id_, n, digest of its set, and rank (of a leader) and entries for the index."""
+    """Per document: id_, n, digest of its set, and rank (of a leader) and entries for the index.
+
+    ``sample`` has the tokens of least hash, as many as a prefix; null where the entries are these.
+    """
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = token_sets(_texts(batch), width)
             found = [signatures(s, frequent.value, percent) for s in sets]
+            samples = []
+            for tokens, (entries, _) in zip(sets, found, strict=True):
+                first = tokens[: len(tokens) - _least(len(tokens), percent) + 1]
+                same = np.array_equal(first, entries)
+                samples.append(None if same else first.view(np.int64))
             yield pd.DataFrame(
                 {
                     "id_": batch["id_"].astype("Int64"),
@@ -140,13 +162,32 @@ def _described(rows: DataFrame, frequent, width: int, percent: int) -> DataFrame
                     "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                     "rank": [int(-1000 * share) for _, share in found],
                     "entries": [e.view(np.int64) for e, _ in found],
+                    "sample": pd.Series(samples, dtype=object),
                 }
             )
 
-    schema = "id_ long, n long, digest binary, rank int, entries array<long>"
+    schema = "id_ long, n long, digest binary, rank int, entries array<long>, sample array<long>"
     return rows.mapInPandas(describe, schema)
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose samples do not rule out that their sets are similar enough."""
+    held = nodes.select("node", "n", F.coalesce("sample", "entries").alias("s"))
+    x = held.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
+    y = held.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fits = [
+                possible(np.asarray(sa, np.int64).view(_U), na, np.asarray(sb, np.int64).view(_U), nb, percent)
+                for sa, na, sb, nb in zip(batch["sa"], batch["na"], batch["sb"], batch["nb"], strict=True)
+            ]
+            yield batch.loc[np.array(fits, dtype=bool), ["a", "b"]]
+
+    together = pairs.join(x, "a").join(y, "b")
+    return cut_lineage(together.mapInPandas(keep, "a long, b long").distinct())
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     ids = pairs.select(F.col("a").alias("id_")).union(pairs.select("b")).distinct()
@@ -209,24 +250,29 @@ def near_duplicates(
             F.min("id_").alias("node"),
             F.first("rank").alias("rank"),
             F.first("entries").alias("entries"),
+            F.first("sample").alias("sample"),
         )
     )
-    postings = nodes.select("node", "rank", F.explode("entries").alias("entry"))
-    leader = F.min(F.struct("rank", "node"))["node"].alias("leader")
+    postings = nodes.select("node", "n", "rank", F.explode("entries").alias("entry"))
+    leader = F.min(F.struct("rank", "node", F.col("n").alias("size"))).alias("leader")
     shared = cut_lineage(
-        postings.groupBy("entry").agg(leader, F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        postings.groupBy("entry")
+        .agg(leader, F.count(F.lit(1)).alias("times"))
+        .filter("times > 1")
+        .drop("times")
     )
     lists = cut_lineage(
         nodes.select("node", F.col("n").alias("size"), F.explode("entries").alias("entry")).join(
             shared, "entry"
         )
     )
-    pairs = cut_lineage(
-        lists.filter("leader <> node")
-        .select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    near = F.least("size", "leader.size") * 100 >= F.greatest("size", "leader.size") * percent
+    led = cut_lineage(
+        lists.filter((F.col("leader.node") != F.col("node")) & near)
+        .select(F.col("leader.node").alias("a"), F.col("node").alias("b"))
         .distinct()
     )
-    links = _verified(pairs, rows, width, percent)
+    links = _verified(_possible(led, nodes, percent), rows, width, percent)
     labels = components(links)
 
     # Members of a list that no link joins yet, each with those of other components.
@@ -248,8 +294,8 @@ def near_duplicates(
         .select("a", "b")
         .distinct()
     )
-    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut_lineage(crossing.join(known, ["a", "b"], "left_anti"))
+    known = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = _possible(cut_lineage(crossing.join(known, ["a", "b"], "left_anti")), nodes, percent)
     if not rest.isEmpty():
         more = _verified(rest, rows, width, percent)
         if not more.isEmpty():
