@@ -10,8 +10,9 @@ count for more than the tokens that a similar set may lack, so two similar sets
 or a pair. Verification is exact.
 
 Documents with the same set are one node. No list of an index entry is expanded into its pairs:
-first its members are compared with one leader, the member with the most frequent tokens; only
-members that the links so far do not join are compared with each other.
+first its members are compared with one leader, the member with the most frequent tokens. Only
+members that the links so far do not join are compared with each other, in blocks and each two
+blocks once.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from veilspan.llm.components import components
 #: A token in more prefixes than this is frequent. At most ``MOST`` tokens are, the most frequent
 #: ones: their broadcast is bounded by 8 bytes each. Which ones are never changes the result.
 FREQUENT, MOST = 48, 1 << 18
-#: Members of a leader that are verified together.
+#: Members of a leader that are verified together, and nodes of a block.
 BLOCK = 256
 
 _BLANK = np.zeros(256, dtype=bool)
@@ -223,6 +224,89 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> Da
     return cut_lineage(near.mapInPandas(compare, "a long, b long").distinct())
 
 
+def _joined_blocks(lists: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join all members of a list which are similar enough, given lists
+    (entry, node, label) of nodes and the components they are in.
+
+    Nodes are put into blocks of at most about ``BLOCK``, by their smallest entry. Two blocks meet
+    once if they have a list in common, whatever number of lists that is; a task counts their
+    common tokens as a product of two matrices and answers with no more links than it has nodes.
+    """
+    family = lists.groupBy("node", "label").agg(F.min("entry").alias("family"))
+    sizes = cut_lineage(family.groupBy("family").agg(F.count(F.lit(1)).alias("n")))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))
+    blocks = cut_lineage(
+        family.join(sizes, "family").select("node", "label", F.xxhash64("family", part).alias("block"))
+    )
+    met = cut_lineage(lists.join(blocks.select("node", "block"), "node").select("entry", "block").distinct())
+    x, y = (met.select("entry", F.col("block").alias(c)) for c in "xy")
+    pairs = cut_lineage(x.join(y, "entry").filter("x <= y").select("x", "y").distinct())
+    sides = pairs.select("x", "y", F.lit(0).alias("side"), F.col("x").alias("block")).unionByName(
+        pairs.filter("x < y").select("x", "y", F.lit(1).alias("side"), F.col("y").alias("block"))
+    )
+    texts = cut_lineage(
+        rows.join(blocks, rows["id_"] == blocks["node"]).select("block", "node", "label", "text_")
+    )
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        sets = token_sets(_texts(group), width)
+        nodes, labels = group["node"].to_numpy(), group["label"].to_numpy()
+        left = np.flatnonzero(group["side"].to_numpy() == 0)
+        right = np.flatnonzero(group["side"].to_numpy() == 1)
+        found = similar_rows(
+            [sets[i] for i in left], [sets[i] for i in right] if len(right) else None, percent
+        )
+        right = right if len(right) else left
+        root = {k: k for k in labels.tolist()}
+        out = []
+        for i, j in found:
+            a, b = _root(root, labels[left[i]]), _root(root, labels[right[j]])
+            if a != b:
+                root[a] = b
+                out.append((nodes[left[i]], nodes[right[j]]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    together = sides.join(texts, "block").groupBy("x", "y").applyInPandas(compare, "a long, b long")
+    return cut_lineage(together.distinct())
+
+
+def _root(root: dict, x):
+    while root[x] != x:
+        root[x] = x = root[root[x]]
+    return x
+
+
+def similar_rows(
+    xs: list[np.ndarray], ys: list[np.ndarray] | None, percent: int
+) -> Iterator[tuple[int, int]]:
+    """Places of the similar pairs of two lists of sets, or of one list with itself."""
+    own = ys is None
+    ys = xs if own else ys
+    nx, ny = (np.array([len(s) for s in sets], dtype=np.int64) for sets in (xs, ys))
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    rx, ry = np.repeat(np.arange(len(xs)), nx), np.repeat(np.arange(len(ys)), ny)
+    common = np.intersect1d(x, y)
+    if own:  # a token of one set only is in no common part
+        tokens, times = np.unique(x, return_counts=True)
+        common = tokens[times > 1]
+    both = np.zeros((len(xs), len(ys)), dtype=np.float32)
+    for at in range(0, len(common), 4096):
+        columns = common[at : at + 4096]
+        both += _marked(x, rx, len(xs), columns) @ _marked(y, ry, len(ys), columns).T
+    all_of = nx[:, None] + ny[None, :] - both
+    fits = (100 * both >= percent * all_of) & (both > 0)
+    for i, j in np.argwhere(np.triu(fits, 1) if own else fits):
+        yield int(i), int(j)
+
+
+def _marked(tokens: np.ndarray, rows: np.ndarray, n: int, columns: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(columns, tokens), len(columns) - 1)
+    held = columns[at] == tokens
+    out = np.zeros((n, len(columns)), dtype=np.float32)
+    out[rows[held], at[held]] = 1.0
+    return out
+
+
 def near_duplicates(
     docs: DataFrame,
     width: int = 5,
@@ -275,7 +359,7 @@ def near_duplicates(
     links = _verified(_possible(led, nodes, percent), rows, width, percent)
     labels = components(links)
 
-    # Members of a list that no link joins yet, each with those of other components.
+    # Lists whose members the links so far do not join.
     named = labels.select(F.col("id").alias("node"), "label")
     placed = lists.join(named, "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = (
@@ -284,22 +368,11 @@ def near_duplicates(
         .filter("low <> high")
         .select("entry")
     )
-    open_lists = cut_lineage(placed.join(cut_lineage(apart), "entry").drop("leader"))
-    x = open_lists.select("entry", F.col("node").alias("a"), F.col("size").alias("na"), F.col("label").alias("la"))
-    y = open_lists.select("entry", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("label").alias("lb"))
-    crossing = (
-        x.join(y, "entry")
-        .filter("a < b AND la <> lb")
-        .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        .select("a", "b")
-        .distinct()
-    )
-    known = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = _possible(cut_lineage(crossing.join(known, ["a", "b"], "left_anti")), nodes, percent)
-    if not rest.isEmpty():
-        more = _verified(rest, rows, width, percent)
-        if not more.isEmpty():
-            labels = components(cut_lineage(links.union(more)))
+    open_lists = placed.join(cut_lineage(apart), "entry").select("entry", "node", "label")
+    open_lists = cut_lineage(open_lists)
+    more = _joined_blocks(open_lists, rows, width, percent)
+    if not more.isEmpty():
+        labels = components(cut_lineage(links.union(more)))
 
     named = labels.select(F.col("id").alias("node"), F.col("label").alias("component"))
     of_set = cut_lineage(
