@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.sources.texts import read_texts, spread
+from veilspan.sources.texts import read_texts
 
 ZWSP = "​"
 
@@ -56,7 +56,7 @@ def documents(spark: SparkSession, sf_dir: str, keys=("doc_id",)) -> DataFrame:
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = {n: table(spark, sf_dir, n) for n in ("orders", "customer", "nation")}
-    return spread(spark.sql(PROMPTS, **named), ["prompt_id"])
+    return spark.sql(PROMPTS, **named).hint("rebalance")
 
 
 def ner_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +68,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(
         F.lit("documents").alias("src"), F.col("doc_id").alias("id"), "text"
     )
-    pages = spread(
-        read_texts(spark, f"{sf_dir}/pages.parquet", text="html", keys=["page_id"]), ["page_id"]
+    pages = read_texts(
+        spark, f"{sf_dir}/pages.parquet", text="html", keys=["page_id"], even_out=True
     ).select(F.lit("pages").alias("src"), F.col("page_id").alias("id"), "text")
     made = prompts(spark, sf_dir).select(
         F.lit("prompts").alias("src"), F.col("prompt_id").alias("id"), "text"

@@ -51,20 +51,53 @@ def test_full_token_space_is_reported(spark, monkeypatch):
         v.build_vault(entries(spark, ["a", "b"]))
 
 
-def test_repaired_tokens_inline_and_joined_agree(spark, texts, monkeypatch):
+def test_repaired_tokens_come_from_the_vault(spark, texts, monkeypatch):
     clash(monkeypatch, 2)
     rows = [f"write to u{i}@x.co and u{i % 7}@x.co or 1.2.3.{i % 256}" for i in range(200)] + ["none", None]
     df = texts(rows)
     vault = v.build_vault(vault_entries(df))
-    fixed = vault.withColumn("attempt", F.greatest(F.col("attempt"), F.lit(1)))
-    inline = v.scrub_tokens(df, vault=fixed)
-    joined = v.scrub_tokens(df, vault=fixed, inline_tokens=1, hot_rows=3)
+    assert not vault.filter("attempt > 0").isEmpty()
     want = dict(enumerate(rows, 1))
-    assert dict(inline.collect()) == dict(joined.collect())
-    for scrubbed in (inline, joined):
+    twice = vault.unionByName(vault)  # as two writers leave it
+    for kept in (vault, twice):
+        scrubbed = v.scrub_tokens(df, vault=kept, hot_rows=3)
         assert dict(v.restore_tokens(scrubbed, vault).collect()) == want
 
 
+def test_a_value_that_the_vault_lacks_is_an_error(spark, texts):
+    vault = v.build_vault(entries(spark, ["a@x.co"]))
+    with pytest.raises(v.IncompleteVault, match="lacks"):
+        v.scrub_tokens(texts(["a@x.co", "b@x.co"]), vault=vault)
+    other = vault.withColumn("token", F.lit("[REDACTED_EMAIL_00000000]"))
+    with pytest.raises(v.IncompleteVault, match="two tokens"):
+        v.scrub_tokens(texts(["a@x.co"]), vault=vault.unionByName(other))
+    scrubbed = v.scrub_tokens(texts(["to a@x.co"]), vault=other)
+    assert scrubbed.first().text == "to [REDACTED_EMAIL_00000000]"
+
+
+def test_no_value_of_a_text_enters_a_plan(spark, texts, monkeypatch):
+    clash(monkeypatch, 2)
+    df = texts([f"hidden{i}@x.co" for i in range(40)])
+    vault = v.build_vault(vault_entries(df))
+    plan = v.scrub_tokens(df, vault=vault)._jdf.queryExecution().toString()
+    assert "hidden" not in plan and "REDACTED_EMAIL_0" not in plan
+
+
+def test_sessions_must_not_be_null(spark, texts):
+    df = texts(["a@b.co", "nothing"])
+    null = F.when(F.col("id") > 5, F.lit("s"))
+    for work in (vault_entries(df, null), v.scrub_tokens(df, null)):
+        with pytest.raises(Exception, match="must not be null"):
+            work.collect()
+
+
+def test_entries_of_a_span_table_take_names_and_expressions(spark, texts):
+    spans = v.detect_spans(texts(["a@b.co", "c@d.co"]), ["id"])
+    by_row = vaults.span_entries(spans, F.concat(F.lit("s"), F.col("id")))
+    assert {r.session for r in by_row.collect()} == {"s1", "s2"}
+    assert {r.session for r in vaults.span_entries(spans, "session").collect()} == {"session"}
+
+
 def test_sessions_and_secrets_change_tokens(spark, texts):
     df = texts(["a@b.co", "a@b.co"])
     first = v.scrub_tokens(df).select("text").distinct().collect()

@@ -11,6 +11,7 @@ from veilspan.operators.detect import (
 from veilspan.operators.entities import (
     aggregate_entities,
     drop_outside,
+    entity_spans,
     filter_entities,
     locate_entities,
     min_score,
@@ -24,7 +25,6 @@ from veilspan.operators.redact import (
     redact,
     restore_labels,
     scrub_labels,
-    scrub_tokens,
     scrub_with_mapping,
 )
 from veilspan.operators.restore import (
@@ -34,15 +34,22 @@ from veilspan.operators.restore import (
     round_trip_check,
     unresolved_tokens,
 )
-from veilspan.operators.spans import cover_spans, merge_spans, sort_spans
-from veilspan.operators.summary import pii_report, pii_summary, summary_with_source
-from veilspan.operators.vault import build_vault, vault_collisions
-from veilspan.plans.scrub import scrub_to_vault, scrub_with_ner
-from veilspan.sources.texts import read_texts, write_scrubbed
-from veilspan.sources.vaults import load_vault, save_vault
+from veilspan.operators.scrub import IncompleteVault, scrub_tokens
+from veilspan.operators.spans import cover_spans, merge_span_tables, merge_spans, sort_spans
+from veilspan.operators.summary import (
+    pii_report,
+    pii_summary,
+    summarize_spans,
+    summary_with_source,
+)
+from veilspan.operators.vault import build_vault, span_entries, vault_collisions, vault_entries
+from veilspan.plans.scrub import scrub_to_vault, scrub_with_ner, with_entities
+from veilspan.sources.texts import read_texts, stream_texts, write_scrubbed
+from veilspan.sources.vaults import NoMapping, load_vault, save_vault
 from veilspan.streaming.streams import (
     restore_stream,
     scrub_stream,
+    scrub_token_stream,
     summary_stream,
     vault_stream,
 )

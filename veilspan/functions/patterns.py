@@ -85,19 +85,15 @@ _END = f"(?!{_WORD})"
 _START = f"(?<!{_WORD})"
 
 # An e-mail may only start at a word boundary. All boundaries inside one run of address
-# characters succeed or fail together, so only the first one in a run (or the one where the
-# previous match stopped) needs trying; otherwise a long run without `@` costs quadratic
-# time. The first one follows the punctuation that opens the run; after four or more such
-# characters every boundary is tried. Look-behinds of fixed length keep this cheap.
+# characters succeed or fail together, so each run is tried once: from its beginning, where the
+# punctuation that opens it (group 1) is left out of the value (group 2), or from where the
+# previous match stopped inside it.
 _LOCAL = "[A-Za-z0-9._%+-]"
 _PUNCT = "[.%+-]"
-_OPENING = "|".join(
-    [f"(?<=(?<!{_LOCAL}){_PUNCT * n})" for n in (1, 2, 3)] + [f"(?<={_PUNCT * 4})"]
-)
-_EMAIL_START = (
-    f"(?:(?<!{_LOCAL})(?={_WORD})|(?<={_PUNCT})(?={_WORD})(?:{_OPENING})"
-    rf"|\G(?<={_WORD})(?={_PUNCT}))"
-)
+_EMAIL_START = rf"(?:(?<!{_LOCAL})({_PUNCT}*+)(?={_WORD})|\G(?<={_WORD})(?={_PUNCT}))"
+
+# Detectors whose value is group 2 and whose group 1 belongs to the gap before it.
+LED = ("email",)
 
 
 def java_pattern(kind: str) -> str:
@@ -106,10 +102,11 @@ def java_pattern(kind: str) -> str:
     start = ""
     if body.startswith(r"\b"):
         body = body[2:]
-        start = _EMAIL_START if kind == "email" else _START
-    if kind == "email":
-        body = body.replace("+@", "++@")
-    return start + body.removesuffix(r"\b").replace(r"\s", SPACE) + _END
+        start = "" if kind in LED else _START
+    body = body.removesuffix(r"\b").replace(r"\s", SPACE) + _END
+    if kind in LED:
+        return f"{_EMAIL_START}({body.replace('+@', '++@')})"
+    return start + body
 
 
 # A text without any of these shapes cannot match a digit detector: three digits next to

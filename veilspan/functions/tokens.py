@@ -18,7 +18,10 @@ def entity_of(kind: Column) -> Column:
 
 
 def as_session(session: str | Column) -> Column:
-    return session if isinstance(session, Column) else F.lit(session)
+    """The session of a row. A null one would match nothing in the vault, so it is an error."""
+    if not isinstance(session, Column):
+        return F.lit(session)
+    return F.coalesce(session, F.raise_error(F.lit("the session of a text must not be null")))
 
 
 def token_of(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions.arrays import let, running
 from veilspan.functions.checks import is_card, is_ipv4
-from veilspan.functions.patterns import DIGIT_GATE, TYPES, VALIDATED, java_pattern
+from veilspan.functions.patterns import DIGIT_GATE, LED, TYPES, VALIDATED, java_pattern
 from veilspan.functions.text import stripped
 from veilspan.operators.tables import computed
 
@@ -28,7 +28,7 @@ def no_spans() -> Column:
 
 
 def _matches(text: Column, kind: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(java_pattern(kind)), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(java_pattern(kind)), F.lit(2 if kind in LED else 0))
 
 
 def gated(text: Column, kinds: Sequence[str], per_kind, nothing: Column) -> Column:
@@ -46,18 +46,24 @@ def gated(text: Column, kinds: Sequence[str], per_kind, nothing: Column) -> Colu
     return F.when(text.isNull(), nothing).otherwise(F.concat(*parts))
 
 
-def split_around(text: Column, pattern: str) -> Column:
+def split_around(text: Column, pattern: str, led: bool = False) -> Column:
     """``[gap, match, gap, match, ..., gap]`` in one scan.
 
     The matches are set between marks and the text is cut there: splitting on one plain
     character needs no regex. Stripped texts never hold the mark; for one that does, matches
-    and gaps are found by two scans.
+    and gaps are found by scans of their own. With ``led`` the pattern's group 2 is the match,
+    and group 1 before it belongs to the gap.
     """
-    marked = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    put = f"$1{_MARK}$2{_MARK}" if led else f"{_MARK}$0{_MARK}"
+    marked = F.split(F.regexp_replace(text, pattern, put), _MARK, -1)
+    gaps = F.split(text, pattern, -1)
+    if led:
+        lead = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        gaps = F.zip_with(gaps, lead, lambda gap, x: F.concat(gap, F.coalesce(x, F.lit(""))))
     twice = F.flatten(
         F.zip_with(
-            F.split(text, pattern, -1),
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+            gaps,
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(2 if led else 0)),
             lambda gap, match: F.when(match.isNull(), F.array(gap)).otherwise(F.array(gap, match)),
         )
     )
@@ -97,7 +103,7 @@ def spans_of(text: Column, kinds: Sequence[str] = TYPES, checked: bool = True) -
 
     def scanned(kind: str) -> Column:
         return let(
-            split_around(text, java_pattern(kind)),
+            split_around(text, java_pattern(kind), kind in LED),
             lambda parts: F.when(
                 F.size(parts) > 1, F.array(F.struct(F.lit(kind).alias("type"), parts.alias("parts")))
             ).otherwise(nothing),

@@ -42,15 +42,14 @@ def vault_entries(
     """
     work = redactable(df, text, types, extra, overlap, strip, "_spans")
     return span_entries(
-        work.select(as_session(session).alias("session"), F.inline("_spans")), "session"
+        work.select(as_session(session).alias("session"), F.inline("_spans")), F.col("session")
     )
 
 
 def span_entries(spans: DataFrame, session: str | Column = "default") -> DataFrame:
-    """The same from a span table."""
-    who = F.col("session") if session == "session" else as_session(session)
+    """The same from a span table; ``session`` is a name or an expression over the table."""
     return spans.select(
-        who.alias("session"), entity_of(F.col("type")).alias("entity"), F.col("value")
+        as_session(session).alias("session"), entity_of(F.col("type")).alias("entity"), F.col("value")
     ).distinct()
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 
 from veilspan.functions.patterns import NER_ENABLED, TYPES
 from veilspan.operators.entities import Tagger, entity_spans, tag_entities
-from veilspan.operators.redact import scrub_tokens
+from veilspan.operators.scrub import scrub_tokens
 from veilspan.operators.vault import build_vault, vault_entries
 from veilspan.sources.vaults import load_vault, save_vault
 

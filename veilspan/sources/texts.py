@@ -23,25 +23,24 @@ def read_texts(
 
     ``fmt`` is any batch format of the session: parquet, orc, json, csv, text, ... Plain text
     files give one row per line, or per file with ``wholetext``; their column is ``value``.
-    ``even_out`` deals the rows of a few large files out over all cores.
+    ``even_out`` deals the rows of a source with few partitions out over the cores.
     """
     reader = spark.read.format(fmt).options(**(options or {}))
     if schema is not None:
         reader = reader.schema(schema)
     df = _texts(reader.load(path), fmt, text, keys)
-    return spread(df, keys) if even_out else df
+    return spread(df) if even_out else df
 
 
-def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of a few files dealt out over all cores by key.
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a source with fewer partitions than cores, dealt out by size.
 
-    A file with one row group is one task, whatever its size. A source with enough files to
-    keep the cores busy stays as it is, so that a large corpus is never shuffled for this.
+    The partitions are those that the scan would run as tasks, so a large file that can be split
+    stays as it is, and a large corpus is never shuffled for this.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= 2 * cores:
+    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
         return df
-    return df.repartition(2 * cores, *keys)
+    return df.hint("rebalance")
 
 
 def stream_texts(

@@ -17,8 +17,9 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from veilspan.functions.patterns import TYPES
 from veilspan.operators.detect import detect_spans
-from veilspan.operators.redact import scrub_labels, scrub_tokens
+from veilspan.operators.redact import scrub_labels
 from veilspan.operators.restore import restore_tokens
+from veilspan.operators.scrub import scrub_tokens
 from veilspan.operators.vault import build_vault, vault_entries
 from veilspan.sources.vaults import load_vault, save_vault
 
