@@ -27,8 +27,7 @@ SECRET = "k"
 
 
 def read_texts(spark: SparkSession, sf: str) -> DataFrame:
-    texts = v.read_texts(spark, f"{sf}/documents.parquet", keys=["doc_id", "source"])
-    return texts.select("doc_id", "source", F.length("text").alias("chars"))
+    return v.read_texts(spark, f"{sf}/documents.parquet", keys=["doc_id", "source"])
 
 
 def drop_blank(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,8 +63,7 @@ def save_vault(spark: SparkSession, sf: str) -> DataFrame:
 def load_vault(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "vault")
     v.save_vault(build_vault(spark, sf), path, "overwrite")
-    vault = v.load_vault(spark, path, require_mapping=True, session="default")
-    return vault.filter(F.col("entity") == "email")
+    return v.load_vault(spark, path, require_mapping=True, session="default")
 
 
 # --- Normalisation ---
@@ -230,6 +228,23 @@ def _scrubbed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return cut_lineage(scrubbed), vault
 
 
+def _scrubbed_with_repairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The same after an earlier vault took every plain hash for another value."""
+    entries = vault_entries(corpus(spark, sf))
+    earlier = v.build_vault(entries, SECRET).withColumn("value", F.concat("value", F.lit("?")))
+    earlier = cut_lineage(earlier)
+    vault = earlier.unionByName(v.build_vault(entries, SECRET, earlier))
+    return cut_lineage(v.scrub_tokens(corpus(spark, sf), secret=SECRET, vault=vault)), vault
+
+
+def scrub_tokens_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    return _scrubbed_with_repairs(spark, sf)[0]
+
+
+def restore_tokens_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    return v.restore_tokens(*_scrubbed_with_repairs(spark, sf))
+
+
 def has_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return v.has_tokens(_scrubbed(spark, sf)[0]).select(*KEYS)
 
@@ -410,8 +425,9 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         pii_report_by_label,
         span_overlaps, sort_spans, cover_spans, merge_spans, merge_span_arrays,
         redact, redact_splice, label_lookup, to_entity, scrub_labels, scrub_with_mapping,
-        scrub_tokens, build_vault, vault_collisions,
-        has_tokens, extract_tokens, restore_tokens, restore_tokens_partial, restore_labels,
+        scrub_tokens, scrub_tokens_repaired, build_vault, vault_collisions,
+        has_tokens, extract_tokens, restore_tokens, restore_tokens_partial, restore_tokens_repaired,
+        restore_labels,
         unresolved_tokens, round_trip_check,
         drop_outside, aggregate_entities, entities_in_row, locate_entities, filter_entities,
         min_score, summary_with_source, scrub_with_ner,
