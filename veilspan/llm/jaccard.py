@@ -224,50 +224,87 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> Da
     return cut_lineage(near.mapInPandas(compare, "a long, b long").distinct())
 
 
-def _joined_blocks(lists: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+def _joined_blocks(
+    lists: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, percent: int
+) -> DataFrame:
     """Links (a, b) that join all members of a list which are similar enough, given lists
-    (entry, node, label) of nodes and the components they are in.
+    (entry, node, size, label) of nodes and the components they are in.
 
-    Nodes are put into blocks of at most about ``BLOCK``, by their smallest entry. Two blocks meet
-    once if they have a list in common, whatever number of lists that is; a task counts their
-    common tokens as a product of two matrices and answers with no more links than it has nodes.
+    Nodes are put into blocks of at most about ``BLOCK``, by their smallest entry and by bands of
+    size, of which only neighbours can be similar. Two blocks meet once if they have a list in
+    common, whatever number of lists that is. A task counts the common tokens of two blocks as a
+    product of matrices: first those of the samples, which rule most nodes out, then those of the
+    whole sets of what is left. It answers with no more links than it has nodes.
     """
-    family = lists.groupBy("node", "label").agg(F.min("entry").alias("family"))
-    sizes = cut_lineage(family.groupBy("family").agg(F.count(F.lit(1)).alias("n")))
+    band = F.floor(F.log("size") / float(1.000001 * np.log(100 / percent))).cast("int")
+    family = lists.groupBy("node", "size", "label").agg(F.min("entry").alias("family"))
+    family = family.withColumn("band", band)
+    sizes = cut_lineage(family.groupBy("family", "band").agg(F.count(F.lit(1)).alias("n")))
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))
     blocks = cut_lineage(
-        family.join(sizes, "family").select("node", "label", F.xxhash64("family", part).alias("block"))
+        family.join(sizes, ["family", "band"]).select(
+            "node", "label", "band", F.xxhash64("family", "band", part).alias("block")
+        )
+    )
+    met = lists.join(blocks.select("node", "block", "band"), "node")
+    met = cut_lineage(
+        met.groupBy("entry", "block", "band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    )
+    x, y = (met.select("entry", *[F.col(c).alias(c + k) for c in met.columns[1:]]) for k in "xy")
+    # Blocks that are of one and the same component have nothing to say to each other.
+    differ = (F.col("lowx") != F.col("highy")) | (F.col("highx") != F.col("lowy"))
+    near = (F.col("blockx") <= F.col("blocky")) & (F.abs(F.col("bandx") - F.col("bandy")) <= 1)
+    pairs = cut_lineage(
+        x.join(y, "entry")
+        .filter(near & differ)
+        .select(F.col("blockx").alias("x"), F.col("blocky").alias("y"))
+        .distinct()
     )
-    met = cut_lineage(lists.join(blocks.select("node", "block"), "node").select("entry", "block").distinct())
-    x, y = (met.select("entry", F.col("block").alias(c)) for c in "xy")
-    pairs = cut_lineage(x.join(y, "entry").filter("x <= y").select("x", "y").distinct())
     sides = pairs.select("x", "y", F.lit(0).alias("side"), F.col("x").alias("block")).unionByName(
         pairs.filter("x < y").select("x", "y", F.lit(1).alias("side"), F.col("y").alias("block"))
     )
-    texts = cut_lineage(
-        rows.join(blocks, rows["id_"] == blocks["node"]).select("block", "node", "label", "text_")
-    )
+    samples = blocks.join(
+        nodes.select("node", "n", F.coalesce("sample", "entries").alias("sample")), "node"
+    ).select("block", "node", "label", "n", "sample")
+
+    def rule_out(group: pd.DataFrame) -> pd.DataFrame:
+        x, y = group[group["side"] == 0], group[group["side"] == 1]
+        y = y if len(y) else x
+        sx, sy = ([np.asarray(s, np.int64).view(_U) for s in g["sample"]] for g in (x, y))
+        fits = np.ones((len(x), len(y)), dtype=bool)
+        nx, ny = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None, :]
+        least = -(-percent * (nx + ny) // (100 + percent))
+        fits &= np.minimum(nx, ny) * 100 >= percent * np.maximum(nx, ny)
+        fits &= x["label"].to_numpy()[:, None] != y["label"].to_numpy()[None, :]
+        # The sample that ends first is known in the other set: what it lacks there is lacking.
+        lx, ly = (np.array([s[-1] for s in ss], dtype=_U) for ss in (sx, sy))
+        px, py = (np.array([len(s) for s in ss]) for ss in (sx, sy))
+        lacking = np.where(lx[:, None] <= ly[None, :], px[:, None], py[None, :]) - common_counts(sx, sy)
+        fits &= lacking <= np.where(lx[:, None] <= ly[None, :], nx, ny) - least
+        kept = pd.concat([x[fits.any(axis=1)], y[fits.any(axis=0)]])
+        return kept[["x", "y", "side", "node", "label"]].drop_duplicates()
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         sets = token_sets(_texts(group), width)
-        nodes, labels = group["node"].to_numpy(), group["label"].to_numpy()
+        ids, labels = group["node"].to_numpy(), group["label"].to_numpy()
         left = np.flatnonzero(group["side"].to_numpy() == 0)
         right = np.flatnonzero(group["side"].to_numpy() == 1)
-        found = similar_rows(
-            [sets[i] for i in left], [sets[i] for i in right] if len(right) else None, percent
-        )
         right = right if len(right) else left
         root = {k: k for k in labels.tolist()}
         out = []
-        for i, j in found:
+        for i, j in similar_rows([sets[i] for i in left], [sets[j] for j in right], percent):
             a, b = _root(root, labels[left[i]]), _root(root, labels[right[j]])
             if a != b:
                 root[a] = b
-                out.append((nodes[left[i]], nodes[right[j]]))
+                out.append((ids[left[i]], ids[right[j]]))
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    together = sides.join(texts, "block").groupBy("x", "y").applyInPandas(compare, "a long, b long")
-    return cut_lineage(together.distinct())
+    schema = "x long, y long, side int, node long, label long"
+    left = cut_lineage(sides.join(samples, "block").groupBy("x", "y").applyInPandas(rule_out, schema))
+    texts = cut_lineage(rows.join(left.select(F.col("node").alias("id_")).distinct(), "id_", "left_semi"))
+    together = left.join(texts.withColumnRenamed("id_", "node"), "node")
+    links = together.groupBy("x", "y").applyInPandas(compare, "a long, b long")
+    return cut_lineage(links.distinct())
 
 
 def _root(root: dict, x):
@@ -276,26 +313,26 @@ def _root(root: dict, x):
     return x
 
 
-def similar_rows(
-    xs: list[np.ndarray], ys: list[np.ndarray] | None, percent: int
-) -> Iterator[tuple[int, int]]:
-    """Places of the similar pairs of two lists of sets, or of one list with itself."""
-    own = ys is None
-    ys = xs if own else ys
-    nx, ny = (np.array([len(s) for s in sets], dtype=np.int64) for sets in (xs, ys))
+def common_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Common tokens of each set of one list with each of another, as a product of matrices over
+    the tokens that both lists have."""
     x, y = np.concatenate(xs), np.concatenate(ys)
-    rx, ry = np.repeat(np.arange(len(xs)), nx), np.repeat(np.arange(len(ys)), ny)
+    rx = np.repeat(np.arange(len(xs)), [len(s) for s in xs])
+    ry = np.repeat(np.arange(len(ys)), [len(s) for s in ys])
     common = np.intersect1d(x, y)
-    if own:  # a token of one set only is in no common part
-        tokens, times = np.unique(x, return_counts=True)
-        common = tokens[times > 1]
     both = np.zeros((len(xs), len(ys)), dtype=np.float32)
     for at in range(0, len(common), 4096):
         columns = common[at : at + 4096]
         both += _marked(x, rx, len(xs), columns) @ _marked(y, ry, len(ys), columns).T
+    return both
+
+
+def similar_rows(xs: list[np.ndarray], ys: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Places of the similar pairs of two lists of sets."""
+    nx, ny = (np.array([len(s) for s in sets], dtype=np.int64) for sets in (xs, ys))
+    both = common_counts(xs, ys)
     all_of = nx[:, None] + ny[None, :] - both
-    fits = (100 * both >= percent * all_of) & (both > 0)
-    for i, j in np.argwhere(np.triu(fits, 1) if own else fits):
+    for i, j in np.argwhere((100 * both >= percent * all_of) & (both > 0)):
         yield int(i), int(j)
 
 
@@ -368,9 +405,9 @@ def near_duplicates(
         .filter("low <> high")
         .select("entry")
     )
-    open_lists = placed.join(cut_lineage(apart), "entry").select("entry", "node", "label")
+    open_lists = placed.join(cut_lineage(apart), "entry").select("entry", "node", "size", "label")
     open_lists = cut_lineage(open_lists)
-    more = _joined_blocks(open_lists, rows, width, percent)
+    more = _joined_blocks(open_lists, nodes, rows, width, percent)
     if not more.isEmpty():
         labels = components(cut_lineage(links.union(more)))
 
