@@ -175,3 +175,13 @@ def test_extract(spark, texts):
     assert sorted(map(tuple, rows)) == [
         (1, 0, a, 1, 26), (1, 1, a, 26, 51), (4, 0, "[REDACTED_00000000]", 0, 19),
     ]
+
+
+def test_round_trips_with_null_and_repeated_keys(spark):
+    def table(rows):
+        return spark.createDataFrame(rows, "id int, text string")
+
+    original = table([(None, "a"), (1, None), (2, "b"), (2, "b"), (2, "c"), (3, "d"), (4, "e")])
+    restored = table([(None, "a"), (2, "c"), (2, "b"), (2, "b"), (3, "x"), (4, "e"), (4, "e")])
+    assert v.round_trip_check(original, original, ["id"]).isEmpty()
+    assert sorted(r.id for r in v.round_trip_check(original, restored, ["id"]).collect()) == [1, 3, 4]

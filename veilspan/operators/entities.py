@@ -273,7 +273,7 @@ def _spans_at(entities: Column, starts: Column) -> Column:
         starts,
         lambda e, at: F.struct(
             e["type"].alias("type"),
-            e["value"].alias("value"),
+            _trimmed(e["value"]).alias("value"),
             at.alias("start"),
             (at + F.length(_trimmed(e["value"]))).alias("end"),
         ),

@@ -123,17 +123,16 @@ def unresolved_tokens(
 def round_trip_check(
     original: DataFrame, restored: DataFrame, keys: Sequence[str], text: str = "text"
 ) -> DataFrame:
-    """Keys whose restored text differs from the stripped original.
+    """Keys whose restored texts differ from the stripped originals, each once.
 
-    Only digests are shuffled, not the texts.
+    Both sides are counted by key and digest, so null keys and null texts compare as equal, a
+    lost row is reported, and a key that repeats must have the same texts as often. Only digests
+    are shuffled, not the texts.
     """
-    left = original.select(*keys, _digest(stripped(F.col(text))).alias("expected"))
-    right = restored.select(*keys, _digest(F.col(text)).alias("actual"))
-    return (
-        left.join(right, [*keys], "full_outer")
-        .filter(~F.col("expected").eqNullSafe(F.col("actual")))
-        .select(*keys)
-    )
+    one = original.select(*keys, _digest(stripped(F.col(text))).alias("_digest"), F.lit(1).alias("_n"))
+    other = restored.select(*keys, _digest(F.col(text)).alias("_digest"), F.lit(-1).alias("_n"))
+    counted = one.union(other).groupBy(*keys, "_digest").agg(F.sum("_n").alias("_n"))
+    return counted.filter("_n <> 0").select(*keys).distinct()
 
 
 def _digest(text: Column) -> Column:

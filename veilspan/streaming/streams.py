@@ -101,9 +101,10 @@ def restore_stream(
     checkpoint: str,
     session: str = "default",
     text: str = "text",
-    require_mapping: bool = False,
+    require_mapping: bool = True,
 ) -> DataStreamWriter:
-    """Restore each reply with the vault as it is when the reply arrives."""
+    """Restore each reply with the vault as it is when the reply arrives. Without a mapping for
+    the session the stream stops with ``NoMapping``, unless ``require_mapping`` is False."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
         vault = load_vault(batch.sparkSession, vault_path, require_mapping, session)
