@@ -2,7 +2,7 @@
 
 Vectors are integers, in blocks of rows. A block's index has a posting segment for each dimension
 and quantised impact: the rows whose component lies in that level. For a query the segments are
-processed by descending impact (the query's component times the level's middle), and every
+processed by descending size of impact (the query's component times the level's middle), and every
 segment adds to its rows' accumulators. A row's unseen components are bounded by what their
 dimensions may still give. Processing stops only when no row outside the possible members can
 reach the k-th best lower bound; the possible members are then rescored exactly. Each block's best
@@ -21,9 +21,9 @@ from veilspan.llm.common import cut_lineage, ship
 #: Rows of a block, and queries that meet it at once.
 BLOCK, QUERIES = 16_384, 256
 #: Width of a quantised level.
-LEVEL = 64
+LEVEL = 16
 #: Share of the segments that is processed between two tests of the bounds.
-STEPS = (0.3, 0.5, 0.7, 0.85, 1.0)
+STEPS = (0.8, 0.9, 1.0)
 
 
 class Index:
@@ -31,7 +31,7 @@ class Index:
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
         self.vectors, self.ids = vectors, ids
-        levels = vectors >> 6
+        levels = vectors // LEVEL
         self.dims, self.levels, self.rows = [], [], []
         for d in range(vectors.shape[1]):
             order = np.argsort(levels[:, d], kind="stable")
@@ -51,7 +51,7 @@ class Index:
         low = self.levels * LEVEL
         least = np.minimum(q * low, q * (low + LEVEL - 1))
         most = np.maximum(q * low, q * (low + LEVEL - 1))
-        order = np.argsort(-(least + most), kind="stable")
+        order = np.argsort(-np.abs(least + most), kind="stable")
         lower, seen = np.zeros(n), 0
         spread = np.zeros(n)
         members = np.arange(n)
