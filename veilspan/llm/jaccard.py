@@ -228,16 +228,17 @@ def _joined_blocks(
     lists: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, percent: int
 ) -> DataFrame:
     """Links (a, b) that join all members of a list which are similar enough, given lists
-    (entry, node, size, label) of nodes and the components they are in.
+    (entry, node, size, label, leader) of nodes and the components they are in.
 
-    Nodes are put into blocks of at most about ``BLOCK``, by their smallest entry and by bands of
-    size, of which only neighbours can be similar. Two blocks meet once if they have a list in
+    Nodes are put into blocks of at most about ``BLOCK``, by the smallest of their lists' leaders,
+    which brings most of what shares lists together, and by bands of size, of which only
+    neighbours can be similar. Two blocks meet once if they have a list in
     common, whatever number of lists that is. A task counts the common tokens of two blocks as a
     product of matrices: first those of the samples, which rule most nodes out, then those of the
     whole sets of what is left. It answers with no more links than it has nodes.
     """
     band = F.floor(F.log("size") / float(1.000001 * np.log(100 / percent))).cast("int")
-    family = lists.groupBy("node", "size", "label").agg(F.min("entry").alias("family"))
+    family = lists.groupBy("node", "size", "label").agg(F.min("leader").alias("family"))
     family = family.withColumn("band", band)
     sizes = cut_lineage(family.groupBy("family", "band").agg(F.count(F.lit(1)).alias("n")))
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))
@@ -267,46 +268,97 @@ def _joined_blocks(
         nodes.select("node", "n", F.coalesce("sample", "entries").alias("sample")), "node"
     ).select("block", "node", "label", "n", "sample")
 
-    def rule_out(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = group[group["side"] == 0], group[group["side"] == 1]
-        y = y if len(y) else x
-        sx, sy = ([np.asarray(s, np.int64).view(_U) for s in g["sample"]] for g in (x, y))
-        fits = np.ones((len(x), len(y)), dtype=bool)
-        nx, ny = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None, :]
-        least = -(-percent * (nx + ny) // (100 + percent))
-        fits &= np.minimum(nx, ny) * 100 >= percent * np.maximum(nx, ny)
-        fits &= x["label"].to_numpy()[:, None] != y["label"].to_numpy()[None, :]
-        # The sample that ends first is known in the other set: what it lacks there is lacking.
-        lx, ly = (np.array([s[-1] for s in ss], dtype=_U) for ss in (sx, sy))
-        px, py = (np.array([len(s) for s in ss]) for ss in (sx, sy))
-        lacking = np.where(lx[:, None] <= ly[None, :], px[:, None], py[None, :]) - common_counts(sx, sy)
-        fits &= lacking <= np.where(lx[:, None] <= ly[None, :], nx, ny) - least
-        kept = pd.concat([x[fits.any(axis=1)], y[fits.any(axis=0)]])
-        return kept[["x", "y", "side", "node", "label"]].drop_duplicates()
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sets = token_sets(_texts(group), width)
-        ids, labels = group["node"].to_numpy(), group["label"].to_numpy()
-        left = np.flatnonzero(group["side"].to_numpy() == 0)
-        right = np.flatnonzero(group["side"].to_numpy() == 1)
-        right = right if len(right) else left
-        root = {k: k for k in labels.tolist()}
-        out = []
-        for i, j in similar_rows([sets[i] for i in left], [sets[j] for j in right], percent):
-            a, b = _root(root, labels[left[i]]), _root(root, labels[right[j]])
-            if a != b:
-                root[a] = b
-                out.append((ids[left[i]], ids[right[j]]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+    def rule_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def prepared(batch: pd.DataFrame) -> pd.DataFrame:
+            return batch.assign(tokens=[np.asarray(v, np.int64).view(_U) for v in batch["sample"]])
+
+        columns = ["x", "y", "side", "node", "label", "n", "tokens"]
+        for found in _groups(map(prepared, batches), columns):
+            yield pd.DataFrame(
+                [r[:5] for left, right in found for r in _not_ruled_out(left, right, percent)],
+                columns=columns[:5],
+            )
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def prepared(batch: pd.DataFrame) -> pd.DataFrame:
+            return batch.assign(tokens=token_sets(_texts(batch), width))
+
+        for found in _groups(map(prepared, batches), ["x", "y", "side", "node", "label", "tokens"]):
+            out = []
+            for left, right in found:
+                root = {r[4]: r[4] for r in left + right}
+                for i, j in similar_rows([r[5] for r in left], [r[5] for r in right], percent):
+                    a, b = _root(root, left[i][4]), _root(root, right[j][4])
+                    if a != b:
+                        root[a] = b
+                        out.append((left[i][3], right[j][3]))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition("x", "y").sortWithinPartitions("x", "y", "side")
 
     schema = "x long, y long, side int, node long, label long"
-    left = cut_lineage(sides.join(samples, "block").groupBy("x", "y").applyInPandas(rule_out, schema))
+    left = cut_lineage(dealt(sides.join(samples, "block")).mapInPandas(rule_out, schema))
     texts = cut_lineage(rows.join(left.select(F.col("node").alias("id_")).distinct(), "id_", "left_semi"))
     together = left.join(texts.withColumnRenamed("id_", "node"), "node")
-    links = together.groupBy("x", "y").applyInPandas(compare, "a long, b long")
+    links = dealt(together).mapInPandas(compare, "a long, b long")
     return cut_lineage(links.distinct())
 
 
+def _groups(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[list[tuple[list, list]]]:
+    """The rows of each two blocks, as those of side 0 and of side 1 (of side 0 again where a
+    block meets itself), from batches sorted by blocks; for each batch those that end in it."""
+    current, rows = None, []
+
+    def sides() -> tuple[list, list]:
+        left = [r for r in rows if r[2] == 0]
+        right = [r for r in rows if r[2] == 1]
+        return left, right or (left if current[0] == current[1] else [])
+
+    for batch in batches:
+        done = []
+        for row in zip(*[batch[c].tolist() if c != "tokens" else batch[c] for c in columns], strict=True):
+            if row[:2] != current:
+                if rows:
+                    done.append(sides())
+                current, rows = row[:2], []
+            rows.append(row)
+        yield [g for g in done if g[0] and g[1]]
+    if rows and all(last := sides()):
+        yield [last]
+
+
+def _not_ruled_out(left: list, right: list, percent: int) -> list:
+    """Rows (.., label, n, sample) of both sides that may be similar to one of the other side and
+    of another component."""
+    if len(left) * len(right) <= 256:
+        pairs = [
+            (i, j)
+            for i, x in enumerate(left)
+            for j, y in enumerate(right)
+            if x[4] != y[4]
+            and min(x[5], y[5]) * 100 >= percent * max(x[5], y[5])
+            and possible(x[6], x[5], y[6], y[5], percent)
+        ]
+        keep_left, keep_right = {i for i, _ in pairs}, {j for _, j in pairs}
+    else:
+        sx, sy = [r[6] for r in left], [r[6] for r in right]
+        nx, ny = np.array([r[5] for r in left])[:, None], np.array([r[5] for r in right])[None, :]
+        least = -(-percent * (nx + ny) // (100 + percent))
+        fits = np.minimum(nx, ny) * 100 >= percent * np.maximum(nx, ny)
+        fits &= np.array([r[4] for r in left])[:, None] != np.array([r[4] for r in right])[None, :]
+        # The sample that ends first is known in the other set: what it lacks there is lacking.
+        lx, ly = (np.array([v[-1] for v in vs], dtype=_U) for vs in (sx, sy))
+        px, py = (np.array([len(v) for v in vs]) for vs in (sx, sy))
+        first = lx[:, None] <= ly[None, :]
+        lacking = np.where(first, px[:, None], py[None, :]) - common_counts(sx, sy)
+        fits &= lacking <= np.where(first, nx, ny) - least
+        keep_left, keep_right = set(np.flatnonzero(fits.any(axis=1))), set(np.flatnonzero(fits.any(axis=0)))
+    if right is left:
+        return [left[i] for i in sorted(keep_left | keep_right)]
+    return [left[i] for i in sorted(keep_left)] + [right[j] for j in sorted(keep_right)]
+
+
 def _root(root: dict, x):
     while root[x] != x:
         root[x] = x = root[root[x]]
@@ -405,7 +457,9 @@ def near_duplicates(
         .filter("low <> high")
         .select("entry")
     )
-    open_lists = placed.join(cut_lineage(apart), "entry").select("entry", "node", "size", "label")
+    open_lists = placed.join(cut_lineage(apart), "entry").select(
+        "entry", "node", "size", "label", F.col("leader.node").alias("leader")
+    )
     open_lists = cut_lineage(open_lists)
     more = _joined_blocks(open_lists, nodes, rows, width, percent)
     if not more.isEmpty():
