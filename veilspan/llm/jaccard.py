@@ -264,13 +264,18 @@ def _joined_blocks(
     sides = pairs.select("x", "y", F.lit(0).alias("side"), F.col("x").alias("block")).unionByName(
         pairs.filter("x < y").select("x", "y", F.lit(1).alias("side"), F.col("y").alias("block"))
     )
-    samples = blocks.join(
-        nodes.select("node", "n", F.coalesce("sample", "entries").alias("sample")), "node"
-    ).select("block", "node", "label", "n", "sample")
+    # A tenth of a set's tokens, by their upper 32 bits: more than a similar set may lack. Tokens
+    # that coincide there only make it rule out less.
+    least = F.slice(F.coalesce("sample", "entries"), F.lit(1), (F.col("n") / 10).cast("int") + 2)
+    upper = F.transform(least, lambda x: F.shiftright(x, 32).cast("int"))
+    samples = blocks.join(nodes.select("node", "n", upper.alias("sample")), "node").select(
+        "block", "node", "label", "n", "sample"
+    )
 
     def rule_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def prepared(batch: pd.DataFrame) -> pd.DataFrame:
-            return batch.assign(tokens=[np.asarray(v, np.int64).view(_U) for v in batch["sample"]])
+            upper = [np.asarray(v, np.int32).view(np.uint32) for v in batch["sample"]]
+            return batch.assign(tokens=[np.unique(v) for v in upper])
 
         columns = ["x", "y", "side", "node", "label", "n", "tokens"]
         for found in _groups(map(prepared, batches), columns):
