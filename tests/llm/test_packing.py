@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from veilspan.llm import packing
@@ -79,3 +80,15 @@ def test_rows_of_any_kind(spark):
     assert sum(r.doc_id is None for r in found) == 2
     assert len({(r.sequence_id, r.offset) for r in found}) == len(found)
     assert packing.pack(docs.limit(0), RANKS).count() == 0
+
+
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|> x", "x  <|endoftext|>", "<|endoftext|>", "a <|endoftext|><|endoftext|>\n b's <|endoftext|", "<|endoftext|>" * 5000, "no such <|endofText|>"])
+def test_added_tokens_are_one_id_as_in_the_tokenizer_by_default(spark, text):
+    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = [*made.encode(text, add_special_tokens=False).ids, 0]
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = sorted(packing.pack(docs, RANKS).collect(), key=lambda r: r.piece)
+    assert sum(r.length for r in found) == len(ids)
+    for r in found:
+        part = np.array(ids[r.start : r.start + r.length], dtype="<u4")
+        assert len(part) == r.length and zlib.crc32(part.tobytes()) == r.ids_crc32

@@ -9,9 +9,12 @@ since a piece has a token at least.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -31,6 +34,45 @@ _PIECE = np.dtype([(c, "<i8") for c in ("doc_id", "no_id", "piece", "start", "le
 BINS = "load int, pieces binary"
 
 
+@lru_cache(2)
+def added_tokens(ranks_path: str) -> dict[str, bytes]:
+    """Contents of the added tokens of the JSON beside a rank file, and their ids; none without it.
+
+    They stand for themselves wherever they occur. Flags by which they would match in another way
+    raise, because nothing here follows them.
+    """
+    beside = os.path.splitext(ranks_path)[0] + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as file:
+        made = json.load(file)
+    for token in made["added_tokens"]:
+        if token["single_word"] or token["lstrip"] or token["rstrip"]:
+            raise ValueError(f"added token {token['content']!r} with flags: {beside}")
+    return {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in made["added_tokens"]}
+
+
+@lru_cache(2)
+def _added_pattern(ranks_path: str) -> re.Pattern | None:
+    longest = sorted(added_tokens(ranks_path), key=len, reverse=True)
+    return re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
+
+
+def ids_of(text: str, encoder: Encoder, ranks_path: str) -> bytes:
+    """The ids of a text: one for each added token, those of its ranks for what is between them."""
+    pattern = _added_pattern(ranks_path)
+    if pattern is None:
+        return encoder.encode(text)
+    between, *rest = pattern.split(text)
+    if not rest:
+        return encoder.encode(text)
+    added = added_tokens(ranks_path)
+    out = [encoder.encode(between)]
+    for token, between in zip(rest[::2], rest[1::2], strict=True):
+        out += [added[token], encoder.encode(between)]
+    return b"".join(out)
+
+
 def pieces(ids: bytes, capacity: int = CAPACITY) -> Iterator[tuple[int, int, int, int]]:
     """Piece, start, length and checksum of each piece of a document's ids and the closing 0."""
     ids += b"\0\0\0\0"
@@ -84,8 +126,8 @@ def pack(
 ) -> DataFrame:
     """Per piece of a document: its id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A document's ids are those of its text, by the ranks at ``ranks_path``, and the id 0. A null
-    or empty text is the id 0 alone. A document longer than ``capacity`` is cut from its end into
+    A document's ids are those of its text, by the ranks at ``ranks_path`` and the added tokens of
+    the JSON file of the same name beside it, and the id 0. A null or empty text is the id 0 alone. A document longer than ``capacity`` is cut from its end into
     full pieces. Repeated rows and null ids are documents like others. An empty table gives no
     rows. Other columns are not read.
     """
@@ -98,7 +140,7 @@ def pack(
         loads, blobs = [], []
         for batch in batches:
             for key, text in zip(_keys(batch["id_"]), batch["text_"], strict=True):
-                for piece, start, length, crc in pieces(encoder.encode(text), capacity):
+                for piece, start, length, crc in pieces(ids_of(text, encoder, ranks_path), capacity):
                     row = np.array(
                         [(key or 0, key is None, piece, start, length, crc)], dtype=_PIECE
                     )
