@@ -66,3 +66,45 @@ def test_rows_of_any_kind(spark):
         got = r.license
         assert (got.n_words, got.n_base, got.first_word, got.last_word, got.base_labels) == brute(r.text or "")
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("Released under the MPL 2.0.", "mpl-2"),
+        ("distributed under BSD 3-Clause", "bsd-3"),
+        ("available under Apache 2.0", "apache-2"),
+        ("published under Creative Commons Attribution 4.0", "cc-by-4"),
+        ("released under the EUPL 1.2", "eupl-1.2"),
+        ("Provided under WTFPL 2", "wtfpl-2"),
+    ],
+)
+def test_notices_without_the_word_licence(text, labels):
+    row = licenses.scan_texts([text])[0]
+    assert row[5] == labels and row[6] == 0.95
+
+
+def spelled(pattern, rng):
+    """A text that a rule's pattern matches, at random."""
+    def pick(m):
+        optional, ways = m[2] == "?", m[1].split("|")
+        return "" if optional and rng.random() < 0.5 else rng.choice(ways)
+
+    out = pattern.removesuffix("(?= )")
+    while "(?:" in out:
+        out = re.sub(r"\(\?:([^()]*)\)(\??)", pick, out)
+    out = out.replace("[cs]", rng.choice("cs"))
+    return re.sub(r"(.)\?", lambda m: m[1] if rng.random() < 0.5 else "", out)
+
+
+def test_literals_never_keep_a_rule_from_a_text_it_matches():
+    rng = random.Random(3)
+    for rule in licenses.rules():
+        for _ in range(30):
+            words = f" some words{spelled(rule.pattern.pattern, rng)} and more "
+            assert rule.pattern.search(words), words
+            assert rule in licenses.candidates(words), words
+            found = words.split(" ")[1:-1]
+            starts = [1 + sum(len(w) + 1 for w in found[:i]) for i in range(len(found))]
+            every = licenses.detections(words, starts, list(licenses.rules()))
+            assert every and licenses.scan_texts([words])[0][7] == [d._asdict() for d in every]

@@ -1,8 +1,8 @@
 """License scans by ordered signature rules.
 
-A text is reduced to its words in lower case. A few keywords let most texts pass unread. The
-others are put to hundreds of rules, a pattern over the words each, and a rule only runs if its own
-keyword is there. Overlapping detections are resolved by the rules' order: those of higher
+A text is reduced to its words in lower case and put to hundreds of rules, a pattern over the words
+each. A rule only runs if the literals that its pattern needs are there; there is no other gate, so
+the literals of most rules rule out most texts. Overlapping detections are resolved by the rules' order: those of higher
 priority first, then longer ones; a detection inside an accepted one is suppressed.
 """
 
@@ -19,12 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import Words, ship, slices
+from veilspan.llm.common import ship
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
-_SPLIT = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 #: Phrases of the base and their labels: fixed values.
 BASE = (
@@ -83,14 +81,14 @@ FAMILIES = (
     ("zpl", "zope public|zpl", ("2 0", "2 1")),
     ("w3c", "w3c software", ()),
 )
-#: A text without any of these, in lower case, is not put to the rules. Every base phrase has one.
-GATE = (b"licen", b"spdx", b"gpl", b"gfdl", b"cc0")
-_GATE_CC = re.compile(rb"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by")
+#: Word bytes in lower case, and blanks for all others.
+_PLAIN = bytes(32 if not _WORD[c] else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 class Rule(NamedTuple):
     label: str
     keywords: tuple[str, ...]  # without all of them the pattern cannot match
+    needs: str  # nor without this
     pattern: re.Pattern
     priority: int
     relevance: float
@@ -112,7 +110,7 @@ def rules() -> tuple[Rule, ...]:
     for label, written, versions in FAMILIES:
         # The longest literal run of each way to write the name, at least one of which must occur.
         keys = tuple(
-            max(re.split(r"\(\?:[^()]*(?:\([^()]*\)[^()]*)*\)\??|.\?", way), key=len).strip()
+            max(re.split(r"\(\?:[^()]*(?:\([^()]*\)[^()]*)*\)\??|.\?", f" {way}"), key=len).rstrip()
             for way in _ways(written)
         )
         name, own = f"(?:{written})", label.replace("-", " ")
@@ -126,12 +124,13 @@ def rules() -> tuple[Rule, ...]:
             spdx = f"spdx license identifier {own}" + f" {version}" * bool(version)
             said = f"{spoken} under (?:the )?(?:terms of )?(?:the )?{name}{tail}"
             alone = f"{name}{tail}" + "(?: licen[cs]e)?" * bool(version)
-            made.append((full, ("spdx",), spdx, 4 + bool(version), 1.0))
-            made.append((full, keys, said, 2 + bool(version), 0.95))
-            made.append((full, keys, alone, int(bool(version)), 0.8 if version else 0.6))
+            needs = version or "licen"
+            made.append((full, (" spdx license identifier",), needs, spdx, 4 + bool(version), 1.0))
+            made.append((full, keys, needs, said, 2 + bool(version), 0.95))
+            made.append((full, keys, needs, alone, int(bool(version)), 0.8 if version else 0.6))
     return tuple(
-        Rule(label, keys, re.compile(f" {pattern}(?= )"), priority, relevance)
-        for label, keys, pattern, priority, relevance in sorted(made, key=lambda r: -r[3])
+        Rule(label, keys, needs, re.compile(f" {pattern}(?= )"), priority, relevance)
+        for label, keys, needs, pattern, priority, relevance in sorted(made, key=lambda r: -r[4])
     )
 
 
@@ -148,11 +147,24 @@ def _ways(written: str) -> list[str]:
 
 
 @lru_cache(1)
-def _by_keywords() -> tuple[tuple[tuple[str, ...], tuple[Rule, ...]], ...]:
-    groups: dict[tuple[str, ...], list[Rule]] = {}
+def _by_literals() -> tuple[tuple[tuple[str, ...], tuple[tuple[str, tuple[Rule, ...]], ...]], ...]:
+    """Rules by their keywords, and then by what else they need."""
+    groups: dict[tuple[str, ...], dict[str, list[Rule]]] = {}
     for rule in rules():
-        groups.setdefault(rule.keywords, []).append(rule)
-    return tuple((keys, tuple(own)) for keys, own in groups.items())
+        groups.setdefault(rule.keywords, {}).setdefault(rule.needs, []).append(rule)
+    return tuple((keys, tuple((n, tuple(r)) for n, r in own.items())) for keys, own in groups.items())
+
+
+def candidates(words: str) -> list[Rule]:
+    """The rules whose literals are all in the blank-joined words; no other one can match."""
+    return [
+        rule
+        for keys, own in _by_literals()
+        if any(key in words for key in keys)
+        for needs, some in own
+        if needs in words
+        for rule in some
+    ]
 
 
 def base_places(words: str) -> list[tuple[int, str]]:
@@ -166,17 +178,14 @@ def base_places(words: str) -> list[tuple[int, str]]:
     return found
 
 
-def detections(words: str, starts: list[int]) -> list[Detection]:
-    """What stays of the rules' matches after suppression, by place."""
+def detections(words: str, starts: list[int], put: list[Rule]) -> list[Detection]:
+    """What stays of the matches of the rules ``put`` to the words after suppression, by place."""
     found = []
-    for keys, own in _by_keywords():
-        if not any(key in words for key in keys):
-            continue
-        for rule in own:
-            for m in rule.pattern.finditer(words):
-                first = bisect_right(starts, m.start() + 1) - 1
-                last = bisect_right(starts, m.end() - 1) - 1
-                found.append(Detection(first, last + 1, rule.label, rule.priority, rule.relevance))
+    for rule in put:
+        for m in rule.pattern.finditer(words):
+            first = bisect_right(starts, m.start() + 1) - 1
+            last = bisect_right(starts, m.end() - 1) - 1
+            found.append(Detection(first, last + 1, rule.label, rule.priority, rule.relevance))
     found.sort(key=lambda d: (-d.priority, d.start - d.end, d.start, d.label))
     # reach[i]: the farthest end of accepted detections by start, as a tree of prefix maxima.
     begins = sorted({d.start for d in found})
@@ -206,26 +215,22 @@ SCHEMA = (
 
 def scan_texts(texts: list[str]) -> list[tuple]:
     """Of each text the values of ``SCHEMA``."""
-    data = [t.encode() for t in texts]
-    counts = np.zeros(len(texts), dtype=np.int64)
-    for a, b in slices(data):
-        counts[a:b] = np.diff(Words(data[a:b], _WORD).first)
     out = []
-    for text, raw, n in zip(texts, data, counts.tolist(), strict=True):
-        low = raw.lower()
-        if not any(key in low for key in GATE) and not (b"cc" in low and _GATE_CC.search(low)):
-            out.append((n, 0, None, None, "", "", 0.0, []))
+    for text in texts:
+        found = text.encode().translate(_PLAIN).split()
+        words = f" {b' '.join(found).decode()} "
+        places, put = base_places(words), candidates(words)
+        if not places and not put:
+            out.append((len(found), 0, None, None, "", "", 0.0, []))
             continue
-        found = _SPLIT.findall(text.translate(_LOWER))
-        words = f" {' '.join(found)} "
-        starts = (np.cumsum([1, *[len(w) + 1 for w in found]])[:-1]).tolist()
-        places = [(bisect_right(starts, at) - 1, label) for at, label in base_places(words)]
-        kept = detections(words, starts)
+        starts = (np.cumsum([1, *[len(w.decode()) + 1 for w in found]])[:-1]).tolist()
+        places = [(bisect_right(starts, at) - 1, label) for at, label in places]
+        kept = detections(words, starts, put)
         base = {label for _, label in places}
         score = max([d.relevance for d in kept] + [0.9] * bool(places), default=0.0)
         at = [p for p, _ in places]
         out.append((
-            n, len(places), min(at, default=None), max(at, default=None), ",".join(sorted(base)),
+            len(found), len(places), min(at, default=None), max(at, default=None), ",".join(sorted(base)),
             ",".join(sorted(base | {d.label for d in kept})), score, [d._asdict() for d in kept],
         ))
     return out
