@@ -72,3 +72,30 @@ def test_rows_of_any_kind(spark):
     got = sorted((r.page_id or 0, r.main_text) for r in found)
     assert [t for _, t in got][:6] == ["y", "x", "x", "x", "", ""] and len(got) == 7
     assert html.main_texts(pages.limit(0)).count() == 0
+
+
+def post(k, more=""):
+    body = " ".join(f"word{k}x{i}" for i in range(200))
+    return (
+        f"<html><body><div class=top><p>All the news</p></div><div class=post><h1><a href=/{k}>Title {k}</a></h1><p>by writer {k}</p>"
+        f"<div class=body><p>{body}</p></div>{more}</div><div class=bottom><p>Made by us</p></div></body></html>"
+    )
+
+
+def test_headings_and_short_parts_beside_the_body_stay():
+    second = "<div class=part><p>Second part 4.</p></div>"
+    for pages in ([post(k) for k in range(6)], [post(0), *[post(k, second if k == 4 else "") for k in range(1, 6)]]):
+        wrapper = html.induce(pages)
+        got = html.extract(post(9, second), wrapper).split("\n")
+        assert got[:2] == ["Title 9", "by writer 9"] and got[2].startswith("word9x0 ") and got[3:] == ["Second part 4."]
+
+
+def test_all_sibling_articles_stay():
+    def two(k):
+        articles = f"<article><p>First, a longer one {k}.</p></article><article><p>Second {k}.</p></article>"
+        return page(f"<div>{articles}<article class=comment><p>hello {k}</p></article></div>", k)
+
+    wrapper = html.induce([page(f"<div><article><p>Only {k}</p></article></div>", k) for k in range(5)])
+    assert wrapper["path"][-1] == "article[0]"
+    for known in (None, wrapper, html.induce([two(k) for k in range(5)])):
+        assert html.extract(two(9), known) == "First, a longer one 9.\nSecond 9."

@@ -2,8 +2,8 @@
 
 For each host a few pages are parsed and their trees aligned with that of the first by simple tree
 matching. Aligned nodes whose text is the same on all of them are template; slots whose text
-varies are content. The wrapper is the path to the smallest element that holds nearly all content
-outside menus, adverts and the like, and the places of constant text inside it. Every page of the
+varies are content. The wrapper is the path to the smallest element that holds all content outside
+menus, adverts and the like, and the places of constant text inside it. Every page of the
 host is then cut by its wrapper; a page whose tree lacks the wrapper's path is judged by its own.
 """
 
@@ -23,8 +23,8 @@ from veilspan.llm.common import cut_lineage, ship
 #: Pages of a host that are aligned, those with the smallest hash, and the nodes and depth of such
 #: a page at most. They bound the work of a host; extraction covers every page and whole pages.
 PAGES, NODES, DEPTH = 6, 1500, 150
-#: Share of the varying text that the content element must hold.
-SHARE = 0.85
+#: Links outside of these are navigation and do not tell where content is.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
 
 # Fixed sets of the HTML language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -282,23 +282,32 @@ def induce(pages: list[str]) -> dict | None:
         return None
     first, others = trees[0], trees[1:]
     seen: dict[int, list[str]] = {}
+    more: set[int] = set()  # elements of the first page in which another page has text of its own
     for other in others:
-        for x, y in aligned(first, other, {}):
-            seen.setdefault(id(x), []).append(_own_text(y))
-    path: list[str] = []
-    node, weight = first, _varying(first, seen)
-    if not weight:
+        partner = {id(y): x for x, y in aligned(first, other, {})}
+        todo = [(other, first, False)]
+        while todo:
+            y, around, prose = todo.pop()
+            x, prose = partner.get(id(y)), prose or y.tag in PROSE
+            if y.noise or y.tag == "a" and not prose:
+                continue
+            if x is not None:
+                seen.setdefault(id(x), []).append(_own_text(y))
+            elif _own_text(y):
+                more.add(id(around))
+            todo.extend((c, x or around, prose) for c in y.nodes())
+    varying = _varying(first, seen, more)
+    if not varying[id(first)]:
         return None
+    path: list[str] = []
+    node = first
     while node.tag not in ("article", "main"):
-        best = max(
-            ((_varying(c, seen), step, c) for step, c in steps(node) if not c.noise),
-            key=lambda x: x[0],
-            default=(0, "", node),
-        )
-        if best[0] < SHARE * weight or best[2].tag not in BLOCK or best[2].tag in ("p", "li", "h1", "h2", "h3"):
+        held = [(step, c) for step, c in steps(node) if varying.get(id(c))]
+        own = varying[id(node)] - sum(varying[id(c)] for _, c in held)
+        if own or len(held) != 1 or held[0][1].tag not in BLOCK - PROSE - {"li"}:
             break
-        path.append(best[1])
-        node = best[2]
+        path.append(held[0][0])
+        node = held[0][1]
     constant: list[list[str]] = []
     if node.tag not in ("article", "main") and len(others) >= 2:
         # All of an article is content; elsewhere what stands on every page is template.
@@ -309,25 +318,27 @@ def induce(pages: list[str]) -> dict | None:
                 texts, own = seen.get(id(c), []), _own_text(c)
                 if c.noise:
                     continue
-                if own and len(texts) == len(others) and set(texts) == {own} and not _varying(c, seen):
+                if own and len(texts) == len(others) and set(texts) == {own} and not varying.get(id(c)):
                     constant.append([*way, step])
                 else:
                     todo.append((c, [*way, step]))
     return {"path": path, "constant": constant}
 
 
-def _varying(node: Node, seen: dict[int, list[str]]) -> int:
-    """Characters below a node, outside noise and links, that are not the same on all pages."""
-    total, todo = 0, [node]
-    while todo:
-        x = todo.pop()
-        if x.noise or x.tag == "a":
-            continue
+def _varying(root: Node, seen: dict[int, list[str]], more: set[int]) -> dict[int, int]:
+    """By id(), of each node outside noise and navigation, how many nodes in it have a text that is
+    not the same on all pages, or other pages have more in them."""
+    order: list[tuple[Node, Node | None, bool]] = [(root, None, False)]
+    for x, _, prose in order:
+        inside = prose or x.tag in PROSE
+        order.extend((c, x, inside) for c in x.nodes() if not c.noise and (inside or c.tag != "a"))
+    out = dict.fromkeys([id(x) for x, _, _ in order], 0)
+    for x, around, _ in reversed(order):
         own = _own_text(x)
-        if own and (id(x) not in seen or any(t != own for t in seen[id(x)])):
-            total += len(own)
-        todo.extend(x.nodes())
-    return total
+        out[id(x)] += id(x) in more or bool(own and any(t != own for t in seen.get(id(x), [""])))
+        if around is not None:
+            out[id(around)] += out[id(x)]
+    return out
 
 
 def _walk(node: Node, path: list[str]) -> Node | None:
@@ -338,36 +349,42 @@ def _walk(node: Node, path: list[str]) -> Node | None:
     return node
 
 
-def _largest(root: Node, tag: str) -> Node | None:
-    """The element of a kind with the most text, outside noise and other such elements."""
-    found, todo = [], [root]
+def _largest(root: Node, tag: str) -> list[Node]:
+    """The element of a kind with the most text, outside noise and other such elements, and its
+    siblings of that kind."""
+    found, todo = [], [(root, [root])]
     while todo:
-        x = todo.pop()
+        x, siblings = todo.pop()
         if x.noise:
             continue
         if x.tag == tag:
-            found.append(x)
+            found.append((x, siblings))
         else:
-            todo.extend(reversed(x.nodes()))
-    return max(found, key=lambda x: sum(map(len, blocks(x))), default=None)
+            own = x.nodes()
+            todo.extend((c, own) for c in reversed(own))
+    if not found:
+        return []
+    _, siblings = max(found, key=lambda f: sum(map(len, blocks(f[0]))))
+    return [x for x in siblings if x.tag == tag and not x.noise]
 
 
 def extract(page: str, wrapper: dict | None) -> str:
-    """The main text of a page: the wrapper's element, else the page's article, main or body."""
+    """The main text of a page: the wrapper's element, else the page's articles, main or body."""
     root = parse(page)
     dropped: frozenset[int] = frozenset()
     content = _walk(root, wrapper["path"]) if wrapper else None
-    if content is not None and content.tag not in ("article", "main"):
-        inner = _largest(content, "article") or _largest(content, "main")
-        if inner is not None:
-            content = inner
-        else:
+    if content is None:
+        parts = _largest(root, "article") or _largest(root, "main") or _largest(root, "body") or [root]
+    elif content.tag in ("article", "main"):
+        around = _walk(root, wrapper["path"][:-1])
+        parts = [x for x in around.nodes() if x.tag == content.tag and not x.noise]
+    else:
+        parts = _largest(content, "article") or _largest(content, "main")
+        if not parts:
+            parts = [content]
             gone = [_walk(content, way) for way in wrapper["constant"]]
             dropped = frozenset(id(x) for x in gone if x is not None)
-    if content is None:
-        content = _largest(root, "article") or _largest(root, "main") or _largest(root, "body") or root
-    text = blocks(content, dropped)
-    return "\n".join(text)
+    return "\n".join([text for part in parts for text in blocks(part, dropped)])
 
 
 def host(url):
