@@ -99,3 +99,36 @@ def test_all_sibling_articles_stay():
     assert wrapper["path"][-1] == "article[0]"
     for known in (None, wrapper, html.induce([two(k) for k in range(5)])):
         assert html.extract(two(9), known) == "First, a longer one 9.\nSecond 9."
+
+
+def test_template_goes_only_with_its_text():
+    wrapper = html.induce([soup(k) for k in range(5)])
+    without = soup(9).replace("<p class=tag>Read our best stories</p>", "<p class=tag>The lead of story 9.</p>")
+    assert html.extract(without, wrapper).startswith("The lead of story 9.\nStory 9 begins")
+    # the template line is known although the first page lacks it
+    pages = [soup(0).replace("<p class=tag>Read our best stories</p>", ""), *[soup(k) for k in range(1, 6)]]
+    assert html.extract(soup(9), html.induce(pages)).startswith("Story 9 begins")
+
+
+def test_large_pages_are_aligned():
+    for extra in ("<p>more of it</p>" * 2000, "<div>" * 400 + "deep", "<ul>" + "<li><b>x</b></li>" * 900 + "</ul>"):
+        wrapper = html.induce([soup(k, extra) for k in range(4)])
+        assert "div.story[0]" in wrapper["path"]
+        assert html.extract(soup(9), wrapper).startswith("Story 9 begins")
+
+
+def test_constancy_is_confirmed_over_all_pages_of_a_host(spark):
+    def section(k, name):
+        return soup(k).replace("<p class=tag>", f"<p class=section>{name}</p><p class=tag>")
+
+    rows = [("http://a.b/", section(k, "News")) for k in range(60)]
+    hashes = {r.h: r.hash_ for r in spark.createDataFrame(rows, "u string, h string").selectExpr("h", "xxhash64('a.b', h) hash_").collect()}
+    first = sorted([h for _, h in rows], key=hashes.get)[:6]
+    rows = [(u, h if h in first else h.replace("News", f"Part {i % 20}")) for i, (u, h) in enumerate(rows)]
+    hashes = {r.h: r.hash_ for r in spark.createDataFrame(rows, "u string, h string").selectExpr("h", "xxhash64('a.b', h) hash_").collect()}
+    sampled = sorted([h for _, h in rows], key=hashes.get)[:6]
+    rows = [r for r in rows if r[1] in first or r[1] not in sampled]
+    found = html.main_texts(spark.createDataFrame(rows, "url string, html string")).collect()
+    for r in found:
+        assert "Read our best stories" not in r.main_text
+        assert r.main_text.split("\n")[0] in r.html and not r.main_text.startswith("Story")

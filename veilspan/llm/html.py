@@ -1,17 +1,20 @@
 """Main text of web pages by wrapper induction.
 
 For each host a few pages are parsed and their trees aligned with that of the first by simple tree
-matching. Aligned nodes whose text is the same on all of them are template; slots whose text
-varies are content. The wrapper is the path to the smallest element that holds all content outside
-menus, adverts and the like, and the places of constant text inside it. Every page of the
-host is then cut by its wrapper; a page whose tree lacks the wrapper's path is judged by its own.
+matching. Slots whose text varies are content. The wrapper is the path to the smallest element that holds all content outside
+menus, adverts and the like. Texts that stand at the same tags inside it on most of these pages may
+be template; they are if nearly all pages of the host have them, which all are counted for. Every
+page is then cut by its wrapper, where template goes only with its very text; a page whose tree
+lacks the wrapper's path is judged by its own.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pandas as pd
@@ -20,9 +23,12 @@ from pyspark.sql import functions as F
 
 from veilspan.llm.common import cut_lineage, ship
 
-#: Pages of a host that are aligned, those with the smallest hash, and the nodes and depth of such
-#: a page at most. They bound the work of a host; extraction covers every page and whole pages.
-PAGES, NODES, DEPTH = 6, 1500, 150
+#: Pages of a host that are aligned, those with the smallest hash. Larger trees than this, by nodes
+#: or depth, are aligned part by part from the top. Of an element with more than WIDE children those
+#: in the middle stay unaligned: they count as varying, so that the content element holds them.
+PAGES, NODES, DEPTH, WIDE = 6, 1500, 150, 200
+#: Template stands on so many of the host's pages at least.
+CONSTANT = 0.9
 #: Links outside of these are navigation and do not tell where content is.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
 
@@ -78,10 +84,10 @@ class Node:
     """An element: tag, signature (tag and classes), whether it is noise, and its children, which
     are nodes and texts in page order."""
 
-    __slots__ = ("children", "noise", "sign", "tag")
+    __slots__ = ("children", "cut", "noise", "sign", "tag")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.children = tag, []
+        self.tag, self.children, self.cut = tag, [], False
         self.sign, self.noise = tag, tag in SKIPPED
         if attributes and _KEEP.search(attributes):
             given = {
@@ -102,6 +108,10 @@ class Node:
     def nodes(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
 
+    def upper(self) -> list[Node]:
+        """Child nodes that take part in the alignment."""
+        return [c for c in self.nodes() if not c.cut]
+
 
 def parse(page: str) -> Node:
     """The tree of a page, however broken; texts keep their references and white space."""
@@ -229,7 +239,7 @@ def match(a: Node, b: Node, memo: dict) -> int:
         return 0
     key = (id(a), id(b))
     if key not in memo:
-        memo[key] = 1 + _table(a.nodes(), b.nodes(), memo)[-1][-1]
+        memo[key] = 1 + _table(a.upper(), b.upper(), memo)[-1][-1]
     return memo[key]
 
 
@@ -250,7 +260,7 @@ def aligned(a: Node, b: Node, memo: dict) -> Iterator[tuple[Node, Node]]:
     while todo:
         x, y = todo.pop()
         yield x, y
-        xs, ys = x.nodes(), y.nodes()
+        xs, ys = x.upper(), y.upper()
         rows = _table(xs, ys, memo)
         i, j = len(xs), len(ys)
         while i and j:
@@ -263,28 +273,63 @@ def aligned(a: Node, b: Node, memo: dict) -> Iterator[tuple[Node, Node]]:
                 todo.append((xs[i], ys[j]))
 
 
-def _small(node: Node) -> bool:
-    n, todo = 0, [(node, 0)]
-    while todo:
-        x, depth = todo.pop()
-        n += 1
-        if n > NODES or depth > DEPTH:
-            return False
-        todo.extend((c, depth + 1) for c in x.nodes())
-    return True
+def _limit(root: Node) -> None:
+    """Keep the upper NODES nodes below a root for the alignment, DEPTH levels at most."""
+    level, left = [root], NODES
+    for depth in range(DEPTH + 1):
+        below = []
+        for x in level:
+            own = x.nodes()
+            room = min(len(own), left, WIDE) if depth < DEPTH else 0
+            left -= room
+            for i, c in enumerate(own):
+                c.cut = room - room // 2 <= i < len(own) - room // 2
+            below += x.upper()
+        level = below
+
+
+def all_aligned(a: Node, b: Node) -> Iterator[tuple[Node, Node]]:
+    """Pairs of aligned nodes of trees of any size, part by part."""
+    parts = [(a, b)]
+    while parts:
+        top = parts.pop()
+        for x in top:
+            _limit(x)
+        for pair in list(aligned(*top, {})):
+            if pair != top and any(c.cut for x in pair for c in x.nodes()):
+                parts.append(pair)
+            else:
+                yield pair
+
+
+def _digest(*parts: str) -> str:
+    return blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).hexdigest()
+
+
+def slots(content: Node) -> list[tuple[str, Node]]:
+    """The nodes below an element, outside noise, that have a text of their own, each with a key:
+    a digest of the signatures that lead to it and of all that is in it."""
+    order = [(content, "")]
+    for x, way in order:
+        order.extend((c, _digest(way, c.sign)) for c in x.nodes() if not c.noise)
+    whole: dict[int, str] = {}
+    for x, _ in reversed(order):
+        parts = [" ".join(c.split()) if isinstance(c, str) else whole.get(id(c), "") for c in x.children]
+        whole[id(x)] = _digest(x.sign, *filter(None, parts))
+    return [(_digest(way, whole[id(x)]), x) for x, way in order[1:] if _own_text(x)]
 
 
 def induce(pages: list[str]) -> dict | None:
-    """The wrapper of a host's pages: path of the content element, and the paths inside it whose
-    text is constant; None if the pages tell nothing."""
-    trees = [t for t in map(parse, dict.fromkeys(pages)) if _small(t)]
+    """The wrapper of a host's pages: path of the content element, and keys of the slots inside it
+    that may be template; None if the pages tell nothing."""
+    trees = [parse(page) for page in dict.fromkeys(pages)]
     if len(trees) < 2:
         return None
     first, others = trees[0], trees[1:]
     seen: dict[int, list[str]] = {}
     more: set[int] = set()  # elements of the first page in which another page has text of its own
     for other in others:
-        partner = {id(y): x for x, y in aligned(first, other, {})}
+        partner = {id(y): x for x, y in all_aligned(first, other)}
         todo = [(other, first, False)]
         while todo:
             y, around, prose = todo.pop()
@@ -308,23 +353,19 @@ def induce(pages: list[str]) -> dict | None:
             break
         path.append(held[0][0])
         node = held[0][1]
-    constant: list[list[str]] = []
-    if node.tag not in ("article", "main") and len(others) >= 2:
-        # All of an article is content; elsewhere what stands on every page is template.
-        todo = [(node, [])]
-        while todo:
-            x, way = todo.pop()
-            for step, c in steps(x):
-                texts, own = seen.get(id(c), []), _own_text(c)
-                if c.noise:
-                    continue
-                if own and len(texts) == len(others) and set(texts) == {own} and not varying.get(id(c)):
-                    constant.append([*way, step])
-                else:
-                    todo.append((c, [*way, step]))
+    constant: list[str] = []
+    if node.tag not in ("article", "main"):
+        # All of an article is content; elsewhere what stands on most pages may be template.
+        held_by = Counter(key for tree in trees for key in _keys_of(tree, path))
+        constant = sorted(k for k, n in held_by.items() if n >= 3 and 2 * n > len(trees))
     return {"path": path, "constant": constant}
 
 
+def _keys_of(root: Node, path: list[str]) -> set[str]:
+    content = _walk(root, path)
+    return set() if content is None else {key for key, _ in slots(content)}
+
+
 def _varying(root: Node, seen: dict[int, list[str]], more: set[int]) -> dict[int, int]:
     """By id(), of each node outside noise and navigation, how many nodes in it have a text that is
     not the same on all pages, or other pages have more in them."""
@@ -382,8 +423,9 @@ def extract(page: str, wrapper: dict | None) -> str:
         parts = _largest(content, "article") or _largest(content, "main")
         if not parts:
             parts = [content]
-            gone = [_walk(content, way) for way in wrapper["constant"]]
-            dropped = frozenset(id(x) for x in gone if x is not None)
+            template = set(wrapper["constant"])
+            if template:
+                dropped = frozenset(id(x) for key, x in slots(content) if key in template)
     return "\n".join([text for part in parts for text in blocks(part, dropped)])
 
 
@@ -409,6 +451,47 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", mos
     return few.groupBy("host_").applyInPandas(learn, "host_ string, wrapper string")
 
 
+def confirmed(pages: DataFrame, learned: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``learned`` with only those slots in its wrappers that nearly all pages of the host have."""
+    open_ = learned.filter("get_json_object(wrapper, '$.constant') <> '[]'")
+    rows = (
+        pages.select(host(F.col(url_col)).alias("host_"), F.col(html_col).alias("html_"))
+        .filter("html_ <> ''")
+        .join(open_, "host_")
+    )
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter[tuple[str, str]] = Counter()
+        for batch in batches:
+            for name, page, plan in zip(batch["host_"], batch["html_"], batch["wrapper"], strict=True):
+                wrapper = json.loads(plan)
+                seen[name, ""] += 1
+                seen.update((name, k) for k in _keys_of(parse(page), wrapper["path"]).intersection(wrapper["constant"]))
+            if len(seen) > 100_000:
+                yield _counted(seen)
+                seen.clear()
+        yield _counted(seen)
+
+    n = rows.select("host_", "html_", "wrapper").mapInPandas(count, "host_ string, key string, n long")
+    n = n.groupBy("host_", "key").agg(F.sum("n").alias("n"))
+    # Keys of a host come from its few aligned pages, so the list is as short as those are.
+    by_host = n.groupBy("host_").agg(
+        F.max(F.when(F.col("key") == "", F.col("n"))).alias("pages_"),
+        F.collect_list(F.when(F.col("key") != "", F.struct("key", "n"))).alias("keys_"),
+    )
+    kept = F.expr(f"transform(filter(keys_, x -> x.n >= {CONSTANT} * pages_), x -> x.key)")
+    by_host = by_host.select("host_", F.array_sort(kept).alias("kept_"))
+    path = F.from_json("wrapper", "path array<string>")["path"]
+    anew = F.to_json(F.struct(path.alias("path"), F.col("kept_").alias("constant")))
+    return learned.join(by_host, "host_", "left").select(
+        "host_", F.when(F.col("kept_").isNull(), F.col("wrapper")).otherwise(anew).alias("wrapper")
+    )
+
+
+def _counted(seen: Counter) -> pd.DataFrame:
+    return pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["host_", "key", "n"]).astype({"n": "int64"})
+
+
 def main_texts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` with main_text and wrapper (JSON, null without one) added.
 
@@ -417,7 +500,8 @@ def main_texts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     """
     ship(pages.sparkSession)
     pages = pages.drop("main_text", "wrapper")
-    learned = cut_lineage(wrappers(pages, url_col, html_col)).withColumnRenamed("host_", "__host")
+    learned = cut_lineage(wrappers(pages, url_col, html_col))
+    learned = cut_lineage(confirmed(pages, learned, url_col, html_col)).withColumnRenamed("host_", "__host")
 
     @F.pandas_udf("string")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
