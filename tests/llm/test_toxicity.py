@@ -83,3 +83,19 @@ def test_held_out_rows_are_not_learned_from(spark):
     docs = spark.createDataFrame([(i, "bad words") for i in ids], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, toxic int")
     assert toxicity.train(docs, labels).bias == toxicity.fit([], np.array([], dtype=bool)).bias
+
+
+def test_the_bound_counts_labelled_documents(spark, monkeypatch):
+    texts, labels = corpus(300, 6)
+    ids = [r.id for r in spark.range(3000).filter(~toxicity.held_out(toxicity.F.col("id"))).collect()]
+    sizes, fit = [], toxicity.fit_bags
+    monkeypatch.setattr(toxicity, "fit_bags", lambda bags, y, *a: sizes.append(len(bags)) or fit(bags, y, *a))
+    # ids without a document do not use up the bound
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(labels[k % 300])) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    assert toxicity.train(docs, known, most=200).bias != -3.0 and sizes == [200]
+    # nor do an id's many rows go beyond it, and each other id keeps its text
+    many = docs.union(spark.createDataFrame([(ids[0], f"row {k}") for k in range(400)] * 2, docs.schema))
+    toxicity.train(many, known, most=350)
+    toxicity.train(many, known, most=2000)
+    assert sizes == [200, 350, 700]

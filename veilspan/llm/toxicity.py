@@ -20,7 +20,8 @@ from veilspan.llm.common import Words, ship, slices
 
 #: Buckets of the hashed words.
 BITS = 20
-#: The model is fitted on at most so many labelled rows, those with the smallest hash of their id.
+#: The model is fitted on at most so many different labelled texts: one of each of the ids that have
+#: a document, those with the smallest hash first, and then further texts of these ids.
 MAX_LABELLED = 6_000
 #: A word takes part in the fit if so many of these documents hold it.
 MIN_DOCS = 4
@@ -69,29 +70,44 @@ class Model:
         return np.clip(out, 0.0, 1.0), parts
 
 
+def bag(texts: list[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
+    """Of each text how many sentences it has, and of each word its sentence and its bucket, as
+    32-bit integers."""
+    for a, b in slices(texts):
+        words = Words(texts[a:b], _WORD)
+        sentence, starts = _sentences(words)
+        first = np.searchsorted(starts, words.offset)
+        bucket = (words.hashes() >> np.uint64(64 - BITS)).astype(np.int32)
+        for i in range(b - a):
+            own = slice(words.first[i], words.first[i + 1])
+            inside = (sentence[own] - first[i]).astype(np.int32)
+            yield int(first[i + 1] - first[i]), inside.tobytes(), bucket[own].tobytes()
+
+
 def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 250, penalty: float = 2e-4) -> Model:
+    """``fit_bags`` on texts."""
+    return fit_bags(list(bag(texts)), labels, rounds, penalty)
+
+
+def fit_bags(
+    bags: list[tuple[int, bytes, bytes]], labels: np.ndarray, rounds: int = 250, penalty: float = 2e-4
+) -> Model:
     """Weights by proximal Adam on the noisy-or likelihood, with an L1 penalty.
 
     Without labelled rows, or with one label only, the score is that label's rate for all texts.
     """
     weights = np.zeros(1 << BITS)
-    n = len(texts)
+    n = len(bags)
     positive = float(np.sum(labels))
     if n == 0 or positive in (0.0, float(n)):
         rate = (positive + 0.5) / (n + 1.0)
         return Model(weights, float(np.log(rate / (1.0 - rate))) if n else -3.0)
-    bucket, sentence, doc_of = [], [], []
-    sentences = 0
-    for a, b in slices(texts):
-        words = Words(texts[a:b], _WORD)
-        own, starts = _sentences(words)
-        first = np.searchsorted(starts, words.offset)
-        bucket.append((words.hashes() >> np.uint64(64 - BITS)).astype(np.int32))
-        sentence.append((own + sentences).astype(np.int32))
-        doc_of.append(np.repeat(np.arange(a, b), np.diff(first)))
-        sentences += len(starts)
-    bucket, sentence, doc_of = map(np.concatenate, (bucket, sentence, doc_of))
-    doc_of = np.pad(doc_of, (0, sentences - len(doc_of)), constant_values=n - 1)
+    counts = np.array([b[0] for b in bags], dtype=np.int64)
+    first = np.cumsum(counts) - counts
+    bucket = np.concatenate([np.frombuffer(b[2], dtype=np.int32) for b in bags])
+    own = [np.frombuffer(b[1], dtype=np.int32) + at for b, at in zip(bags, first, strict=True)]
+    sentence = np.concatenate(own).astype(np.int32)
+    sentences, doc_of = int(counts.sum()), np.repeat(np.arange(n), counts)
 
     # Words that stand more often in positive documents than chance allows, or less often.
     pairs = np.unique(doc_of[sentence].astype(np.int64) << BITS | bucket)
@@ -151,7 +167,8 @@ def train(
     label_col: str = "toxic",
     most: int = MAX_LABELLED,
 ) -> Model:
-    """Fit on the labelled rows that are not held out, ``most`` of them at the most.
+    """Fit on the labelled rows that are not held out, ``most`` different ones at the most. Words are
+    hashed in the tasks; no text comes to the driver.
 
     Rows without an id or a label do not take part; an id with several labels counts as positive
     if one of them is.
@@ -161,13 +178,47 @@ def train(
         .filter(F.col("id_").isNotNull() & F.col("y_").isNotNull() & ~held_out(F.col("id_")))
         .groupBy("id_")
         .agg(F.max("y_").alias("y_"))
-        .orderBy(F.xxhash64("id_"), "id_")
-        .limit(most)
     )
-    rows = docs.select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("t_"))
-    found = rows.join(F.broadcast(known), "id_").select("id_", "y_", "t_").collect()
-    found.sort(key=lambda r: (r["id_"], r["t_"]))
-    return fit([r["t_"].encode() for r in found], np.array([r["y_"] > 0 for r in found], dtype=bool))
+    spark = docs.sparkSession
+    ship(spark)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id_"), text.alias("t_")).withColumn("h_", F.xxhash64("t_"))
+    # One row for each id before the join, so that an id of very many rows is one row of it.
+    one = rows.groupBy("id_").agg(F.min("h_").alias("h_"), F.max("h_").alias("last_")).join(known, "id_")
+    found = one.orderBy(F.xxhash64("id_"), "id_").limit(most).collect()
+    labelled = {r["id_"]: r["y_"] for r in found}
+    chosen = [(r["id_"], r["h_"]) for r in found]
+    several = [(r["id_"], r["h_"]) for r in found if r["last_"] != r["h_"]]
+    kind = docs.schema[id_col].dataType.simpleString()
+    if several and len(chosen) < most:
+        firsts = F.broadcast(spark.createDataFrame(several, f"id_ {kind}, lead_ long"))
+        others = rows.join(firsts, "id_").filter("h_ <> lead_").select("id_", "h_").distinct()
+        others = others.orderBy(F.xxhash64("id_", "h_"), "id_", "h_").limit(most - len(chosen))
+        chosen += [(r["id_"], r["h_"]) for r in others.collect()]
+    if not chosen:
+        return fit_bags([], np.array([], dtype=bool))
+
+    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple] = set()
+        for batch in batches:
+            fresh = []
+            for key in zip(batch["id_"], batch["h_"], batch["t_"], strict=True):
+                if key[:2] not in seen:
+                    seen.add(key[:2])
+                    fresh.append(key)
+            made = bag([t.encode() for _, _, t in fresh])
+            yield pd.DataFrame(
+                [(i, h, *b) for (i, h, _), b in zip(fresh, made, strict=True)],
+                columns=["id_", "h_", "n", "sentence", "bucket"],
+            )
+
+    wanted = F.broadcast(spark.createDataFrame(chosen, f"id_ {kind}, h_ long"))
+    schema = f"id_ {kind}, h_ long, n int, sentence binary, bucket binary"
+    hashed = rows.join(wanted, ["id_", "h_"]).select("id_", "h_", "t_").mapInPandas(bags, schema)
+    got = hashed.dropDuplicates(["id_", "h_"]).collect()
+    got.sort(key=lambda r: (r["id_"], r["h_"]))
+    made = [(r["n"], bytes(r["sentence"]), bytes(r["bucket"])) for r in got]
+    return fit_bags(made, np.array([labelled[r["id_"]] > 0 for r in got], dtype=bool))
 
 
 def score(
