@@ -1,0 +1,152 @@
+import hashlib
+from collections import Counter
+
+import public_tokenizers as P
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
+
+from veilspan.llm import align
+
+RANKS, MODEL = P.path("byte_bpe_50k.tiktoken"), P.path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def sides():
+    a = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    shown = {}
+    for byte in range(256):  # the letter that byte-level tokens use for a byte
+        if byte < 128:
+            shown[ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(byte))[0][0]] = byte
+    for code in range(0x80, 0x110000, 37):
+        if 0xD800 <= code < 0xE000:
+            continue
+        letters = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(code))[0][0]
+        shown.update(zip(letters, chr(code).encode()))
+
+    def of_a(text):
+        ids = a.encode(" " + text, add_special_tokens=False).ids
+        return ids, [bytes(shown[c] for c in a.id_to_token(i)) for i in ids]
+
+    def of_b(text):
+        ids, out = b.encode(text), []
+        for i in ids:
+            piece = b.id_to_piece(i)
+            out.append(bytes([int(piece[3:5], 16)]) if b.is_byte(i) else piece.replace("▁", " ").encode())
+        return ids, out
+
+    return of_a, of_b
+
+
+def groups_of(text, sides):
+    """The groups by walking along both sides byte by byte; None without tokens."""
+    (a, a_bytes), (b, b_bytes) = sides[0](text or ""), sides[1](text or "")
+    raw = (" " + (text or "")).encode()
+    if not text or b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
+        return None
+
+    def ends(parts):
+        out, at = {}, 0
+        for i, x in enumerate(parts):
+            at += len(x)
+            out[at] = i
+        return out
+
+    end_a, end_b = ends(a_bytes), ends(b_bytes)
+    groups, i, j = [], 0, 0
+    for at in range(len(raw) + 1):
+        if at in end_a and at in end_b:
+            groups.append((a[i : end_a[at] + 1], b[j : end_b[at] + 1]))
+            i, j = end_a[at] + 1, end_b[at] + 1
+    return groups
+
+
+def expected(texts, sides):
+    found = [groups_of(t, sides) for t in texts]
+    counts = Counter((a[-1], b[-1]) for g in found if g for a, b in g)
+    most = {}
+    for (_, b), n in counts.items():
+        most[b] = max(most.get(b, 0), n)
+    out = []
+    for g in found:
+        if g is None:
+            out.append((0, 0, 0, 0, 0, 0, ""))
+            continue
+        links = [(a[-1], b[-1]) for a, b in g]
+        text = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in g)
+        out.append(
+            (
+                sum(len(a) for a, _ in g),
+                sum(len(b) for _, b in g),
+                len(g),
+                len(links),
+                sum(counts[x] == most[x[1]] for x in links),
+                sum(counts[x] for x in links),
+                hashlib.sha256(text.encode()).hexdigest(),
+            )
+        )
+    return out
+
+
+TEXTS = [
+    None,
+    "",
+    " ",
+    "the theatre of the absurd",
+    "the theatre of the absurd",
+    "  two  blanks \n\n and\ta tab ",
+    " opens with one",
+    "ends with one ",
+    "▁ a piece's own blank",
+    "<s> and </s> and <unk> and <|endoftext|>",
+    "Ünïcödé ☃ 😀 漢字かな  x  y  z",
+    "\x00 \x1c x \x85 y",
+    "12345 67890.50 can't won't I'll",
+    "aaaa " * 300,
+    "x" * 5000,
+    " " * 700,
+    "﻿ bom ́ accent",
+]
+
+
+@pytest.mark.parametrize("hot", [align.HOT, 3, 0])
+def test_against_a_walk_along_the_bytes(spark, sides, hot):
+    rows = [(i, t, "x", i, 1) for i, t in enumerate(TEXTS)] + [(None, "the end", "x", 7, 1), (3, "same id", "x", 7, 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, pairs string, row_ int, n_a int").repartition(3)
+    found = align.align(frame, RANKS, MODEL, hot=hot).collect()
+    want = expected([r[1] for r in rows], sides)
+    assert sorted(map(repr, map(tuple, found))) == sorted(repr((r[0], *w)) for r, w in zip(rows, want))
+
+
+def test_groups_themselves(spark, sides):
+    frame = spark.createDataFrame([("k", "unbelievable theatre"), ("n", None)], "key string, body string")
+    rows = {r.key: r for r in align.align(frame, RANKS, MODEL, "key", "body", keep_groups=True).collect()}
+    assert rows["k"].groups == align.shown(groups_of("unbelievable theatre", sides))
+    assert rows["k"].groups_sha256 == hashlib.sha256(rows["k"].groups.encode()).hexdigest()
+    assert rows["n"].groups_sha256 == "" and rows["n"].groups == ""
+
+
+def test_empty_table(spark):
+    frame = spark.createDataFrame([], "doc_id long, text string")
+    assert align.align(frame, RANKS, MODEL).collect() == []
+
+
+ALIGNER = align.Aligner(RANKS, MODEL)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(" \n\t▁.'a1é"), st.characters(exclude_categories=["Cs"])), max_size=60))
+def test_pieces_give_the_same_as_the_whole(text):
+    whole, pieced = ALIGNER.align(text), ALIGNER.text(text)
+    if text:
+        assert pieced == whole
+
+
+def test_slices():
+    assert align.slices_of([1, 2, 3], [2, 2, 1], [7, 8], [4, 1]) == [([1, 2], [7]), ([3], [8])]
+    assert align.shown([([1, 2], [7]), ([3], [8, 9])]) == "1,2|7;3|8,9"

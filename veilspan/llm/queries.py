@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import bpe, exact, html, jaccard, licenses, lines, packing, pii, topk, toxicity
+from veilspan.llm import (
+    align,
+    bpe,
+    exact,
+    html,
+    jaccard,
+    licenses,
+    lines,
+    packing,
+    pii,
+    quality,
+    search,
+    topk,
+    toxicity,
+)
 from veilspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,6 +155,101 @@ FROM t JOIN g USING (whole)
 """
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return align.align(table(spark, sf_dir, "documents"), ranks, model)
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    fact = {c: F.col("quality")[c] for c in quality.FACTS}
+    base = [rule.fails(F.col("text"), F.array(), fact) for rule in quality.BASE]
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select(
+        "doc_id",
+        *[fact[c].alias(c) for c in columns],
+        (base[0] | base[1]).alias("base_failed"),
+        F.col("quality.kept").alias("kept"),
+    )
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)),
+      lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+w AS (
+  SELECT row, i, array_to_string(list_slice(words, i, i + 7), ' ') AS win
+  FROM (SELECT row, words, unnest(generate_series(1, len(words) - 7)) AS i FROM d)),
+r AS (SELECT row, i FROM w QUALIFY count(*) OVER (PARTITION BY row, win) > 1),
+c AS (
+  SELECT row, sum(least(8, coalesce(lead(i) OVER (PARTITION BY row ORDER BY i) - i, 8))) AS n
+  FROM r GROUP BY row, i),
+p AS (SELECT row, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY row),
+f AS (
+  SELECT doc_id, text, words, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) AS BIGINT) AS n_lines,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    coalesce(n, 0) AS n_repeat_words
+  FROM d LEFT JOIN p USING (row)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed
+    OR 100 * n_symbols > 10 * n_words
+    OR word_chars < 3 * n_words OR word_chars > 12 * n_words
+    OR 100 * n_dup_lines > 40 * n_lines
+    OR 100 * length(regexp_replace(text, '[^!?]', '', 'g')) > 50 * n_words
+    OR 100 * length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) > 50 * word_chars
+    OR 100 * len(list_filter(words, lambda x: NOT regexp_matches(x, '\p{L}'))) > 20 * n_words
+    OR 100 * len(list_filter(list_zip(words[2:], words[:-2]), lambda x: x[1] = x[2])) > 20 * n_words
+  ) AS kept
+FROM b
+"""
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d WHERE len(terms) > 0),
+q AS (
+  SELECT row_number() OVER () AS item, item_id,
+    list_distinct(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS terms
+  FROM benchmark),
+i AS (SELECT item, item_id, unnest(terms) AS term FROM q),
+p AS (
+  SELECT row, term, count(*) AS tf
+  FROM (SELECT row, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+f AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM p, s GROUP BY term, n_docs),
+m AS (
+  SELECT row, doc_id, 10 + (90 * CAST(len(terms) AS BIGINT) * n_docs) // n_terms AS m
+  FROM d, s WHERE len(terms) > 0),
+t AS (
+  SELECT item, any_value(item_id) AS item_id, row, any_value(doc_id) AS doc_id,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM i JOIN p USING (term) JOIN f USING (term) JOIN m USING (row) GROUP BY item, row),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INT) AS rank
+  FROM t WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 def registry() -> dict[str, Query]:
     return {
         "op1_html": op1_html,
@@ -153,8 +262,17 @@ def registry() -> dict[str, Query]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_packing": op9_packing,
         "op10_pii": op10_pii,
+        "op11_alignment": op11_alignment,
+        "op12_quality": op12_quality,
+        "op13_search": op13_search,
     }
 
 
 def oracle() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op4_line_dedup": OP4_SQL, "op8_exact_dedup": OP8_SQL}
+    return {
+        "op2_topk": OP2_SQL,
+        "op4_line_dedup": OP4_SQL,
+        "op8_exact_dedup": OP8_SQL,
+        "op12_quality": OP12_SQL,
+        "op13_search": OP13_SQL,
+    }
