@@ -1,4 +1,5 @@
 import hashlib
+from array import array
 from collections import Counter
 
 import public_tokenizers as P
@@ -126,7 +127,8 @@ def test_against_a_walk_along_the_bytes(spark, sides, hot):
 def test_groups_themselves(spark, sides):
     frame = spark.createDataFrame([("k", "unbelievable theatre"), ("n", None)], "key string, body string")
     rows = {r.key: r for r in align.align(frame, RANKS, MODEL, "key", "body", keep_groups=True).collect()}
-    assert rows["k"].groups == align.shown(groups_of("unbelievable theatre", sides))
+    groups = groups_of("unbelievable theatre", sides)
+    assert rows["k"].groups == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
     assert rows["k"].groups_sha256 == hashlib.sha256(rows["k"].groups.encode()).hexdigest()
     assert rows["n"].groups_sha256 == "" and rows["n"].groups == ""
 
@@ -139,14 +141,27 @@ def test_empty_table(spark):
 ALIGNER = align.Aligner(RANKS, MODEL)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(st.one_of(st.sampled_from(" \n\t▁.'a1é"), st.characters(exclude_categories=["Cs"])), max_size=60))
-def test_pieces_give_the_same_as_the_whole(text):
-    whole, pieced = ALIGNER.align(text), ALIGNER.text(text)
-    if text:
-        assert pieced == whole
+@settings(max_examples=200, deadline=None)
+@given(text=st.text(st.one_of(st.sampled_from(" \n\t▁.'a1é"), st.characters(exclude_categories=["Cs"])), max_size=60))
+def test_random_texts(sides, text):
+    [found], groups = ALIGNER.align([text]), groups_of(text, sides)
+    if groups is None:
+        assert (found.n_a, found.n_b, found.n_groups, found.groups, len(found.links)) == (0, 0, 0, '', 0)
+    else:
+        assert found.groups == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+        assert list(array("q", found.links)) == [(a[-1] << align.SHIFT) + b[-1] for a, b in groups]
+        assert (found.n_a, found.n_b) == (sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups))
 
 
 def test_slices():
-    assert align.slices_of([1, 2, 3], [2, 2, 1], [7, 8], [4, 1]) == [([1, 2], [7]), ([3], [8])]
-    assert align.shown([([1, 2], [7]), ([3], [8, 9])]) == "1,2|7;3|8,9"
+    found = align.align_ids([1, 2, 3], [7, 8], align.Side([0, 2, 2, 1]), align.Side([0] * 7 + [4, 1]))
+    assert found[:4] == (3, 2, 2, "1,2|7;3|8")
+    assert list(array("q", found.links)) == [(2 << align.SHIFT) + 7, (3 << align.SHIFT) + 8]
+
+
+def test_words_are_forgotten_and_learnt_again(sides, monkeypatch):
+    monkeypatch.setattr(align, "REMEMBER", 0)
+    aligner = align.Aligner(RANKS, MODEL)
+    for text in ("one two three", "two four", "one two three"):
+        [found] = aligner.align([text])
+        assert found.n_groups == len(groups_of(text, sides))

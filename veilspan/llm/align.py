@@ -5,10 +5,6 @@ made of each, and the ends that both dictionaries have, in order, slice the two
 groups. The last tokens of a group's two sides end together: that is its link. Every token has a
 byte at least, so no two tokens of one side end together, and a group has exactly one link.
 
-Neither side has a token across a blank that follows another character: a blank there begins a
-pre-token, and no piece holds a blank behind anything but blanks. Texts are therefore aligned piece
-by piece, and the pieces' alignments remembered.
-
 How often an id pair is linked is counted over all documents. The counts go back to the links of
 every document: those of the most frequent pairs, a bounded number, by broadcast, all others by a
 join.
@@ -18,7 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache, reduce
 from typing import NamedTuple
 
@@ -28,105 +25,115 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.bpe import REMEMBER, encoding
-from veilspan.llm.common import cut_lineage, ship
+from veilspan.llm.bpe import encoding
+from veilspan.llm.common import cut_lineage, ship, slices
 
 #: Id pairs whose counts travel by broadcast, the most frequent ones: 16 bytes each.
 HOT = 1 << 17
 #: A link is one number: the first side's id times this, plus the second side's.
 SHIFT = 32
+#: A task forgets the words it has met when they and their ids take about so many bytes.
+REMEMBER = 128 << 20
 
 _CUT = re.compile(r"(?<=\S) ")
 
-def slices_of(
-    a: list[int], a_sizes: list[int], b: list[int], b_sizes: list[int]
-) -> list[tuple[list[int], list[int]]]:
-    """The groups of two id lists whose tokens have so many bytes."""
 
-    def at(sizes: list[int]) -> dict[int, int]:
-        ends = np.cumsum(sizes).tolist()
-        return {end: i + 1 for i, end in enumerate(ends)}
+class Aligned(NamedTuple):
+    n_a: int = 0
+    n_b: int = 0
+    n_groups: int = 0
+    groups: str = ""
+    links: bytes = b""
 
-    at_a, at_b = at(a_sizes), at(b_sizes)
-    out = []
-    i = j = 0
-    for end in sorted(at_a.keys() & at_b.keys()):
-        out.append((a[i : at_a[end]], b[j : at_b[end]]))
-        i, j = at_a[end], at_b[end]
-    return out
 
+class Side:
+    """Of every id of one tokenizer: how many bytes it has, and how it is shown."""
 
-def shown(groups: list[tuple[list[int], list[int]]]) -> str:
-    """``a1,a2|b1;a3|b2,b3``."""
-    return ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+    def __init__(self, sizes: list[int]):
+        self.sizes = sizes
+        self.shown = [str(i) for i in range(len(sizes))]
 
+    def ends(self, ids: list[int]) -> dict[int, int]:
+        """Where each token ends, in bytes, to how many tokens end there or before."""
+        at, end = {}, 0
+        for i, token in enumerate(ids, 1):
+            end += self.sizes[token]
+            at[end] = i
+        return at
 
-class Piece(NamedTuple):
-    same: bool
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    links: bytes
+    def show(self, ids: list[int]) -> str:
+        return self.shown[ids[0]] if len(ids) == 1 else ",".join([self.shown[i] for i in ids])
 
 
-@lru_cache(2)
-def _model(path: str) -> tuple[sentencepiece.SentencePieceProcessor, list[bytes], bool]:
-    """A model, the bytes of its pieces, and whether a piece holds a blank behind something else."""
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-    blank = "▁"
-    as_bytes = [
-        bytes([int(name[3:5], 16)]) if model.is_byte(i) else name.replace(blank, " ").encode()
-        for i, name in enumerate(names)
-    ]
-    return model, as_bytes, any(blank in name.lstrip(blank) for name in names)
+def align_ids(a: list[int], b: list[int], a_side: Side, b_side: Side) -> Aligned:
+    """The groups of two id lists: the ends that both sides' dictionaries have, in order, slice
+    the lists, and the last tokens of two slices are linked."""
+    at_a, at_b = a_side.ends(a), b_side.ends(b)
+    i = j = 0
+    groups, links = [], []
+    for end in sorted(at_a.keys() & at_b.keys()):
+        x, y = at_a[end], at_b[end]
+        groups.append(a_side.show(a[i:x]) + "|" + b_side.show(b[j:y]))
+        links.append((a[x - 1] << SHIFT) + b[y - 1])
+        i, j = x, y
+    return Aligned(len(a), len(b), len(links), ";".join(groups), array("q", links).tobytes())
 
 
-class Aligner(dict):
-    """Alignments of pieces: a piece's text without its leading blank, to its ``Piece``."""
+class Aligner:
+    """Alignments of whole texts.
+
+    Neither side has a token across a blank that follows another character: there a pre-token
+    begins, and no piece of the model holds a blank behind anything but blanks. So texts are cut
+    there into words, each new word is aligned once, and that is remembered for a while.
+    """
 
     def __init__(self, ranks_path: str, model_path: str):
         self.a = encoding(ranks_path)
-        self.b, self.b_bytes, self.whole = _model(model_path)
-
-    def align(self, text: str) -> Piece:
-        """Of a blank and the text; ``same`` is False where either side's bytes are others."""
-        raw = (" " + text).encode()
-        a = self.a.encode_ordinary(" " + text)
-        b = self.b.encode(text)
-        a_bytes = self.a.decode_tokens_bytes(a)
-        b_bytes = [self.b_bytes[i] for i in b]
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-            return Piece(False, 0, 0, 0, "", b"")
-        groups = slices_of(a, list(map(len, a_bytes)), b, list(map(len, b_bytes)))
-        links = [(x[-1] << SHIFT) + y[-1] for x, y in groups]
-        return Piece(
-            True, len(a), len(b), len(groups), shown(groups), np.array(links, dtype="<i8").tobytes()
+        self.a_side = Side(
+            [len(self.a.decode_single_token_bytes(i)) for i in range(self.a.n_vocab)]
         )
-
-    def __missing__(self, piece: str) -> Piece:
-        if len(self) >= REMEMBER:
-            self.clear()
-        found = self.align(piece)
-        if len(piece) <= 64:
-            self[piece] = found
-        return found
-
-    def text(self, text: str | None) -> Piece:
-        """Of a whole text; no tokens where a side does not give its bytes back, or it has none."""
-        nothing = Piece(False, 0, 0, 0, "", b"")
-        if not text:
-            return nothing
-        if self.whole:
-            return self.align(text)
-        # A blank that opens the text follows the one that is put before it.
-        first, *rest = _CUT.split(text)
-        found = [self[first], *[self[p] for p in rest]]
-        same, n_a, n_b, n_groups, groups, links = zip(*found, strict=True)
-        if not all(same):
-            return self.align(text)
-        return Piece(True, sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(links))
+        self.b = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.whole = any("▁" in x.lstrip("▁") for x in names)
+        self.b_bytes = [
+            bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode()
+            for i, x in enumerate(names)
+        ]
+        self.b_side = Side(list(map(len, self.b_bytes)))
+        self.known: dict[str, Aligned | None] = {}
+        self.held = 0
+
+    def learn(self, words: set[str]) -> None:
+        """Align the words, each behind a blank; None where a side does not give it back."""
+        if self.held > REMEMBER:
+            self.known.clear()
+            self.held = 0
+        new = [w for w in words if w not in self.known]
+        for word, b in zip(new, self.b.encode(new), strict=True):
+            a, raw = self.a.encode_ordinary(" " + word), (" " + word).encode()
+            found = None
+            if self.a.decode_bytes(a) == raw and b"".join([self.b_bytes[i] for i in b]) == raw:
+                found = align_ids(a, b, self.a_side, self.b_side)
+                self.held += len(found.groups) + len(found.links)
+            self.known[word] = found
+            self.held += 300 + len(word)
+
+    def align(self, texts: Iterable[str | None]) -> Iterator[Aligned]:
+        """Of whole texts; without tokens where one has none or a side does not give it back."""
+        cut = [_CUT.split(t) if t and not self.whole else [t or ""] for t in texts]
+        for lo, hi in slices([b" " * sum(map(len, words)) for words in cut]):
+            self.learn({w for words in cut[lo:hi] for w in words})
+            for words in cut[lo:hi]:
+                found = [self.known[w] for w in words]
+                if None in found:  # its words may still make up for each other
+                    text = " ".join(words)
+                    self.learn({text})
+                    found = [self.known[text] or Aligned()]
+                if words == [""]:
+                    yield Aligned()
+                else:
+                    n_a, n_b, n_groups, groups, links = zip(*found, strict=True)
+                    yield Aligned(sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(links))
 
 
 @lru_cache(2)
@@ -143,9 +150,9 @@ def aligned(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(ranks_path, model_path)
         for batch in batches:
-            done = [aligner.text(t) for t in batch.column("text_").to_pylist()]
+            done = list(aligner.align(batch.column("text_").to_pylist()))
             counted = [
-                np.unique(np.frombuffer(p.links, dtype="<i8"), return_counts=True) for p in done
+                np.unique(np.frombuffer(p.links, dtype=np.int64), return_counts=True) for p in done
             ]
             cuts = np.concatenate([[0], np.cumsum([len(p) for p, _ in counted])]).astype(np.int32)
 
@@ -206,8 +213,8 @@ def align(
     """
     ship(docs.sparkSession)
     done = cut_lineage(aligned(docs, ranks_path, model_path, id_col, text_col, keep_groups))
-    links = done.select("row_", F.arrays_zip("pairs", "uses").alias("l")).select(
-        "row_", F.inline("l").alias("pair", "uses")
+    links = done.select("row_", "uses", F.posexplode("pairs").alias("i", "pair")).select(
+        "row_", "pair", F.get("uses", F.col("i")).alias("uses")
     )
     counted = cut_lineage(links.groupBy("pair").agg(F.sum("uses").alias("count")))
     second = F.col("pair") % F.lit(1 << SHIFT)
