@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 import veilspan as v
 from veilspan.operators.vault import vault_entries
 from veilspan.sources.texts import stream_texts
-from veilspan.streaming.streams import _update_vault, scrub_token_stream
+from veilspan.sources.vaults import add_entries
+from veilspan.streaming.streams import scrub_token_stream
 
 SCHEMA = "id int, text string"
 
@@ -54,7 +55,7 @@ def test_replayed_batches_leave_the_vault_unchanged(spark, inbox, tmp_path):
     finish(v.vault_stream(stream(spark, inbox), path, str(tmp_path / "c1"), secret="s"))
     first = sorted(map(tuple, v.load_vault(spark, path).collect()))
     finish(v.vault_stream(stream(spark, inbox), path, str(tmp_path / "c2"), secret="s"))
-    _update_vault(spark.read.parquet(inbox), path, "default", "s", "text", v.pii_summary.__defaults__[1])
+    add_entries(spark, vault_entries(spark.read.parquet(inbox)), path, "s")
     assert sorted(map(tuple, v.load_vault(spark, path).collect())) == first
     assert len(first) == 45
     batch = v.build_vault(vault_entries(spark.read.parquet(inbox)), "s")

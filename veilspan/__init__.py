@@ -43,9 +43,14 @@ from veilspan.operators.summary import (
     summary_with_source,
 )
 from veilspan.operators.vault import build_vault, span_entries, vault_collisions, vault_entries
-from veilspan.plans.scrub import scrub_to_vault, scrub_with_ner, with_entities
+from veilspan.plans.scrub import (
+    scrub_to_vault,
+    scrub_with_ner,
+    scrub_with_ner_to_vault,
+    with_entities,
+)
 from veilspan.sources.texts import read_texts, stream_texts, write_scrubbed
-from veilspan.sources.vaults import NoMapping, load_vault, save_vault
+from veilspan.sources.vaults import NoMapping, compact_vault, load_vault, save_vault
 from veilspan.streaming.streams import (
     restore_stream,
     scrub_stream,

@@ -15,6 +15,8 @@ from veilspan.operators.redact import _hashed, _spliced, redactable
 from veilspan.operators.tables import computed, cut_lineage
 from veilspan.operators.vault import VALUE_KEY, span_entries
 
+_WORK = ("_spans", "_session")
+
 
 class IncompleteVault(ValueError):
     """The vault lacks a value that is to be replaced, or has two tokens for it."""
@@ -24,6 +26,33 @@ def _key(entity: Column, value: Column) -> Column:
     return F.sha2(F.concat_ws("|", entity, value), 256)
 
 
+def found_spans(
+    df: DataFrame,
+    session: str | Column = "default",
+    text: str = "text",
+    types: Sequence[str] = TYPES,
+    extra: str | None = None,
+    overlap: str = "cover",
+    strip: bool = True,
+) -> DataFrame:
+    """The rows of ``df``, stripped, with the spans that are to be replaced (``_spans``) and the
+    session of those that have some (``_session``), written once.
+
+    Everything that follows reads this table: the vault, the texts to replace and those to leave.
+    So the detectors, a classifier behind ``extra`` and the source itself run once, and what they
+    gave then holds for all of it, even if they would answer differently the next time.
+    """
+    work = redactable(df, text, types, extra, overlap, strip, "_spans")
+    some = F.coalesce(F.size("_spans"), F.lit(0)) > 0
+    return cut_lineage(work.withColumn("_session", F.when(some, as_session(session))))
+
+
+def found_entries(found: DataFrame) -> DataFrame:
+    """Distinct ``session, entity, value`` of a ``found_spans`` table, written once."""
+    spans = found.select(F.col("_session").alias("session"), F.inline("_spans"))
+    return cut_lineage(span_entries(spans, F.col("session")))
+
+
 def scrub_tokens(
     df: DataFrame,
     session: str | Column = "default",
@@ -41,52 +70,65 @@ def scrub_tokens(
     With a ``vault`` the tokens are the vault's. It must hold every value that is replaced
     (``build_vault``, ``scrub_to_vault``): a value it lacks raises ``IncompleteVault``, because
     its hash may be the token of somebody else's value. So does a value with two tokens. The
-    texts with spans are written once, their distinct values meet the vault, and only tokens
-    that are not the plain hash are joined back. No value and no token enters a plan.
+    texts are written once with their spans, the spans' distinct values meet the vault, and only
+    tokens that are not the plain hash are joined back. No value and no token enters a plan.
 
     Without a vault the tokens are plain hashes. They keep equal values equal, but nothing can
     be restored from them safely: values whose hashes collide share a token.
     """
-    who = as_session(session)
-    work = redactable(df, text, types, extra, overlap, strip, "_spans")
-    spans = F.col("_spans")
     if vault is None:
+        work = redactable(df, text, types, extra, overlap, strip, "_spans")
         make = _hashed if isinstance(session, str) else _hashed.__wrapped__
         done = make(text, "_spans", overlap, session, secret)
         return computed(work, **{text: done}).drop("_spans")
+    found = found_spans(df, session, text, types, extra, overlap, strip)
+    return scrub_found(found, found_entries(found), vault, secret, text, overlap, hot_rows)
 
-    # Rows without spans never move.
-    without = work.filter(F.size(spans) <= 0).drop("_spans")
-    without = without.unionByName(work.filter(spans.isNull()).drop("_spans"))
-    hits = cut_lineage(work.filter(F.size(spans) > 0).withColumn("_session", who))
-    entries = cut_lineage(
-        span_entries(
-            hits.select(F.col("_session").alias("session"), F.inline("_spans")), F.col("session")
-        )
-    )
-    known = cut_lineage(
+
+def scrub_found(
+    found: DataFrame,
+    entries: DataFrame,
+    vault: DataFrame,
+    secret: str = "",
+    text: str = "text",
+    overlap: str = "cover",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """``scrub_tokens`` of a ``found_spans`` table, whose ``found_entries`` are ``entries``."""
+    known = (
         vault.join(entries, VALUE_KEY, "left_semi")
         .groupBy(*VALUE_KEY)
         .agg(F.min("token").alias("token"), F.max("token").alias("other"))
     )
-    if not entries.join(known, VALUE_KEY, "left_anti").isEmpty():
-        raise IncompleteVault("the vault lacks values of the texts; add them before scrubbing")
-    if not known.filter("token <> other").isEmpty():
-        raise IncompleteVault("the vault has two tokens for a value of the texts")
     plain = token_of(F.col("session"), F.col("entity"), F.col("value"), secret)
-    repaired = cut_lineage(
-        known.filter(F.col("token") != plain).select(
-            "session", _key(F.col("entity"), F.col("value")).alias("key"), F.col("token").alias("value")
+    lacking, twice = F.col("token").isNull(), F.col("token") != F.col("other")
+    odd = cut_lineage(
+        entries.join(known, VALUE_KEY, "left")
+        .filter(lacking | twice | (F.col("token") != plain))
+        .select(
+            "session",
+            _key(F.col("entity"), F.col("value")).alias("key"),
+            F.col("token").alias("value"),
+            lacking.alias("lacking"),
+            twice.alias("twice"),
         )
     )
-    col = F.col(text)
-    if repaired.isEmpty():
+    said = odd.agg(
+        F.count_if("lacking").alias("lacking"), F.count_if("twice").alias("twice"), F.count("*").alias("all")
+    ).first()
+    if said["lacking"]:
+        raise IncompleteVault("the vault lacks values of the texts; add them before scrubbing")
+    if said["twice"]:
+        raise IncompleteVault("the vault has two tokens for a value of the texts")
+    if not said["all"]:
         done = _hashed.__wrapped__(text, "_spans", overlap, F.col("_session"), secret)
-        replaced = computed(hits, **{text: done}).drop("_spans", "_session")
-        return without.unionByName(replaced)
+        return computed(found, **{text: done}).drop(*_WORK)
 
+    # Rows without spans never move.
+    spans, some = F.col("_spans"), F.col("_session").isNotNull()
     keyed = F.transform(spans, lambda s: _key(entity_of(s["type"]), s["value"]))
-    with_tokens = attach_values(hits, keyed, repaired, "_session", "_tokens", hot_rows)
+    repaired = odd.select("session", "key", "value")
+    with_tokens = attach_values(found.filter(some), keyed, repaired, "_session", "_tokens", hot_rows)
     numbered = F.transform(
         spans,
         lambda s, i: F.struct(
@@ -100,6 +142,6 @@ def scrub_tokens(
             ).alias("token"),
         ),
     )
-    replaced = let(numbered, lambda n: _spliced(col, n, lambda s: s["token"], overlap))
-    done = computed(with_tokens, **{text: replaced}).drop("_spans", "_session", "_tokens")
-    return without.unionByName(done)
+    replaced = let(numbered, lambda n: _spliced(F.col(text), n, lambda s: s["token"], overlap))
+    done = computed(with_tokens, **{text: replaced}).drop(*_WORK, "_tokens")
+    return found.filter(~some).drop(*_WORK).unionByName(done)

@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 
 from veilspan.functions.patterns import NER_ENABLED, TYPES
 from veilspan.operators.entities import Tagger, entity_spans, tag_entities
-from veilspan.operators.scrub import scrub_tokens
-from veilspan.operators.vault import build_vault, vault_entries
-from veilspan.sources.vaults import load_vault, save_vault
+from veilspan.operators.scrub import found_entries, found_spans, scrub_found, scrub_tokens
+from veilspan.sources.vaults import add_entries
 
 
 def scrub_to_vault(
@@ -22,14 +21,17 @@ def scrub_to_vault(
     types: Sequence[str] = TYPES,
     extra: str | None = None,
     overlap: str = "cover",
+    strip: bool = True,
 ) -> DataFrame:
-    """Add the values of ``df`` to the vault at ``path``, then scrub ``df`` with its tokens."""
-    spark = df.sparkSession
-    entries = vault_entries(df, session, text, types, extra, overlap)
-    fresh = build_vault(entries, secret, load_vault(spark, path))
-    save_vault(fresh, path)
-    vault = load_vault(spark, path)
-    return scrub_tokens(df, session, secret, vault, text, types, extra, overlap)
+    """Add the values of ``df`` to the vault at ``path``, then scrub ``df`` with its tokens.
+
+    The spans are found once, in a table that both steps read. Of the vault only the buckets of
+    the texts' sessions are read.
+    """
+    found = found_spans(df, session, text, types, extra, overlap, strip)
+    entries = found_entries(found)
+    vault = add_entries(df.sparkSession, entries, path, secret)
+    return scrub_found(found, entries, vault, secret, text, overlap)
 
 
 def with_entities(
@@ -59,7 +61,8 @@ def scrub_with_ner(
     """Patterns and named entities merged, then tokens. Without a tagger, patterns only.
 
     With a tagger the result carries ``ner_error``: a text it failed on was scrubbed by the
-    patterns alone. ``vault`` must hold the values (see ``scrub_to_vault`` with ``extra``).
+    patterns alone. ``vault`` must hold the values (see ``scrub_with_ner_to_vault``). With a vault
+    the tagger runs once; without one the result is a plan that runs it at every action.
     """
     if tagger is None:
         return scrub_tokens(df, session, secret, vault, text, overlap=overlap)
@@ -67,3 +70,24 @@ def scrub_with_ner(
     return scrub_tokens(
         work, session, secret, vault, text, extra="extra", overlap=overlap, strip=False
     ).drop("extra")
+
+
+def scrub_with_ner_to_vault(
+    df: DataFrame,
+    tagger: Callable[[], Tagger] | None,
+    path: str,
+    session: str | Column = "default",
+    secret: str = "",
+    text: str = "text",
+    entity_types: Sequence[str] = NER_ENABLED,
+    least: float | None = None,
+    overlap: str = "cover",
+) -> DataFrame:
+    """Tag once, add all values, those of the named entities too, to the vault at ``path``, and
+    scrub with its tokens. The result carries ``ner_error`` as in ``scrub_with_ner``."""
+    if tagger is None:
+        return scrub_to_vault(df, path, session, secret, text, overlap=overlap)
+    work = with_entities(df, tagger, text, entity_types, least)
+    return scrub_to_vault(
+        work, path, session, secret, text, extra="extra", overlap=overlap, strip=False
+    ).drop("extra")

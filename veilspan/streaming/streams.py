@@ -1,39 +1,42 @@
 """The same jobs on streams.
 
 Labels need nothing but the text, so they are a stateless projection. Tokens and restores go
-through the vault in ``foreachBatch``, where each micro-batch is an ordinary table. A batch that
-is replayed after a failure finds its values in the vault and adds nothing, and files written
-for a batch land in a folder named after it, replaced as a whole on a replay.
+through the vault in ``foreachBatch``, where each micro-batch is an ordinary table, written before
+it is used. A batch that is replayed after a failure finds its values in the vault and adds nothing,
+and files written for a batch land in a folder named after it, replaced as a whole on a replay.
+
+The vault stream keeps every value it has seen as state, so that only new ones meet the vault.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from veilspan.functions.patterns import TYPES
+from veilspan.functions.patterns import NER_ENABLED, TYPES
+from veilspan.functions.tokens import as_session
 from veilspan.operators.detect import detect_spans
+from veilspan.operators.entities import Tagger
 from veilspan.operators.redact import scrub_labels
 from veilspan.operators.restore import restore_tokens
-from veilspan.operators.scrub import scrub_tokens
-from veilspan.operators.vault import build_vault, vault_entries
-from veilspan.sources.vaults import load_vault, save_vault
+from veilspan.operators.tables import cut_lineage
+from veilspan.operators.vault import vault_entries
+from veilspan.plans.scrub import scrub_to_vault, scrub_with_ner_to_vault, with_entities
+from veilspan.sources.vaults import add_entries, load_vault
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 BATCH = "batch_id"
 
 
 def _per_batch(df: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None]):
     def run(batch: DataFrame, batch_id: int) -> None:
-        # Scanned several times below; a source need not give the same batch order twice.
-        batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            work(batch, batch_id)
-        finally:
-            batch.unpersist()
+        # Scanned several times below; a source need not give the same rows twice.
+        work(cut_lineage(batch), batch_id)
 
     return df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
@@ -49,29 +52,42 @@ def scrub_stream(
     return scrub_labels(df, text, types, overlap=overlap)
 
 
-def _update_vault(
-    batch: DataFrame, vault_path: str, session: str, secret: str, text: str, types: Sequence[str]
-) -> None:
-    stored = load_vault(batch.sparkSession, vault_path)
-    entries = vault_entries(batch, session, text, types)
-    save_vault(build_vault(entries, secret, stored), vault_path)
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """State that grows without end belongs in RocksDB; a provider that is set stays."""
+    if spark.conf.get(_STORE, None) is None or "HDFSBacked" in spark.conf.get(_STORE):
+        spark.conf.set(_STORE, _ROCKS)
 
 
 def vault_stream(
     df: DataFrame,
     vault_path: str,
     checkpoint: str,
-    session: str = "default",
+    session: str | Column = "default",
     secret: str = "",
     text: str = "text",
     types: Sequence[str] = TYPES,
+    tagger: Callable[[], Tagger] | None = None,
+    entity_types: Sequence[str] = NER_ENABLED,
+    overlap: str = "cover",
 ) -> DataStreamWriter:
-    """Keep the vault up to date with every value that arrives."""
+    """Keep the vault up to date with every value that arrives, named entities too with a tagger.
 
-    def work(batch: DataFrame, _: int) -> None:
-        _update_vault(batch, vault_path, session, secret, text, types)
+    Distinct values are kept as state without expiry, by session, entity and value. A batch of
+    values that were seen before ends there: it reads no file of the vault. New values meet the
+    buckets of their sessions.
+    """
+    keep_state_on_disk(df.sparkSession)
+    if tagger is None:
+        entries = vault_entries(df, session, text, types, overlap=overlap)
+    else:
+        work = with_entities(df, tagger, text, entity_types)
+        entries = vault_entries(work, session, text, types, "extra", overlap, strip=False)
 
-    return _per_batch(df, checkpoint, work)
+    def work_on(batch: DataFrame, _: int) -> None:
+        if not batch.isEmpty():
+            add_entries(batch.sparkSession, batch, vault_path, secret)
+
+    return _per_batch(entries, checkpoint, work_on)
 
 
 def scrub_token_stream(
@@ -79,17 +95,29 @@ def scrub_token_stream(
     out_path: str,
     vault_path: str,
     checkpoint: str,
-    session: str = "default",
+    session: str | Column = "default",
     secret: str = "",
     text: str = "text",
     types: Sequence[str] = TYPES,
+    tagger: Callable[[], Tagger] | None = None,
+    entity_types: Sequence[str] = NER_ENABLED,
+    extra: str | None = None,
+    overlap: str = "cover",
 ) -> DataStreamWriter:
-    """Token mode: the vault first, then the batch with the vault's tokens."""
+    """Token mode: the vault first, then the batch with the vault's tokens, from the spans that
+    were found once. With a tagger the rows carry ``ner_error``; ``extra`` names a column with
+    further spans instead."""
+    if tagger is not None and extra is not None:
+        raise ValueError("give a tagger or a column of spans, not both")
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        _update_vault(batch, vault_path, session, secret, text, types)
-        vault = load_vault(batch.sparkSession, vault_path)
-        _write_batch(scrub_tokens(batch, session, secret, vault, text, types), out_path, batch_id)
+        if tagger is None:
+            done = scrub_to_vault(batch, vault_path, session, secret, text, types, extra, overlap)
+        else:
+            done = scrub_with_ner_to_vault(
+                batch, tagger, vault_path, session, secret, text, entity_types, overlap=overlap
+            )
+        _write_batch(done, out_path, batch_id)
 
     return _per_batch(df, checkpoint, work)
 
@@ -99,15 +127,21 @@ def restore_stream(
     out_path: str,
     vault_path: str,
     checkpoint: str,
-    session: str = "default",
+    session: str | Column = "default",
     text: str = "text",
     require_mapping: bool = True,
 ) -> DataStreamWriter:
-    """Restore each reply with the vault as it is when the reply arrives. Without a mapping for
-    the session the stream stops with ``NoMapping``, unless ``require_mapping`` is False."""
+    """Restore each reply with the vault as it is when the reply arrives; only the buckets of the
+    replies' sessions are read. Without a mapping for them the stream stops with ``NoMapping``,
+    unless ``require_mapping`` is False."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        vault = load_vault(batch.sparkSession, vault_path, require_mapping, session)
+        spark = batch.sparkSession
+        if isinstance(session, Column):
+            among = batch.select(as_session(session).alias("session"))
+            vault = load_vault(spark, vault_path, require_mapping, among=among)
+        else:
+            vault = load_vault(spark, vault_path, require_mapping, session)
         _write_batch(restore_tokens(batch, vault, session, text), out_path, batch_id)
 
     return _per_batch(df, checkpoint, work)
