@@ -98,3 +98,15 @@ def tagger():
         ]
 
     return tag
+
+
+def fussy_tagger():
+    """The same rule, which fails on some texts."""
+    tag = tagger()
+
+    def fussy(texts):
+        if any("NATION_1," in text for text in texts):
+            raise ValueError("not this one")
+        return tag(texts)
+
+    return fussy

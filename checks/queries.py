@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import veilspan as v
-from checks.fixtures import corpus, documents, ner_tokens, prompts, table, tagger
+from checks.fixtures import corpus, documents, fussy_tagger, ner_tokens, prompts, table, tagger
 from veilspan.functions.patterns import NER_ENABLED
 from veilspan.functions.tokens import entity_of, label_of
-from veilspan.operators.entities import TOKENS, entities_of, entity_spans, ner_type
+from veilspan.operators.entities import TOKENS, entities_of, entity_spans, ner_type, tag_entities
 from veilspan.operators.spans import merge_span_tables, overlaps
 from veilspan.operators.summary import summarize_spans
 from veilspan.operators.tables import cut_lineage, new_path
@@ -338,6 +338,19 @@ def scrub_with_ner(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("prompt_id", "text")
 
 
+def scrub_with_ner_vault(spark: SparkSession, sf: str) -> DataFrame:
+    """The tagger runs once for the vault and the texts."""
+    path = new_path(spark, "vault")
+    done = v.scrub_with_ner_to_vault(prompts(spark, sf), tagger, path, secret=SECRET)
+    return done.select("prompt_id", "text")
+
+
+def ner_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that the tagger fails on, here those of one nation."""
+    tagged = tag_entities(prompts(spark, sf), fussy_tagger)
+    return v.ner_errors(tagged, ["prompt_id"])
+
+
 # --- Streams ---
 
 
@@ -430,7 +443,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         restore_labels,
         unresolved_tokens, round_trip_check,
         drop_outside, aggregate_entities, entities_in_row, locate_entities, filter_entities,
-        min_score, summary_with_source, scrub_with_ner,
+        min_score, summary_with_source, scrub_with_ner, scrub_with_ner_vault, ner_errors,
         scrub_stream, vault_stream, restore_stream, summary_stream,
     ]
     return (

@@ -15,7 +15,9 @@ from veilspan.operators.redact import _hashed, _spliced, redactable
 from veilspan.operators.tables import computed, cut_lineage
 from veilspan.operators.vault import VALUE_KEY, span_entries
 
-_WORK = ("_spans", "_session")
+_WORK = ("_spans", "_session", "_row")
+#: Up to so many values the vault is filtered by them before it is shuffled.
+FEW = 100_000
 
 
 class IncompleteVault(ValueError):
@@ -35,8 +37,8 @@ def found_spans(
     overlap: str = "cover",
     strip: bool = True,
 ) -> DataFrame:
-    """The rows of ``df``, stripped, with the spans that are to be replaced (``_spans``) and the
-    session of those that have some (``_session``), written once.
+    """The rows of ``df``, stripped, with the spans that are to be replaced (``_spans``), the
+    session of those that have some (``_session``) and a number (``_row``), written once.
 
     Everything that follows reads this table: the vault, the texts to replace and those to leave.
     So the detectors, a classifier behind ``extra`` and the source itself run once, and what they
@@ -44,7 +46,10 @@ def found_spans(
     """
     work = redactable(df, text, types, extra, overlap, strip, "_spans")
     some = F.coalesce(F.size("_spans"), F.lit(0)) > 0
-    return cut_lineage(work.withColumn("_session", F.when(some, as_session(session))))
+    who = F.when(some, as_session(session))
+    return cut_lineage(
+        work.withColumns({"_session": who, "_row": F.monotonically_increasing_id()})
+    )
 
 
 def found_entries(found: DataFrame) -> DataFrame:
@@ -95,17 +100,19 @@ def scrub_found(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``scrub_tokens`` of a ``found_spans`` table, whose ``found_entries`` are ``entries``."""
+    # A large vault stays in place when the values are few enough to broadcast.
+    near = vault
+    if entries.count() <= FEW:
+        near = vault.join(entries, VALUE_KEY, "left_semi")
     known = (
-        vault.join(entries, VALUE_KEY, "left_semi")
+        entries.join(near.select(*VALUE_KEY, "token"), VALUE_KEY, "left")
         .groupBy(*VALUE_KEY)
         .agg(F.min("token").alias("token"), F.max("token").alias("other"))
     )
     plain = token_of(F.col("session"), F.col("entity"), F.col("value"), secret)
     lacking, twice = F.col("token").isNull(), F.col("token") != F.col("other")
     odd = cut_lineage(
-        entries.join(known, VALUE_KEY, "left")
-        .filter(lacking | twice | (F.col("token") != plain))
-        .select(
+        known.filter(lacking | twice | (F.col("token") != plain)).select(
             "session",
             _key(F.col("entity"), F.col("value")).alias("key"),
             F.col("token").alias("value"),
@@ -120,15 +127,26 @@ def scrub_found(
         raise IncompleteVault("the vault lacks values of the texts; add them before scrubbing")
     if said["twice"]:
         raise IncompleteVault("the vault has two tokens for a value of the texts")
+    hashed = _hashed.__wrapped__(text, "_spans", overlap, F.col("_session"), secret)
     if not said["all"]:
-        done = _hashed.__wrapped__(text, "_spans", overlap, F.col("_session"), secret)
-        return computed(found, **{text: done}).drop(*_WORK)
+        return computed(found, **{text: hashed}).drop(*_WORK)
 
-    # Rows without spans never move.
-    spans, some = F.col("_spans"), F.col("_session").isNotNull()
-    keyed = F.transform(spans, lambda s: _key(entity_of(s["type"]), s["value"]))
+    # Only texts that hold a value with another token than its hash meet those tokens.
+    spans = F.col("_spans")
     repaired = odd.select("session", "key", "value")
-    with_tokens = attach_values(found.filter(some), keyed, repaired, "_session", "_tokens", hot_rows)
+    uses = found.select("_row", F.col("_session").alias("session"), F.inline("_spans"))
+    key = _key(entity_of(F.col("type")), F.col("value"))
+    rows = cut_lineage(
+        uses.select("_row", "session", key.alias("key"))
+        .join(repaired, ["session", "key"], "left_semi")
+        .select("_row")
+        .distinct()
+    )
+    plain_rows = computed(found.join(rows, "_row", "left_anti"), **{text: hashed})
+    keyed = F.transform(spans, lambda s: _key(entity_of(s["type"]), s["value"]))
+    with_tokens = attach_values(
+        found.join(rows, "_row", "left_semi"), keyed, repaired, "_session", "_tokens", hot_rows
+    )
     numbered = F.transform(
         spans,
         lambda s, i: F.struct(
@@ -143,5 +161,5 @@ def scrub_found(
         ),
     )
     replaced = let(numbered, lambda n: _spliced(F.col(text), n, lambda s: s["token"], overlap))
-    done = computed(with_tokens, **{text: replaced}).drop(*_WORK, "_tokens")
-    return found.filter(~some).drop(*_WORK).unionByName(done)
+    done = computed(with_tokens, **{text: replaced}).drop("_tokens")
+    return plain_rows.unionByName(done).drop(*_WORK)
