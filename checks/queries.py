@@ -186,8 +186,11 @@ def redact_splice(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def label_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    kinds = table(spark, sf, "events").groupBy(F.col("event_type").alias("type"))
-    return kinds.agg(F.count(F.lit(1)).alias("n")).select("type", label_of(F.col("type")).alias("label"), "n")
+    """Types that the detectors found, and event types, which are no labels."""
+    found = v.detect_spans(corpus(spark, sf), []).select("type")
+    other = table(spark, sf, "events").select(F.col("event_type").alias("type"))
+    kinds = found.unionByName(other).groupBy("type").agg(F.count("*").alias("n"))
+    return kinds.select("type", label_of(F.col("type")).alias("label"), "n")
 
 
 def to_entity(spark: SparkSession, sf: str) -> DataFrame:
