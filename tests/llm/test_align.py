@@ -156,7 +156,7 @@ def test_random_texts(sides, text):
 def test_slices():
     found = align.align_ids([1, 2, 3], [7, 8], align.Side([0, 2, 2, 1]), align.Side([0] * 7 + [4, 1]))
     assert found[:4] == (3, 2, 2, "1,2|7;3|8")
-    assert list(array("q", found.links)) == [(2 << align.SHIFT) + 7, (3 << align.SHIFT) + 8]
+    assert list(array("q", found[4])) == [(2 << align.SHIFT) + 7, (3 << align.SHIFT) + 8]
 
 
 def test_words_are_forgotten_and_learnt_again(sides, monkeypatch):

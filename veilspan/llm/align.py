@@ -33,7 +33,7 @@ HOT = 1 << 17
 #: A link is one number: the first side's id times this, plus the second side's.
 SHIFT = 32
 #: A task forgets the words it has met when they and their ids take about so many bytes.
-REMEMBER = 128 << 20
+REMEMBER = 160 << 20
 
 _CUT = re.compile(r"(?<=\S) ")
 
@@ -55,28 +55,28 @@ class Side:
 
     def ends(self, ids: list[int]) -> dict[int, int]:
         """Where each token ends, in bytes, to how many tokens end there or before."""
-        at, end = {}, 0
+        sizes, at, end = self.sizes, {}, 0
         for i, token in enumerate(ids, 1):
-            end += self.sizes[token]
+            end += sizes[token]
             at[end] = i
         return at
 
-    def show(self, ids: list[int]) -> str:
-        return self.shown[ids[0]] if len(ids) == 1 else ",".join([self.shown[i] for i in ids])
 
-
-def align_ids(a: list[int], b: list[int], a_side: Side, b_side: Side) -> Aligned:
-    """The groups of two id lists: the ends that both sides' dictionaries have, in order, slice
+def align_ids(a: list[int], b: list[int], a_side: Side, b_side: Side) -> tuple:
+    """An ``Aligned`` of two id lists: the ends that both sides' dictionaries have, in order, slice
     the lists, and the last tokens of two slices are linked."""
     at_a, at_b = a_side.ends(a), b_side.ends(b)
+    shown_a, shown_b = a_side.shown, b_side.shown
     i = j = 0
     groups, links = [], []
     for end in sorted(at_a.keys() & at_b.keys()):
         x, y = at_a[end], at_b[end]
-        groups.append(a_side.show(a[i:x]) + "|" + b_side.show(b[j:y]))
+        left = shown_a[a[i]] if x - i == 1 else ",".join([shown_a[t] for t in a[i:x]])
+        right = shown_b[b[j]] if y - j == 1 else ",".join([shown_b[t] for t in b[j:y]])
+        groups.append(f"{left}|{right}")
         links.append((a[x - 1] << SHIFT) + b[y - 1])
         i, j = x, y
-    return Aligned(len(a), len(b), len(links), ";".join(groups), array("q", links).tobytes())
+    return len(a), len(b), len(links), ";".join(groups), array("q", links).tobytes()
 
 
 class Aligner:
@@ -100,40 +100,46 @@ class Aligner:
             for i, x in enumerate(names)
         ]
         self.b_side = Side(list(map(len, self.b_bytes)))
-        self.known: dict[str, Aligned | None] = {}
+        self.known: dict[str, tuple | None] = {}
         self.held = 0
 
     def learn(self, words: set[str]) -> None:
-        """Align the words, each behind a blank; None where a side does not give it back."""
+        """Align the words, each behind a blank; None where the second side does not give it back.
+        The first side has an id for every byte and always does."""
         if self.held > REMEMBER:
             self.known.clear()
             self.held = 0
         new = [w for w in words if w not in self.known]
+        pieces, first = self.b_bytes, self.a.encode_ordinary
         for word, b in zip(new, self.b.encode(new), strict=True):
-            a, raw = self.a.encode_ordinary(" " + word), (" " + word).encode()
-            found = None
-            if self.a.decode_bytes(a) == raw and b"".join([self.b_bytes[i] for i in b]) == raw:
-                found = align_ids(a, b, self.a_side, self.b_side)
-                self.held += len(found.groups) + len(found.links)
+            found, whole = None, " " + word
+            if b"".join([pieces[i] for i in b]) == whole.encode():
+                found = align_ids(first(whole), b, self.a_side, self.b_side)
+                self.held += 8 * found[2] + len(found[3])
             self.known[word] = found
             self.held += 300 + len(word)
 
     def align(self, texts: Iterable[str | None]) -> Iterator[Aligned]:
         """Of whole texts; without tokens where one has none or a side does not give it back."""
-        cut = [_CUT.split(t) if t and not self.whole else [t or ""] for t in texts]
-        for lo, hi in slices([b" " * sum(map(len, words)) for words in cut]):
-            self.learn({w for words in cut[lo:hi] for w in words})
-            for words in cut[lo:hi]:
-                found = [self.known[w] for w in words]
+        known = self.known
+        texts = [t or "" for t in texts]
+        for lo, hi in slices(texts):
+            cut = [texts[i : i + 1] if self.whole else _CUT.split(texts[i]) for i in range(lo, hi)]
+            self.learn({w for words in cut for w in words})
+            for text, words in zip(texts[lo:hi], cut, strict=True):
+                if not text:
+                    yield Aligned()
+                    continue
+                found = [known[w] for w in words]
                 if None in found:  # its words may still make up for each other
-                    text = " ".join(words)
                     self.learn({text})
-                    found = [self.known[text] or Aligned()]
-                if words == [""]:
-                    yield Aligned()
-                else:
-                    n_a, n_b, n_groups, groups, links = zip(*found, strict=True)
-                    yield Aligned(sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(links))
+                    found = [known[text] or Aligned()]
+                n_a, n_b, n_groups, groups, links = zip(*found, strict=True)
+                yield Aligned(sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(links))
+
+
+def _digest(groups: bytes) -> bytes:
+    return hashlib.sha256(groups).hexdigest().encode()
 
 
 @lru_cache(2)
@@ -150,28 +156,27 @@ def aligned(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(ranks_path, model_path)
         for batch in batches:
-            done = list(aligner.align(batch.column("text_").to_pylist()))
-            counted = [
-                np.unique(np.frombuffer(p.links, dtype=np.int64), return_counts=True) for p in done
-            ]
-            cuts = np.concatenate([[0], np.cumsum([len(p) for p, _ in counted])]).astype(np.int32)
+            counts, groups, links = [], [], []
+            for found in aligner.align(batch.column("text_").to_pylist()):
+                counts.append(found[:3])
+                whole = found.groups.encode()
+                groups.append(whole if keep_groups or not found.n_a else _digest(whole))
+                pairs = np.frombuffer(found.links, dtype=np.int64)
+                links.append(np.unique(pairs, return_counts=True))
+            cuts = np.concatenate([[0], np.cumsum([len(p) for p, _ in links])]).astype(np.int32)
 
             def listed(side: int, kind: type) -> pa.ListArray:
-                flat = np.concatenate([np.empty(0, kind), *[c[side] for c in counted]])
+                flat = np.concatenate([np.empty(0, kind), *[c[side] for c in links]])
                 return pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat.astype(kind)))
 
-            groups = [
-                p.groups if keep_groups or not p.n_a else hashlib.sha256(p.groups.encode()).hexdigest()
-                for p in done
-            ]
             yield pa.RecordBatch.from_pydict(
                 {
                     "id_": batch.column("id_"),
                     "row_": batch.column("row_"),
-                    "n_a": pa.array([p.n_a for p in done], pa.int64()),
-                    "n_b": pa.array([p.n_b for p in done], pa.int64()),
-                    "n_groups": pa.array([p.n_groups for p in done], pa.int64()),
-                    "groups": pa.array(groups, pa.string()),
+                    "n_a": pa.array([c[0] for c in counts], pa.int64()),
+                    "n_b": pa.array([c[1] for c in counts], pa.int64()),
+                    "n_groups": pa.array([c[2] for c in counts], pa.int64()),
+                    "groups": pa.array([g.decode() for g in groups], pa.string()),
                     "pairs": listed(0, np.int64),
                     "uses": listed(1, np.int32),
                 }
