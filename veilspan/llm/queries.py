@@ -186,8 +186,7 @@ w AS (
   FROM (SELECT row, words, unnest(generate_series(1, len(words) - 7)) AS i FROM d)),
 r AS (SELECT row, i FROM w QUALIFY count(*) OVER (PARTITION BY row, win) > 1),
 c AS (
-  SELECT row, sum(least(8, coalesce(lead(i) OVER (PARTITION BY row ORDER BY i) - i, 8))) AS n
-  FROM r GROUP BY row, i),
+  SELECT row, least(8, coalesce(lead(i) OVER (PARTITION BY row ORDER BY i) - i, 8)) AS n FROM r),
 p AS (SELECT row, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY row),
 f AS (
   SELECT doc_id, text, words, CAST(len(words) AS BIGINT) AS n_words,
