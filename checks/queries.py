@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import veilspan as v
 from checks.fixtures import corpus, documents, fussy_tagger, ner_tokens, prompts, table, tagger
 from veilspan.functions.patterns import NER_ENABLED
 from veilspan.functions.tokens import entity_of, label_of
+from veilspan.operators.detect import no_spans
 from veilspan.operators.entities import TOKENS, entities_of, entity_spans, ner_type, tag_entities
-from veilspan.operators.spans import merge_span_tables, overlaps
+from veilspan.operators.spans import merge_span_tables
 from veilspan.operators.summary import summarize_spans
 from veilspan.operators.tables import cut_lineage, new_path
 from veilspan.operators.vault import vault_entries
@@ -125,12 +126,37 @@ def pii_report_by_label(spark: SparkSession, sf: str) -> DataFrame:
 # --- Span algebra ---
 
 
+def detect_spans_cut(spark: SparkSession, sf: str) -> DataFrame:
+    """Cut into pieces from 2,048 characters on, so that many texts are."""
+    return v.detect_spans_cut(corpus(spark, sf), KEYS, size=2048)
+
+
 def span_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    return v.span_overlaps(v.detect(corpus(spark, sf)), KEYS)
+
+
+def span_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return v.span_pairs(v.detect(corpus(spark, sf)), KEYS)
+
+
+def merge_overlapping(spark: SparkSession, sf: str) -> DataFrame:
+    """Extra spans that overlap each other: every date and phone number, and for each a longer
+    stretch that comes first where its start is even."""
+    found = v.detect(corpus(spark, sf), types=["phone", "date"])
     spans = F.col("spans")
-    hit = F.filter(
-        spans, lambda s: F.exists(spans, lambda o: (o["type"] != s["type"]) & overlaps(s, o))
+    wider = F.transform(
+        spans,
+        lambda s: F.struct(
+            F.lit("misc").alias("type"),
+            F.substring("text", s["start"] + 1, s["end"] - s["start"] + 20).alias("value"),
+            s["start"].alias("start"),
+            F.least(s["end"] + 20, F.length("text")).alias("end"),
+        ),
     )
-    return v.detect(corpus(spark, sf)).select(*KEYS, F.inline(hit))
+    even = F.filter(wider, lambda s: s["start"] % 2 == 0)
+    odd = F.filter(wider, lambda s: s["start"] % 2 == 1)
+    both = found.select(*KEYS, F.concat(even, spans, odd).alias("extra"), no_spans().alias("base"))
+    return v.merge_spans(both, "base", "extra", "kept").select(*KEYS, F.inline("kept"))
 
 
 def sort_spans(spark: SparkSession, sf: str) -> DataFrame:
@@ -411,6 +437,52 @@ def restore_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(out).select("doc_id", "text")
 
 
+def restore_waiting_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Every mapping is made and arrives after the replies: those of dates too late, the others
+    while the replies wait. The stream is stopped and started again before the mappings come, and
+    before one row far ahead on each side moves the watermarks."""
+    scrubbed, vault = _token_stream(spark, sf)
+    replies, mappings, out, offsets = (
+        new_path(spark, name) for name in ("replies", "mappings", "out", "offsets")
+    )
+    start = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    hours = F.when(F.col("entity") == "date", F.expr("INTERVAL 2 hours")).otherwise(
+        F.expr("INTERVAL 30 minutes")
+    )
+
+    def mark(path: str, names: list[str], at: Column) -> None:
+        row = spark.range(1).select(*[F.lit("none").alias(n) for n in names], at)
+        row.write.mode("append").parquet(path)
+
+    def run() -> None:
+        restored = v.restore_waiting_stream(
+            spark.readStream.schema("doc_id bigint, text string, at timestamp").parquet(replies),
+            spark.readStream.schema(
+                "session string, token string, value string, made timestamp"
+            ).parquet(mappings),
+            ["doc_id"],
+            wait="1 hour",
+        )
+        stream = restored.writeStream.format("parquet").option("path", out)
+        stream.option("checkpointLocation", offsets).trigger(
+            availableNow=True
+        ).start().awaitTermination()
+
+    names = ["session", "token", "value"]
+    spark.read.parquet(scrubbed).select("doc_id", "text", start.alias("at")).write.parquet(replies)
+    mark(mappings, names, start.alias("made"))
+    run()
+    v.load_vault(spark, vault).select(*names, (start + hours).alias("made")).write.mode(
+        "append"
+    ).parquet(mappings)
+    run()
+    ahead = start + F.expr("INTERVAL 1 day")
+    mark(replies, ["text"], ahead.alias("at"))
+    mark(mappings, names, ahead.alias("made"))
+    run()
+    return spark.read.schema("doc_id bigint, text string").parquet(out)
+
+
 def summary_stream(spark: SparkSession, sf: str) -> DataFrame:
     out = new_path(spark, "out")
 
@@ -439,7 +511,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         strip_invisible, invisible_profile,
         candidate_spans, valid_cards, valid_ipv4, detect_spans, has_pii, pii_summary, pii_report,
         pii_report_by_label,
-        span_overlaps, sort_spans, cover_spans, merge_spans, merge_span_arrays,
+        detect_spans_cut, span_overlaps, span_pairs, merge_overlapping, sort_spans, cover_spans, merge_spans, merge_span_arrays,
         redact, redact_splice, label_lookup, to_entity, scrub_labels, scrub_with_mapping,
         scrub_tokens, scrub_tokens_repaired, build_vault, vault_collisions,
         has_tokens, extract_tokens, restore_tokens, restore_tokens_partial, restore_tokens_repaired,
@@ -447,7 +519,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         unresolved_tokens, round_trip_check,
         drop_outside, aggregate_entities, entities_in_row, locate_entities, filter_entities,
         min_score, summary_with_source, scrub_with_ner, scrub_with_ner_vault, ner_errors,
-        scrub_stream, vault_stream, restore_stream, summary_stream,
+        scrub_stream, vault_stream, restore_stream, restore_waiting_stream, summary_stream,
     ]
     return (
         {name: detector(kind) for name, kind in detectors.items()}

@@ -4,6 +4,7 @@ from veilspan.operators.detect import (
     candidate_spans,
     detect,
     detect_spans,
+    detect_spans_cut,
     has_pii,
     valid_cards,
     valid_ipv4,
@@ -35,7 +36,14 @@ from veilspan.operators.restore import (
     unresolved_tokens,
 )
 from veilspan.operators.scrub import IncompleteVault, scrub_tokens
-from veilspan.operators.spans import cover_spans, merge_span_tables, merge_spans, sort_spans
+from veilspan.operators.spans import (
+    cover_spans,
+    merge_span_tables,
+    merge_spans,
+    sort_spans,
+    span_overlaps,
+    span_pairs,
+)
 from veilspan.operators.summary import (
     pii_report,
     pii_summary,
@@ -53,6 +61,7 @@ from veilspan.sources.texts import read_texts, stream_texts, write_scrubbed
 from veilspan.sources.vaults import NoMapping, compact_vault, load_vault, save_vault
 from veilspan.streaming.streams import (
     restore_stream,
+    restore_waiting_stream,
     scrub_stream,
     scrub_token_stream,
     summary_stream,

@@ -37,9 +37,9 @@ def lookup(values: dict[str, str], key: Column, default: Column) -> Column:
 
 
 def running(
-    values: Column, step: Callable[[Column, Column], Column], zero: int = 0
+    values: Column, step: Callable[[Column, Column], Column], zero: int | Column = 0
 ) -> Column:
-    """Exclusive running total of an int array: ``[zero, step(zero, v1), ...]``.
+    """Exclusive running total of an array: ``[zero, step(zero, v1), ...]``.
 
     The result is one longer than the input, its last element the total. Appending to an
     array copies it, so the fold runs over chunks of 256 and then over the chunk totals.

@@ -116,6 +116,10 @@ DIGIT_GATE = (
     rf"\d(?:\d\d\)?[-.{SPACE}]?\d{{3}}|[/-]\d{{1,2}}[/-]\d\d|\.\d{{1,3}}\.\d{{1,3}}\.\d)"
 )
 
+# A text may be cut after any of these: no match holds such a character, and none looks behind or
+# ahead past it. White space stands in a match only before a digit.
+CUT_AFTER = rf"(?:[^A-Za-z0-9._%+@()/\-{SPACE}]|[{SPACE}](?!\d))"
+
 # The look-ahead turns most characters away before the long class is tried.
 INVISIBLE_CHAR = rf"(?![\x00-\x{{00AC}}])[{INVISIBLE}]"
 NOT_BLANK = f"[^{SPACE}]"

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions.arrays import let, running
 from veilspan.functions.checks import is_card, is_ipv4
-from veilspan.functions.patterns import DIGIT_GATE, LED, TYPES, VALIDATED, java_pattern
+from veilspan.functions.patterns import CUT_AFTER, DIGIT_GATE, LED, TYPES, VALIDATED, java_pattern
 from veilspan.functions.text import stripped
 from veilspan.operators.tables import computed
 
@@ -207,6 +207,50 @@ def detect_spans(
     return prepared(df, text, strip).select(*keys, F.inline(text_spans(text, tuple(types))))
 
 
+def detect_spans_cut(
+    df: DataFrame,
+    keys: Sequence[str],
+    text: str = "text",
+    types: Sequence[str] = TYPES,
+    strip: bool = True,
+    size: int = 1 << 20,
+) -> DataFrame:
+    """``detect_spans`` for tables with very long texts, with the same rows.
+
+    Texts of more than ``size`` characters are cut where no match can be, at the first such place
+    after every ``size`` characters, and the pieces go to many tasks; what comes before a cut
+    cannot change what is found behind it. Shorter texts stay where they are. A stretch without
+    such a place, one word without blanks for instance, stays in one piece.
+    """
+    work = prepared(df, text, strip).select(*keys, F.col(text).alias("_text"))
+    is_long = F.length("_text") > size
+    short = work.filter(~is_long).select(*keys, F.inline(text_spans("_text", tuple(types))))
+    cuts = F.regexp_extract_all(
+        F.col("_text"), F.lit(rf"(?s).{{{size}}}.*?{CUT_AFTER}|(?s).+"), F.lit(0)
+    )
+
+    def placed(pieces: Column) -> Column:
+        return let(
+            running(F.transform(pieces, F.length), lambda a, b: a + b),
+            lambda before: F.transform(
+                pieces, lambda p, i: F.struct(F.get(before, i).alias("_at"), p.alias("_text"))
+            ),
+        )
+
+    pieces = work.filter(is_long).select(*keys, F.inline(let(cuts, placed)))
+    spread = pieces.repartition(*keys, "_at")
+    found = spread.select(*keys, "_at", F.inline(text_spans("_text", tuple(types))))
+    return short.unionByName(
+        found.select(
+            *keys,
+            "type",
+            "value",
+            (F.col("start") + F.col("_at")).alias("start"),
+            (F.col("end") + F.col("_at")).alias("end"),
+        )
+    )
+
+
 def candidate_spans(
     df: DataFrame,
     keys: Sequence[str],

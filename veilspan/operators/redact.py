@@ -13,7 +13,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions.arrays import blocks, let, piece, ranks
+from veilspan.functions.arrays import blocks, let, piece, ranks, running
 from veilspan.functions.patterns import TYPES
 from veilspan.functions.tokens import as_session, entity_of, label_of, token_of
 from veilspan.operators.detect import no_spans, prepared, text_spans
@@ -21,18 +21,79 @@ from veilspan.operators.spans import covered, merged, sorted_spans
 from veilspan.operators.tables import computed
 
 
-def _spliced(text: Column, spans: Column, by: Callable[[Column], Column], overlap: str) -> Column:
-    if overlap == "splice":
-        return F.aggregate(
-            sorted_spans(spans, descending=True),
-            text,
-            lambda t, s: F.concat(
-                F.substring(t, F.lit(1), s["start"]),
-                by(s),
-                F.substring(t, s["end"] + 1, F.greatest(F.length(t) - s["end"], F.lit(0))),
+def _replayed(text: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
+    """The splice from right to left at the original offsets, as a table of pieces.
+
+    Left of the span in hand the text is still the original, so the splice puts its replacement
+    before ``gap + rest`` less as many characters as the span is long, ``gap`` reaching to the
+    next span's start. Read from left to right, a span leaves a debt of characters that the
+    following pieces pay. A span turns the debt ``p`` into ``max(p - paid, least)``; such functions
+    compose, so all debts are one running total.
+    """
+
+    def item(s: Column, stop: Column) -> Column:
+        return F.struct(
+            by(s).alias("put"),
+            s["start"].alias("start"),
+            stop.alias("stop"),
+            (s["end"] - s["start"]).alias("length"),
+        )
+
+    def debt(x: Column) -> Column:
+        gap = x["stop"] - x["start"]
+        return F.struct(
+            (F.length(x["put"]) - x["length"] + gap).cast("bigint").alias("paid"),
+            F.greatest(x["length"] - gap, F.lit(0)).cast("bigint").alias("least"),
+        )
+
+    def then(x: Column, y: Column) -> Column:
+        return F.struct(
+            (x["paid"] + y["paid"]).alias("paid"),
+            F.greatest(x["least"] - y["paid"], y["least"]).alias("least"),
+        )
+
+    def write(items: Column, debts: Column, cut: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            owed = F.greatest(-F.get(debts, i)["paid"], F.get(debts, i)["least"])
+            at_most = F.least(owed, F.length(text).cast("bigint")).cast("int")
+
+            def pay(p: Column) -> Column:
+                skip = F.greatest(p - F.length(x["put"]), F.lit(0)) + x["length"]
+                skip = F.least(skip, x["stop"] - x["start"])
+                return F.concat(
+                    F.substring(x["put"], p + 1, F.length(x["put"])),
+                    piece(cut, x["start"] + skip, x["stop"]),
+                )
+
+            return let(at_most, pay)
+
+        lead = piece(cut, F.lit(0), items[0]["start"])
+        return F.concat(lead, F.array_join(F.transform(items, one), ""))
+
+    def replay(ordered: Column) -> Column:
+        items = F.transform(
+            ordered,
+            lambda s, i: item(s, F.coalesce(F.get(ordered, i + 1)["start"], F.length(text))),
+        )
+        none = F.struct(
+            F.lit(0).cast("bigint").alias("paid"), F.lit(-(1 << 60)).cast("bigint").alias("least")
+        )
+        return let(
+            items,
+            lambda items: let(
+                running(F.transform(items, debt), then, none),
+                lambda debts: let(blocks(text), lambda cut: write(items, debts, cut)),
             ),
         )
 
+    ordered = F.reverse(sorted_spans(spans, descending=True))
+    return F.when(F.size(spans) > 0, let(ordered, replay)).otherwise(text)
+
+
+def _spliced(text: Column, spans: Column, by: Callable[[Column], Column], overlap: str) -> Column:
+    if overlap == "splice":
+        return _replayed(text, spans, by)
+
     # Covering spans are in text order and disjoint.
     def join(cut: Column) -> Column:
         kept = F.transform(

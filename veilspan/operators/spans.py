@@ -1,8 +1,7 @@
 """Span algebra inside one row: ordering, merging and covering.
 
 A row holds the spans of one text, so its size is bounded by that text. Everything here is
-sort-based; no step compares all pairs of spans, except for extra spans that overlap each
-other, whose precedence depends on their order.
+sort-based; no step compares all pairs of spans.
 """
 
 from __future__ import annotations
@@ -36,17 +35,185 @@ def _reach(spans: Column) -> Column:
     return running(F.transform(spans, lambda s: s["end"]), F.greatest)
 
 
-def _greedy(extra: Column) -> Column:
-    """Extra spans in their own order, each kept unless it overlaps one kept before it."""
-
-    def fold() -> Column:
-        return F.aggregate(
-            extra,
-            no_spans(),
-            lambda kept, e: F.when(F.exists(kept, lambda k: overlaps(k, e)), kept).otherwise(
-                F.array_append(kept, e)
+def _by_place(spans: Column) -> Column:
+    """``array<struct<start, end, ord, span>>`` by start, empty spans before others, then by order.
+
+    In this order a span shares a character with exactly those later ones that start before its
+    end.
+    """
+    return F.sort_array(
+        F.transform(
+            spans,
+            lambda s, i: F.struct(
+                s["start"].alias("start"), s["end"].alias("end"), i.alias("ord"), s.alias("span")
             ),
         )
+    )
+
+
+def _stops(ordered: Column) -> Column:
+    """For each item of ``_by_place`` the number of items that start before its end: it overlaps
+    the items from itself up to there. One sweep over the sorted end points."""
+
+    def events(pos: str, opens: int) -> Column:
+        return F.transform(
+            ordered,
+            lambda s, i: F.struct(s[pos].alias("pos"), F.lit(opens).alias("opens"), i.alias("i")),
+        )
+
+    def counted(sweep: Column, before: Column) -> Column:
+        ends = F.filter(
+            F.transform(
+                sweep,
+                lambda e, j: F.struct(
+                    e["i"].alias("i"), F.get(before, j).alias("n"), e["opens"].alias("opens")
+                ),
+            ),
+            lambda e: e["opens"] == 0,
+        )
+        return F.transform(F.sort_array(ends), lambda e: F.greatest(e["n"], e["i"] + 1))
+
+    return let(
+        F.sort_array(F.concat(events("start", 1), events("end", 0))),
+        lambda sweep: let(
+            running(F.transform(sweep, lambda e: e["opens"]), lambda x, y: x + y),
+            lambda before: counted(sweep, before),
+        ),
+    )
+
+
+def overlapping_pairs(spans: Column) -> Column:
+    """``array<struct<span, other>>``: every two spans that share a character, once, the one that
+    starts first as ``span``. The work grows with the spans and the pairs found."""
+
+    def paired(ordered: Column, stops: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                ordered,
+                lambda s, i: F.transform(
+                    F.slice(ordered, i + 2, F.get(stops, i) - i - 1),
+                    lambda o: F.struct(s["span"].alias("span"), o["span"].alias("other")),
+                ),
+            )
+        )
+
+    return let(_by_place(spans), lambda o: let(_stops(o), lambda stops: paired(o, stops)))
+
+
+def overlapped(spans: Column) -> Column:
+    """The spans, in their order, that share a character with a span of another type.
+
+    One sweep: at a span's end the furthest reach of all spans that started before is known, with
+    its type, and the furthest reach of the other types.
+    """
+
+    def event(s: Column, i: Column, opens: int) -> Column:
+        none = F.lit(-1)
+        return F.struct(
+            (s["start"] if opens else s["end"]).alias("pos"),
+            F.lit(opens).alias("opens"),
+            i.alias("ord"),
+            s.alias("span"),
+            F.struct(
+                (s["end"] if opens else none).alias("far"),
+                (s["type"] if opens else F.lit("")).alias("type"),
+                none.alias("other"),
+            ).alias("reach"),
+        )
+
+    def further(x: Column, y: Column) -> Column:
+        same = x["type"].eqNullSafe(y["type"])
+        ahead = x["far"] >= y["far"]
+        return F.struct(
+            F.greatest(x["far"], y["far"]).alias("far"),
+            F.when(ahead, x["type"]).otherwise(y["type"]).alias("type"),
+            F.when(same, F.greatest(x["other"], y["other"]))
+            .when(ahead, F.greatest(y["far"], x["other"]))
+            .otherwise(F.greatest(x["far"], y["other"]))
+            .alias("other"),
+        )
+
+    def hits(sweep: Column, reach: Column) -> Column:
+        def hit(e: Column, i: Column) -> Column:
+            best = F.get(reach, i)
+            far = F.when(best["type"].eqNullSafe(e["span"]["type"]), best["other"])
+            return (e["opens"] == 0) & (far.otherwise(best["far"]) > e["span"]["start"])
+
+        found = F.transform(
+            F.filter(sweep, hit),
+            lambda e: F.struct(e["ord"].alias("ord"), e["span"].alias("span")),
+        )
+        return F.transform(F.sort_array(found), lambda e: e["span"])
+
+    nothing = F.struct(F.lit(-1).alias("far"), F.lit("").alias("type"), F.lit(-1).alias("other"))
+    events = F.concat(
+        F.transform(spans, lambda s, i: event(s, i, 1)),
+        F.transform(spans, lambda s, i: event(s, i, 0)),
+    )
+    swept = let(
+        F.sort_array(events),
+        lambda sweep: let(
+            running(F.transform(sweep, lambda e: e["reach"]), further, nothing),
+            lambda reach: hits(sweep, reach),
+        ),
+    )
+    return F.when(F.size(spans) > 1, swept).otherwise(no_spans())
+
+
+def _greedy(extra: Column) -> Column:
+    """Extra spans, each kept unless it overlaps one that comes earlier in the array and is kept.
+
+    Two spans overlap exactly when the ranks they take up do (``_stops``). The ranks taken lie in
+    about sqrt(n) chunks, so a step looks into the chunks of its span up to the first hit. A range
+    is one number, ``lo * 2^32 + hi``: every step copies the state, and numbers are cheap to copy.
+    """
+    low = (1 << 32) - 1
+
+    def fold(ordered: Column, stops: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(ordered))).cast("int")
+
+        def chunked(width: Column) -> Column:
+            claims = F.sort_array(
+                F.transform(
+                    ordered,
+                    lambda s, i: F.struct(
+                        s["ord"].alias("ord"),
+                        i.alias("lo"),
+                        F.get(stops, i).alias("hi"),
+                        F.floor(i / width).cast("int").alias("first"),
+                        F.floor((F.get(stops, i) - 1) / width).cast("int").alias("last"),
+                    ),
+                )
+            )
+
+            def step(chunks: Column, c: Column) -> Column:
+                hit = F.exists(
+                    F.slice(chunks, c["first"] + 1, c["last"] - c["first"] + 1),
+                    lambda chunk: F.exists(
+                        chunk,
+                        lambda k: (F.shiftright(k, 32) < c["hi"])
+                        & (c["lo"] < k.bitwiseAND(F.lit(low))),
+                    ),
+                )
+                claim = c["lo"].cast("bigint") * F.lit(1 << 32) + c["hi"]
+                return F.when(hit, chunks).otherwise(
+                    F.transform(
+                        chunks,
+                        lambda chunk, j: F.when(
+                            j.between(c["first"], c["last"]), F.array_append(chunk, claim)
+                        ).otherwise(chunk),
+                    )
+                )
+
+            empty = F.transform(
+                F.sequence(F.lit(0), F.floor((F.size(ordered) - 1) / width).cast("int")),
+                lambda _: F.array().cast("array<bigint>"),
+            )
+            ranges = F.array_distinct(F.flatten(F.aggregate(claims, empty, step)))
+            return F.transform(ranges, lambda k: F.shiftright(k, 32).cast("int"))
+
+        kept = let(width, chunked)
+        return F.transform(kept, lambda lo: F.get(ordered, lo)["span"])
 
     def pick(ordered: Column) -> Column:
         disjoint = let(
@@ -60,9 +227,11 @@ def _greedy(extra: Column) -> Column:
                 lambda ok: ok,
             ),
         )
-        return F.when(disjoint, extra).otherwise(fold())
+        return F.when(disjoint, extra).otherwise(
+            let(_stops(ordered), lambda stops: fold(ordered, stops))
+        )
 
-    return let(sorted_spans(extra), pick)
+    return let(_by_place(extra), pick)
 
 
 def merged(base: Column, extra: Column) -> Column:
@@ -192,3 +361,19 @@ def cover_spans(df: DataFrame, spans: str = "spans", text: str = "text") -> Data
     return df.withColumn(
         spans, let(blocks(F.col(text)), lambda cut: covered(F.col(spans), cut))
     )
+
+
+def span_overlaps(df: DataFrame, keys: list[str], spans: str = "spans") -> DataFrame:
+    """``keys, type, value, start, end`` of the spans that overlap a span of another type."""
+    return df.select(*keys, F.inline(overlapped(F.col(spans))))
+
+
+def span_pairs(df: DataFrame, keys: list[str], spans: str = "spans") -> DataFrame:
+    """One row for every two overlapping spans of a text: ``keys, type, start, end`` of the one
+    that starts first (ties: ends first, then stands first) and ``other_type, other_start,
+    other_end``."""
+    return df.select(*keys, F.inline(overlapping_pairs(F.col(spans)))).select(
+        *keys,
+        *[F.col("span")[c].alias(c) for c in ("type", "start", "end")],
+        *[F.col("other")[c].alias(f"other_{c}") for c in ("type", "start", "end")],
+    )

@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from veilspan.functions.patterns import NER_ENABLED, TYPES
+from veilspan.functions.arrays import let
+from veilspan.functions.patterns import NER_ENABLED, TOKEN, TYPES
 from veilspan.functions.tokens import as_session
-from veilspan.operators.detect import detect_spans
+from veilspan.operators.detect import detect_spans, split_around
 from veilspan.operators.entities import Tagger
 from veilspan.operators.redact import scrub_labels
-from veilspan.operators.restore import restore_tokens
+from veilspan.operators.restore import restore_tokens, token_test
 from veilspan.operators.tables import cut_lineage
 from veilspan.operators.vault import vault_entries
 from veilspan.plans.scrub import scrub_to_vault, scrub_with_ner_to_vault, with_entities
@@ -147,6 +148,102 @@ def restore_stream(
     return _per_batch(df, checkpoint, work)
 
 
+def restore_waiting_stream(
+    replies: DataFrame,
+    mappings: DataFrame,
+    keys: Sequence[str],
+    at: str = "at",
+    made: str = "made",
+    wait: str = "10 minutes",
+    lateness: str = "1 minute",
+    session: str | Column = "default",
+    text: str = "text",
+    spread: int = 4,
+) -> DataFrame:
+    """Restore replies whose mapping may arrive after them: ``keys, at, text`` in append mode.
+
+    ``mappings`` streams rows of the vault (session, token, value) with the time ``made``. A reply
+    gets every mapping that was made until ``wait`` after its own time ``at``, however long
+    before; it comes out when the watermarks of both streams, ``lateness`` behind the latest rows,
+    have passed that time. Tokens without a mapping by then stay, and so do tokens with several
+    values. Replies with equal keys, time and text count as one; a row without a time never comes
+    out.
+
+    It is a left join of two streams on the token. Replies leave its state when their time is over;
+    mappings stay in it (RocksDB), as they do in the vault. ``spread`` copies of each mapping split
+    a token that very many replies hold.
+    """
+    keep_state_on_disk(replies.sparkSession)
+    col = F.col(text)
+    who = [*keys, at, "_digest"]
+    texts = replies.withWatermark(at, lateness).select(
+        *keys,
+        at,
+        as_session(session).alias("_session"),
+        col.alias("_text"),
+        F.sha2(col, 256).alias("_digest"),
+        F.posexplode_outer(F.regexp_extract_all(col, F.lit(TOKEN), F.lit(0))).alias("_ord", "_token"),
+    )
+    # The text goes with its first token only.
+    rows = texts.withColumn(
+        "_text", F.when(F.coalesce("_ord", F.lit(0)) == 0, F.col("_text"))
+    ).withColumn("_salt", F.pmod(F.xxhash64(*keys, "_digest"), F.lit(spread)).cast("int"))
+    # Out of a generator, so that the join's filters do not go below the watermark: rows of other
+    # sessions move it too.
+    known = mappings.withWatermark(made, lateness).select(
+        F.col(made).alias("_made"),
+        F.inline(
+            F.transform(
+                F.sequence(F.lit(0), F.lit(spread - 1)),
+                lambda part: F.struct(
+                    F.col("session").alias("_of"),
+                    F.col("token").alias("_key"),
+                    F.col("value").alias("_value"),
+                    part.alias("_part"),
+                ),
+            )
+        ),
+    )
+    in_time = F.col("_made") <= F.col(at) + F.expr(f"INTERVAL {wait}")
+    same = (
+        (F.col("_session") == F.col("_of"))
+        & (F.col("_token") == F.col("_key"))
+        & (F.col("_salt") == F.col("_part"))
+    )
+    joined = rows.join(known, same & in_time, "left_outer").select(
+        *who, "_text", "_ord", "_value"
+    )
+    gathered = joined.groupBy(*who).agg(
+        F.max("_text").alias(text),
+        F.sort_array(F.collect_set(F.struct("_ord", "_value"))).alias("_found"),
+    )
+    return gathered.select(*keys, at, _filled(col, F.col("_found")).alias(text))
+
+
+def _filled(text: Column, found: Column) -> Column:
+    """The text with its tokens replaced; ``found`` has the values of each token, in order."""
+
+    def one(e: Column, i: Column) -> Column:
+        twice = F.get(found, i + 1)["_ord"].eqNullSafe(e["_ord"])
+        return F.struct(
+            (~F.get(found, i - 1)["_ord"].eqNullSafe(e["_ord"])).alias("first"),
+            F.when(~twice, e["_value"]).alias("value"),
+        )
+
+    values = F.filter(F.transform(found, one), lambda e: e["first"])
+
+    def fill(values: Column) -> Column:
+        parts = F.transform(
+            split_around(text, TOKEN),
+            lambda part, i: F.when(
+                i % 2 == 1, F.coalesce(F.get(values, F.shiftright(i, 1))["value"], part)
+            ).otherwise(part),
+        )
+        return F.array_join(parts, "")
+
+    return F.when(token_test(text), let(values, fill)).otherwise(text)
+
+
 def summary_stream(
     df: DataFrame, text: str = "text", types: Sequence[str] = TYPES
 ) -> DataFrame:
