@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
     """Add or replace columns that are costly to compute.
@@ -41,8 +43,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows once and go on from there, so that a lost executor costs a re-read.
 
     Unlike a cached frame the files survive executors, and they give later joins a known size.
+    Nothing reads the shuffles behind the written table again; they go when it is there.
     """
     spark = df.sparkSession
     path = new_path(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_FREE_SHUFFLES)
+        else:
+            spark.conf.set(_FREE_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``cut_lineage`` gave, when whatever reads them is written."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path.getFileSystem(conf).delete(path, True)
