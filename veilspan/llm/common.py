@@ -11,9 +11,9 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.operators.tables import cut_lineage, new_path
+from veilspan.operators.tables import cut_lineage, discard, new_path
 
-__all__ = ["cut_lineage", "new_path", "table", "ship", "slices", "Words", "mix"]
+__all__ = ["cut_lineage", "discard", "new_path", "table", "ship", "slices", "Words", "mix"]
 
 _PACKAGE = Path(__file__).resolve().parents[1]
 _shipped: set[str] = set()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import cut_lineage
+from veilspan.llm.common import cut_lineage, discard
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,7 +31,10 @@ def components(links: DataFrame) -> DataFrame:
             .agg(F.min(F.least("la", "lb")).alias("to"))
         )
         if hooks.isEmpty():
+            discard(hooks)
             return labels
-        labels = cut_lineage(
+        moved = cut_lineage(
             labels.join(hooks, "label", "left").select("id", F.coalesce("to", "label").alias("label"))
         )
+        discard(labels, hooks)
+        labels = moved

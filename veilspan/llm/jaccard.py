@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import Words, cut_lineage, mix, ship, slices
+from veilspan.llm.common import Words, cut_lineage, discard, mix, ship, slices
 from veilspan.llm.components import components
 
 #: A token in more prefixes than this is frequent. At most ``MOST`` tokens are, the most frequent
@@ -195,7 +195,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> Da
     texts = cut_lineage(rows.join(ids, "id_", "left_semi"))
     block = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("block")
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    dealt = cut_lineage(pairs.join(cut_lineage(sizes), "a").select("a", "b", block))
+    sizes = cut_lineage(sizes)
+    dealt = cut_lineage(pairs.join(sizes, "a").select("a", "b", block))
     members = dealt.withColumnRenamed("b", "id_").join(texts, "id_").select(
         "a", "block", F.lit(1).alias("member"), "id_", "text_"
     )
@@ -221,7 +222,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> Da
 
     near = members.unionByName(leaders).repartition("a", "block")
     near = near.sortWithinPartitions("a", "block", "member")
-    return cut_lineage(near.mapInPandas(compare, "a long, b long").distinct())
+    links = cut_lineage(near.mapInPandas(compare, "a long, b long").distinct())
+    discard(texts, sizes, dealt)
+    return links
 
 
 def _joined_blocks(
@@ -307,7 +310,9 @@ def _joined_blocks(
     texts = cut_lineage(rows.join(left.select(F.col("node").alias("id_")).distinct(), "id_", "left_semi"))
     together = left.join(texts.withColumnRenamed("id_", "node"), "node")
     links = dealt(together).mapInPandas(compare, "a long, b long")
-    return cut_lineage(links.distinct())
+    links = cut_lineage(links.distinct())
+    discard(sizes, blocks, met, pairs, left, texts)
+    return links
 
 
 def _groups(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[list[tuple[list, list]]]:
@@ -431,26 +436,28 @@ def near_duplicates(
             F.first("sample").alias("sample"),
         )
     )
-    postings = nodes.select("node", "n", "rank", F.explode("entries").alias("entry"))
-    leader = F.min(F.struct("rank", "node", F.col("n").alias("size"))).alias("leader")
-    shared = cut_lineage(
-        postings.groupBy("entry")
-        .agg(leader, F.count(F.lit(1)).alias("times"))
-        .filter("times > 1")
-        .drop("times")
-    )
-    lists = cut_lineage(
-        nodes.select("node", F.col("n").alias("size"), F.explode("entries").alias("entry")).join(
-            shared, "entry"
-        )
-    )
+    documents = cut_lineage(described.select("id_", "n", "digest"))
+    discard(described)
+
+    # Most entries are of one set only: they are counted by themselves, before the rest is sent.
+    postings = nodes.select(F.explode("entries").alias("entry"))
+    shared = postings.groupBy("entry").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    shared = cut_lineage(shared.select("entry"))
+    members = nodes.select("node", F.col("n").alias("size"), "rank", F.explode("entries").alias("entry"))
+    members = cut_lineage(members.join(shared, "entry"))
+    leader = F.min(F.struct("rank", "node", "size")).alias("leader")
+    leaders = cut_lineage(members.groupBy("entry").agg(leader))
+    lists = cut_lineage(members.drop("rank").join(leaders, "entry"))
+    discard(shared, members, leaders)
     near = F.least("size", "leader.size") * 100 >= F.greatest("size", "leader.size") * percent
     led = cut_lineage(
         lists.filter((F.col("leader.node") != F.col("node")) & near)
         .select(F.col("leader.node").alias("a"), F.col("node").alias("b"))
         .distinct()
     )
-    links = _verified(_possible(led, nodes, percent), rows, width, percent)
+    fitting = _possible(led, nodes, percent)
+    links = _verified(fitting, rows, width, percent)
+    discard(led, fitting)
     labels = components(links)
 
     # Lists whose members the links so far do not join.
@@ -462,13 +469,20 @@ def near_duplicates(
         .filter("low <> high")
         .select("entry")
     )
-    open_lists = placed.join(cut_lineage(apart), "entry").select(
-        "entry", "node", "size", "label", F.col("leader.node").alias("leader")
+    apart = cut_lineage(apart)
+    open_lists = cut_lineage(
+        placed.join(apart, "entry").select(
+            "entry", "node", "size", "label", F.col("leader.node").alias("leader")
+        )
     )
-    open_lists = cut_lineage(open_lists)
+    discard(lists, apart)
     more = _joined_blocks(open_lists, nodes, rows, width, percent)
+    discard(open_lists)
     if not more.isEmpty():
-        labels = components(cut_lineage(links.union(more)))
+        joined = cut_lineage(links.union(more))
+        discard(labels)
+        labels = components(joined)
+        discard(joined)
 
     named = labels.select(F.col("id").alias("node"), F.col("label").alias("component"))
     of_set = cut_lineage(
@@ -476,7 +490,8 @@ def near_duplicates(
         .join(named, "node", "left")
         .select("n", "digest", F.coalesce("component", "node").alias("component"))
     )
-    found = described.select("id_", "n", "digest").join(of_set, ["n", "digest"], "left")
+    discard(nodes, links, more, labels)
+    found = documents.join(of_set, ["n", "digest"], "left")
     component = F.when(F.col("id_").isNotNull(), F.coalesce("component", "id_"))
     return found.select(
         F.col("id_").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")
