@@ -99,3 +99,26 @@ def test_the_bound_counts_labelled_documents(spark, monkeypatch):
     toxicity.train(many, known, most=350)
     toxicity.train(many, known, most=2000)
     assert sizes == [200, 350, 700]
+
+
+def test_long_clean_texts_are_clean():
+    texts, labels = corpus(900, 7)
+    model = toxicity.fit([t.encode() for t in texts], labels)
+    clean = next(t for t, y in zip(texts, labels) if not y and len(t) > 200 and not any(b in t for b in BAD))
+    table = "\n".join(f"{k} 3.14 2.71 {k}.50" for k in range(3000))
+    odd = ["." * 10_000, "\n" * 5_000, "?!" * 4_000, table, f"{clean} " * 10_000, "", " "]
+    scores, parts = model.scores([t.encode() for t in odd])
+    assert scores.max() < 0.3 and not any(len(p) for p, _ in parts[:3])
+    assert len(parts[3][0]) == 3000
+    long = f"{clean} " * 2_000 + "you idiot scum moron. " + f"{clean} " * 2_000
+    assert model.scores([long.encode()])[0][0] >= 0.3
+
+
+def test_top_sentences_of_each_group():
+    rng = np.random.default_rng(3)
+    group = np.sort(rng.integers(0, 9, 400))
+    logits = rng.normal(size=400)
+    taken = toxicity._top(logits, group)
+    for g in range(9):
+        own = np.sort(logits[group == g])[::-1][: toxicity.TOP]
+        assert sorted(logits[taken & (group == g)], reverse=True) == list(own)

@@ -1,9 +1,10 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's probability comes from the words in it; the
-document's is their noisy-or, 1 - prod(1 - p). Only document labels exist, so the gradient of the
-noisy-or decides which sentences a positive label blames. The same sentence scores then locate the
-offending sentences. Words are hashed, so no vocabulary is collected.
+A document is a bag of sentences with at least one word. A sentence's probability comes from the
+words in it; the document's is the noisy-or, 1 - prod(1 - p), of its ``TOP`` most probable ones, so
+that many harmless sentences do not add up to an offence. Only document labels exist, so the
+gradient of the noisy-or decides which sentences a positive label blames. The same sentence scores
+then locate the offending sentences. Words are hashed, so no vocabulary is collected.
 """
 
 from __future__ import annotations
@@ -26,19 +27,41 @@ MAX_LABELLED = 6_000
 #: A word takes part in the fit if so many of these documents hold it.
 MIN_DOCS = 4
 THRESHOLD = 0.3
+#: Sentences of a document that the noisy-or takes, the most probable ones. All are scored.
+TOP = 16
 
-#: Sentences end at these bytes: . ! ? and the line feed.
+#: Sentences end at these bytes: . ! ? and the line feed. A full stop between digits ends none.
 _ENDS = np.isin(np.arange(256), np.frombuffer(b".!?\n", dtype=np.uint8))
 #: Words: ASCII letters and digits, and all bytes of other characters.
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 
 
+_DIGIT = np.zeros(256, dtype=bool)
+_DIGIT[48:58] = True
+
+
 def _sentences(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Of each word its sentence, numbered through all texts, and of each sentence its first byte."""
-    ends = np.flatnonzero(_ENDS[words.data]) + 1
-    starts = np.concatenate([[0], ends[:-1]])
-    return np.searchsorted(starts, words.start, side="right") - 1, starts
+    """Of each word its sentence, numbered through all texts, and of each sentence its first byte.
+    Only sentences with a word count."""
+    data = words.data
+    ends = np.flatnonzero(_ENDS[data])
+    inner = ends[(ends > 0) & (ends < len(data) - 1)]
+    number = (data[inner] == 46) & _DIGIT[data[inner - 1]] & _DIGIT[data[inner + 1]]
+    starts = np.concatenate([[0], np.setdiff1d(ends, inner[number]) + 1])
+    at = np.searchsorted(starts, words.start, side="right") - 1
+    held, sentence = np.unique(at, return_inverse=True)
+    return sentence, starts[held]
+
+
+def _top(logits: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which of the logits are among the ``TOP`` largest of their group; groups are ascending."""
+    order = np.lexsort((-logits, group))
+    sizes = np.bincount(group) if len(group) else np.empty(0, dtype=np.int64)
+    rank = np.arange(len(group)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.zeros(len(group), dtype=bool)
+    out[order] = rank < TOP
+    return out
 
 
 @dataclass(frozen=True)
@@ -60,7 +83,8 @@ class Model:
             logits, starts = self.sentence_logits(words)
             first = np.searchsorted(starts, words.offset)
             # log(1 - p) of each sentence; the noisy-or of a text is 1 - exp(their sum)
-            sums = np.concatenate([[0.0], np.cumsum(-np.logaddexp(0.0, logits))])
+            taken = _top(logits, np.repeat(np.arange(b - a), np.diff(first)))
+            sums = np.concatenate([[0.0], np.cumsum(np.where(taken, -np.logaddexp(0.0, logits), 0.0))])
             total = sums[first[1:]] - sums[first[:-1]]
             out[a:b] = -np.expm1(total)
             p = 1.0 / (1.0 + np.exp(-logits))
@@ -94,7 +118,7 @@ def fit_bags(
 ) -> Model:
     """Weights by proximal Adam on the noisy-or likelihood, with an L1 penalty.
 
-    Without labelled rows, or with one label only, the score is that label's rate for all texts.
+    Without labelled rows, or with one label only, every sentence has that label's rate.
     """
     weights = np.zeros(1 << BITS)
     n = len(bags)
@@ -124,24 +148,29 @@ def fit_bags(
     # Sentences without a chosen word differ by their document only: counted, not listed.
     listed, where = np.unique(where, return_inverse=True)
     listed_doc = doc_of[listed]
-    bare = np.bincount(doc_of, minlength=n) - np.bincount(listed_doc, minlength=n)
+    # No more of them than the noisy-or can take are listed with the others.
+    bare = np.minimum(np.bincount(doc_of, minlength=n) - np.bincount(listed_doc, minlength=n), TOP)
+    listed_doc = np.concatenate([listed_doc, np.repeat(np.arange(n), bare)])
+    order = np.argsort(listed_doc, kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    listed_doc, where = listed_doc[order], place[where]
 
     w, bias = np.zeros(len(chosen)), -6.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     y = labels.astype(float)
     for step in range(1, rounds + 1):
-        logits = np.bincount(where, weights=w[word], minlength=len(listed)) + bias
-        p, p0 = 1.0 / (1.0 + np.exp(-logits)), 1.0 / (1.0 + np.exp(-bias))
-        log_none = np.bincount(listed_doc, weights=-np.logaddexp(0.0, logits), minlength=n)
-        log_none -= bare * np.logaddexp(0.0, bias)
-        some = np.maximum(-np.expm1(log_none), 1e-9)
-        # d loss / d logit = p * (1 - y / P), for every sentence of the document
-        blame = (1.0 - y / some) / n
-        by_sentence = p * blame[listed_doc]
+        logits = np.bincount(where, weights=w[word], minlength=len(listed_doc)) + bias
+        taken = _top(logits, listed_doc)
+        p = np.where(taken, 1.0 / (1.0 + np.exp(-logits)), 0.0)
+        none = np.where(taken, -np.logaddexp(0.0, logits), 0.0)
+        some = np.maximum(-np.expm1(np.bincount(listed_doc, weights=none, minlength=n)), 1e-9)
+        # d loss / d logit = p * (1 - y / P), for every sentence that the noisy-or takes
+        by_sentence = p * ((1.0 - y / some) / n)[listed_doc]
         grad = np.concatenate(
             [
                 np.bincount(word, weights=by_sentence[where], minlength=len(chosen)),
-                [by_sentence.sum() + p0 * np.sum(bare * blame)],
+                [by_sentence.sum()],
             ]
         )
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
@@ -231,8 +260,8 @@ def score(
     """``docs`` with toxic_score, toxic_flag and toxic_spans added.
 
     The spans are the offending sentences (probability at least half the threshold): start and
-    length in UTF-8 bytes, and the probability. Null and empty texts have a score like a bag
-    without words. Rows are kept as they are given, repeated or without an id; columns with the new
+    length in UTF-8 bytes, up to the next sentence with a word, and the probability. Texts without
+    words, null and empty ones among them, score 0. Rows are kept as they are given, repeated or without an id; columns with the new
     names are replaced.
     """
     spark = docs.sparkSession
