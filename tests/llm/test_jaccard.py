@@ -80,6 +80,28 @@ def test_similar_sets_share_a_signature():
                 assert len(np.intersect1d(a, b)), (len(x), len(y), len(frequent))
 
 
+def test_a_similar_set_has_a_first_entry_of_the_smaller_one():
+    rng = np.random.default_rng(2)
+    met = 0
+    for percent in (80, 85, 95):
+        for _ in range(1500):
+            x = np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 160))).astype(np.uint64))
+            keep = x[rng.random(len(x)) < rng.uniform(0.78, 1)]
+            y = np.unique(np.concatenate([keep, rng.integers(0, 1 << 62, int(rng.integers(0, 1 + len(x) // 6))).astype(np.uint64)]))
+            x, y = sorted((x, y), key=len)
+            both = np.unique(np.concatenate([x, y]))
+            frequent = np.sort(rng.permutation(both)[: int(rng.integers(0, len(both) + 1))])
+            if jaccard.similar(x, y, percent) and not np.array_equal(x, y):
+                met += 1
+                first, later, _ = jaccard.index_entries(x, frequent, percent)
+                every, _ = jaccard.signatures(y, frequent, percent)
+                assert len(np.intersect1d(first, every)), (percent, len(x), len(y), len(frequent))
+                assert not len(np.intersect1d(first, later))
+                if len(x) == len(y):
+                    assert len(np.intersect1d(jaccard.index_entries(y, frequent, percent)[0], jaccard.signatures(x, frequent, percent)[0]))
+    assert met > 500
+
+
 def test_rows_of_any_kind(spark):
     text = "a b c d e f g h"
     rows = [(5, text), (3, text.upper()), (None, text), (6, None), (7, ""), (8, " \n"), (9, "a b"), (2, "A\tb"), (4, "a"), (3, text)]

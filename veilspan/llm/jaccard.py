@@ -7,7 +7,8 @@ is indexed on its own. Frequent tokens are dealt into groups, and pairs of a gro
 indexed, because a single one would bring everything together that holds it. A token of a group
 with c tokens in the prefix counts for c - 1: the prefix is extended until rare tokens and groups
 count for more than the tokens that a similar set may lack, so two similar sets share a rare token
-or a pair. Verification is exact.
+or a pair. The smaller one of two sets may lack fewer tokens of the other, so it needs a shorter
+prefix: an entry that is of no set's shorter prefix brings nothing together. Verification is exact.
 
 Documents with the same set are one node. No list of an index entry is expanded into its pairs:
 first its members are compared with one leader, the member with the most frequent tokens. Only
@@ -84,30 +85,48 @@ def possible(x: np.ndarray, nx: int, y: np.ndarray, ny: int, percent: int) -> bo
     return len(x) - both <= nx - least and len(y) - both <= ny - least
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, float]:
-    """Index entries of a set, and the share of its tokens that are frequent."""
+def index_entries(
+    tokens: np.ndarray, frequent: np.ndarray, percent: int
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """Index entries of a set: those by which it meets sets of its size or larger ones, and further
+    ones by which only smaller sets meet it; and the share of its tokens that are frequent.
+
+    A set may lack fewer tokens of a larger one than of a smaller one, so the first are of a
+    shorter prefix. Two similar sets have one of the smaller set's first entries in common.
+    """
     n = len(tokens)
-    need = n - _least(n, percent) + 1
+    need, short = n - _least(n, percent) + 1, n + 1 + -(2 * percent * n) // (100 + percent)
     at = np.searchsorted(frequent, tokens)
     often = frequent[np.minimum(at, len(frequent) - 1)] == tokens if len(frequent) else np.zeros(n, bool)
     rare, share = tokens[~often][:need], float(often.mean()) if n else 0.0
     if len(rare) >= need:
-        return rare, share
-    found, hot = [rare], tokens[often]
+        return rare[:short], rare[short:], share
+    found, later, hot = [rare[:short]], [rare[short:]], tokens[often]
     scattered = mix(hot ^ _U(0xA5A5A5A5A5A5A5A5))
     for band in _bands(n, percent):
         groups = max(1, (1 << band) // 32)
         group = (scattered % _U(groups)).astype(np.int64)
         counts = np.ones(len(hot), dtype=np.int64)
         counts[np.unique(group, return_index=True)[1]] = 0
-        upto = int(np.searchsorted(np.cumsum(counts), need - len(rare))) + 1
-        mine, key = group[:upto], hot[:upto]
-        order = np.argsort(mine, kind="stable")
-        mine, key = mine[order], key[order]
-        for part in np.split(key, np.flatnonzero(np.diff(mine)) + 1):
-            i, j = np.triu_indices(len(part), 1)
-            found.append(mix(mix(part[i] * _U(3)) ^ (part[j] + _U(band))))
-    return np.unique(np.concatenate(found)), share
+        reached = np.cumsum(counts)
+        upto = int(np.searchsorted(reached, need - len(rare))) + 1
+        # The smaller one of two sets is met in its own band.
+        own = band == n.bit_length() and len(rare) < short
+        first = int(np.searchsorted(reached, short - len(rare))) + 1 if own else 0
+        place = np.argsort(group[:upto], kind="stable")
+        for part in np.split(place, np.flatnonzero(np.diff(group[place])) + 1):
+            i, j = (part[x] for x in np.triu_indices(len(part), 1))
+            pairs = mix(mix(hot[i] * _U(3)) ^ (hot[j] + _U(band)))
+            found.append(pairs[np.maximum(i, j) < first])
+            later.append(pairs[np.maximum(i, j) >= first])
+    lead = np.unique(np.concatenate(found))
+    return lead, np.setdiff1d(np.concatenate(later), lead), share
+
+
+def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, float]:
+    """All index entries of a set, and the share of its tokens that are frequent."""
+    lead, later, share = index_entries(tokens, frequent, percent)
+    return np.concatenate([lead, later]), share
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -142,7 +161,8 @@ def _frequent_tokens(rows: DataFrame, width: int, percent: int) -> np.ndarray:
 
 
 def _described(rows: DataFrame, frequent, width: int, percent: int) -> DataFrame:
-    """Per document: id_, n, digest of its set, and rank (of a leader) and entries for the index.
+    """Per document: id_, n, digest of its set, and rank (of a leader) and entries for the index,
+    of which the first ``lead`` ones meet sets of its size or larger ones.
 
     ``sample`` has the tokens of least hash, as many as a prefix; null where the entries are these.
     """
@@ -150,24 +170,26 @@ def _described(rows: DataFrame, frequent, width: int, percent: int) -> DataFrame
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = token_sets(_texts(batch), width)
-            found = [signatures(s, frequent.value, percent) for s in sets]
+            found = [index_entries(s, frequent.value, percent) for s in sets]
+            entries = [np.concatenate(f[:2]) for f in found]
             samples = []
-            for tokens, (entries, _) in zip(sets, found, strict=True):
+            for tokens, own in zip(sets, entries, strict=True):
                 first = tokens[: len(tokens) - _least(len(tokens), percent) + 1]
-                same = np.array_equal(first, entries)
+                same = np.array_equal(first, own)
                 samples.append(None if same else first.view(np.int64))
             yield pd.DataFrame(
                 {
                     "id_": batch["id_"].astype("Int64"),
                     "n": [len(s) for s in sets],
                     "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                    "rank": [int(-1000 * share) for _, share in found],
-                    "entries": [e.view(np.int64) for e, _ in found],
+                    "rank": [int(-1000 * f[2]) for f in found],
+                    "entries": [e.view(np.int64) for e in entries],
+                    "lead": [len(f[0]) for f in found],
                     "sample": pd.Series(samples, dtype=object),
                 }
             )
 
-    schema = "id_ long, n long, digest binary, rank int, entries array<long>, sample array<long>"
+    schema = "id_ long, n long, digest binary, rank int, entries array<long>, lead int, sample array<long>"
     return rows.mapInPandas(describe, schema)
 
 
@@ -231,7 +253,7 @@ def _joined_blocks(
     lists: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, percent: int
 ) -> DataFrame:
     """Links (a, b) that join all members of a list which are similar enough, given lists
-    (entry, node, size, label, leader) of nodes and the components they are in.
+    (entry, node, size, label, leads, leader) of nodes and the components they are in.
 
     Nodes are put into blocks of at most about ``BLOCK``, by the smallest of their lists' leaders,
     which brings most of what shares lists together, and by bands of size, of which only
@@ -252,15 +274,21 @@ def _joined_blocks(
     )
     met = lists.join(blocks.select("node", "block", "band"), "node")
     met = cut_lineage(
-        met.groupBy("entry", "block", "band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        met.groupBy("entry", "block", "band").agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), F.max("leads").alias("leads")
+        )
     )
     x, y = (met.select("entry", *[F.col(c).alias(c + k) for c in met.columns[1:]]) for k in "xy")
     # Blocks that are of one and the same component have nothing to say to each other.
     differ = (F.col("lowx") != F.col("highy")) | (F.col("highx") != F.col("lowy"))
     near = (F.col("blockx") <= F.col("blocky")) & (F.abs(F.col("bandx") - F.col("bandy")) <= 1)
+    # The smaller set has the entry among its first ones.
+    first = (F.col("leadsx") & (F.col("bandx") <= F.col("bandy"))) | (
+        F.col("leadsy") & (F.col("bandy") <= F.col("bandx"))
+    )
     pairs = cut_lineage(
         x.join(y, "entry")
-        .filter(near & differ)
+        .filter(near & differ & first)
         .select(F.col("blockx").alias("x"), F.col("blocky").alias("y"))
         .distinct()
     )
@@ -433,6 +461,7 @@ def near_duplicates(
             F.min("id_").alias("node"),
             F.first("rank").alias("rank"),
             F.first("entries").alias("entries"),
+            F.first("lead").alias("lead"),
             F.first("sample").alias("sample"),
         )
     )
@@ -440,10 +469,15 @@ def near_duplicates(
     discard(described)
 
     # Most entries are of one set only: they are counted by themselves, before the rest is sent.
-    postings = nodes.select(F.explode("entries").alias("entry"))
-    shared = postings.groupBy("entry").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    shared = cut_lineage(shared.select("entry"))
-    members = nodes.select("node", F.col("n").alias("size"), "rank", F.explode("entries").alias("entry"))
+    postings = nodes.select("lead", F.posexplode("entries").alias("pos", "entry"))
+    counted = postings.groupBy("entry").agg(
+        F.count(F.lit(1)).alias("times"), F.max(F.col("pos") < F.col("lead")).alias("leads")
+    )
+    shared = cut_lineage(counted.filter("times > 1 AND leads").select("entry"))
+    members = nodes.select(
+        "node", F.col("n").alias("size"), "rank", "lead", F.posexplode("entries").alias("pos", "entry")
+    )
+    members = members.withColumn("leads", F.col("pos") < F.col("lead")).drop("pos", "lead")
     members = cut_lineage(members.join(shared, "entry"))
     leader = F.min(F.struct("rank", "node", "size")).alias("leader")
     leaders = cut_lineage(members.groupBy("entry").agg(leader))
@@ -472,7 +506,7 @@ def near_duplicates(
     apart = cut_lineage(apart)
     open_lists = cut_lineage(
         placed.join(apart, "entry").select(
-            "entry", "node", "size", "label", F.col("leader.node").alias("leader")
+            "entry", "node", "size", "label", "leads", F.col("leader.node").alias("leader")
         )
     )
     discard(lists, apart)
