@@ -384,13 +384,10 @@ def ner_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _document_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return stream_texts(
-        spark,
-        sf,
-        table(spark, sf, "documents").schema,
-        keys=["doc_id"],
-        options={"pathGlobFilter": "documents.parquet"},
-    )
+    """The pattern finds a table of one file as well as a folder of files. As a plain path a stream
+    takes folders only, and a filter on file names would pass over all files in such a folder."""
+    schema = table(spark, sf, "documents").schema
+    return stream_texts(spark, f"{sf}/documents.parque[t]", schema, keys=["doc_id"])
 
 
 def scrub_stream(spark: SparkSession, sf: str) -> DataFrame:

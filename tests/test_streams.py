@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import veilspan as v
+from checks import queries
 from veilspan.operators.vault import vault_entries
 from veilspan.sources.texts import stream_texts
 from veilspan.sources.vaults import add_entries
@@ -101,3 +102,20 @@ def test_files(spark, tmp_path):
     with pytest.raises(Exception, match="already exists"):
         v.write_scrubbed(df, out)
     assert spark.read.parquet(out).filter(F.col("body").isNull()).count() == 1
+
+
+def test_document_streams_read_a_table_of_many_files(spark, sf_dir, tmp_path):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).coalesce(1).cache()
+    found = {}
+    for name, files in (("one", 1), ("many", 3)):
+        folder = tmp_path / name
+        if files == 1:
+            folder.mkdir()
+            documents.toPandas().to_parquet(folder / "documents.parquet")
+        else:
+            documents.repartition(files).write.parquet(str(folder / "documents.parquet"))
+        found[name] = {tuple(r) for r in queries.scrub_stream(spark, str(folder)).collect()}
+        counts = {tuple(r) for r in queries.summary_stream(spark, str(folder)).collect()}
+        spans = v.detect_spans(documents, [])
+        assert counts == {tuple(r) for r in spans.groupBy("type").count().collect()}
+    assert found["one"] == found["many"] and len(found["one"]) == 60
