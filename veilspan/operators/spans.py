@@ -316,8 +316,14 @@ def covered(spans: Column, cut: Column) -> Column:
 
         return let(heads, group)
 
+    # By start, so spans that are clear of the one before them are clear of all before them.
     def cover(ordered: Column) -> Column:
-        return let(_reach(ordered), lambda reach: unite(ordered, reach))
+        some = F.exists(
+            F.transform(ordered, lambda s, i: s["start"] < F.get(ordered, i - 1)["end"]),
+            lambda meets: F.coalesce(meets, F.lit(False)),
+        )
+        united = let(_reach(ordered), lambda reach: unite(ordered, reach))
+        return F.when(some, united).otherwise(ordered)
 
     return F.when(F.size(spans) > 0, let(sorted_spans(spans), cover)).otherwise(spans)
 
