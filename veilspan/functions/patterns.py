@@ -1,5 +1,8 @@
 """The detectors, labels and formats, and their form in Java's regex dialect."""
 
+import re
+from functools import lru_cache
+
 # --- Fixed values -----------------------------------------------------------------------
 
 # Detector types in registry order, with the pattern each one scans for.
@@ -68,8 +71,9 @@ INVISIBLE = (
 )
 
 # What `\s` and a JavaScript trim mean (members of a character class).
-SPACE = (
-    r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}"
+_ASCII_SPACE = r"\t\n\x0B\f\r "
+SPACE = _ASCII_SPACE + (
+    r"\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}"
     r"\x{3000}\x{FEFF}"
 )
 
@@ -101,7 +105,7 @@ _FIRST = f"(?<!{_WORD}\\d)"
 _BEGINS = {
     "phone": (
         r"(\+1[-.]?)?\(?\d{3}\)?",
-        r"(?:\d|\(\d|\+1[-.]?\(?\d)\d\d\)?",
+        r"(?=[(+0-9])(?:\d|\(\d|\+1[-.]?\(?\d)\d\d\)?",
     ),
     "ssn": (r"\b\d{3}-", rf"\d(?=\d\d-){_FIRST}\d\d-"),
     "creditCard": (r"\b(?:\d{4}[-\s]){3}", rf"\d(?=\d{{3}}[-\s]){_FIRST}\d{{3}}[-\s](?:\d{{4}}[-\s]){{2}}"),
@@ -111,19 +115,41 @@ _BEGINS = {
 }
 
 
+def _quick(pattern: str) -> str:
+    """The same pattern in the form that Java tests fastest: single ASCII characters in a class are
+    one lookup in a table, ranges and ``\\d`` are calls one after the other."""
+
+    def listed(cls: re.Match) -> str:
+        single = re.sub(
+            r"([A-Za-z0-9])-([A-Za-z0-9])",
+            lambda m: "".join(map(chr, range(ord(m[1]), ord(m[2]) + 1))),
+            cls[0],
+        )
+        if SPACE not in single:
+            return single
+        ascii_part = single.replace(SPACE, _ASCII_SPACE)
+        return rf"(?:{ascii_part}|(?![\x00-\x7F])[{SPACE.removeprefix(_ASCII_SPACE)}])"
+
+    pattern = re.sub(r"\\d\{(\d)\}", lambda m: r"\d" * int(m[1]), pattern)
+    pattern = re.sub(r"\[[^\]]*\]", listed, pattern)
+    return re.sub(r"\\d(?!\(\?=)", "[0123456789]", pattern)
+
+
+@lru_cache
 def java_pattern(kind: str) -> str:
     """The detector's pattern with ASCII boundaries and JavaScript white space."""
     body = PATTERNS[kind].removesuffix(r"\b")
     if kind in LED:
-        return f"{_EMAIL_START}({body.removeprefix(_BOUNDARY).replace('+@', '++@')}{_END})"
+        body = body.removeprefix(_BOUNDARY).replace("+@", "++@")
+        return _quick(f"{_EMAIL_START}({body}{_END})")
     slow, fast = _BEGINS[kind]
-    return (fast + body.removeprefix(slow)).replace(r"\s", SPACE) + _END
+    return _quick((fast + body.removeprefix(slow)).replace(r"\s", SPACE) + _END)
 
 
 # A text without any of these shapes cannot match a digit detector: three digits next to
 # three digits (phone, card, ZIP+4), a dashed or slashed date or number (ssn, date), or
 # dotted numbers (IP). One cheap scan then spares the six detector scans.
-DIGIT_GATE = (
+DIGIT_GATE = _quick(
     rf"\d(?:\d\d\)?[-.{SPACE}]?\d{{3}}|[/-]\d{{1,2}}[/-]\d\d|\.\d{{1,3}}\.\d{{1,3}}\.\d)"
 )
 

@@ -102,12 +102,8 @@ def spans_of(text: Column, kinds: Sequence[str] = TYPES, checked: bool = True) -
     nothing = F.array().cast("array<struct<type:string,parts:array<string>>>")
 
     def scanned(kind: str) -> Column:
-        return let(
-            split_around(text, java_pattern(kind), kind in LED),
-            lambda parts: F.when(
-                F.size(parts) > 1, F.array(F.struct(F.lit(kind).alias("type"), parts.alias("parts")))
-            ).otherwise(nothing),
-        )
+        parts = split_around(text, java_pattern(kind), kind in LED)
+        return F.array(F.struct(F.lit(kind).alias("type"), parts.alias("parts")))
 
     def located(scan: Column) -> Column:
         return place(
@@ -120,7 +116,8 @@ def spans_of(text: Column, kinds: Sequence[str] = TYPES, checked: bool = True) -
             ),
         )
 
-    spans = F.flatten(F.transform(gated(text, kinds, scanned, nothing), located))
+    found = F.filter(gated(text, kinds, scanned, nothing), lambda scan: F.size(scan["parts"]) > 1)
+    spans = F.flatten(F.transform(found, located))
     if checked and set(kinds) & set(VALIDATED):
         spans = F.filter(spans, _passes)
     return spans
