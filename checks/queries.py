@@ -13,6 +13,7 @@ from veilspan.functions.patterns import NER_ENABLED
 from veilspan.functions.tokens import entity_of, label_of
 from veilspan.operators.detect import no_spans
 from veilspan.operators.entities import TOKENS, entities_of, entity_spans, ner_type, tag_entities
+from veilspan.operators.scrub import found_spans
 from veilspan.operators.spans import merge_span_tables
 from veilspan.operators.summary import summarize_spans
 from veilspan.operators.tables import cut_lineage, new_path
@@ -251,19 +252,24 @@ def vault_collisions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scrubbed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """A scrubbed table and its vault, written as one job leaves them for the next."""
-    vault = build_vault(spark, sf)
-    scrubbed = v.scrub_tokens(corpus(spark, sf), secret=SECRET, vault=vault)
+    """A scrubbed table and its vault, written as one job leaves them for the next. The vault and
+    the texts come from one table of spans."""
+    texts = corpus(spark, sf)
+    found = found_spans(texts)
+    vault = v.build_vault(vault_entries(texts, found=found), SECRET)
+    scrubbed = v.scrub_tokens(texts, secret=SECRET, vault=vault, found=found)
     return cut_lineage(scrubbed), vault
 
 
 def _scrubbed_with_repairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The same after an earlier vault took every plain hash for another value."""
-    entries = vault_entries(corpus(spark, sf))
+    texts = corpus(spark, sf)
+    found = found_spans(texts)
+    entries = vault_entries(texts, found=found)
     earlier = v.build_vault(entries, SECRET).withColumn("value", F.concat("value", F.lit("?")))
     earlier = cut_lineage(earlier)
     vault = earlier.unionByName(v.build_vault(entries, SECRET, earlier))
-    return cut_lineage(v.scrub_tokens(corpus(spark, sf), secret=SECRET, vault=vault)), vault
+    return cut_lineage(v.scrub_tokens(texts, secret=SECRET, vault=vault, found=found)), vault
 
 
 def scrub_tokens_repaired(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,7 +13,7 @@ from veilspan.functions.tokens import as_session, entity_of, token_of
 from veilspan.operators.lookup import HOT_ROWS, attach_values
 from veilspan.operators.redact import _hashed, _spliced, redactable
 from veilspan.operators.tables import computed, cut_lineage
-from veilspan.operators.vault import VALUE_KEY, span_entries
+from veilspan.operators.vault import VALUE_KEY, vault_entries
 
 _WORK = ("_spans", "_session", "_row")
 #: Up to so many values the vault is filtered by them before it is shuffled.
@@ -54,8 +54,7 @@ def found_spans(
 
 def found_entries(found: DataFrame) -> DataFrame:
     """Distinct ``session, entity, value`` of a ``found_spans`` table, written once."""
-    spans = found.select(F.col("_session").alias("session"), F.inline("_spans"))
-    return cut_lineage(span_entries(spans, F.col("session")))
+    return cut_lineage(vault_entries(found, found=found))
 
 
 def scrub_tokens(
@@ -69,6 +68,7 @@ def scrub_tokens(
     overlap: str = "cover",
     strip: bool = True,
     hot_rows: int = HOT_ROWS,
+    found: DataFrame | None = None,
 ) -> DataFrame:
     """Replace every span by its token.
 
@@ -77,16 +77,20 @@ def scrub_tokens(
     its hash may be the token of somebody else's value. So does a value with two tokens. The
     texts are written once with their spans, the spans' distinct values meet the vault, and only
     tokens that are not the plain hash are joined back. No value and no token enters a plan.
+    ``found`` is the ``found_spans`` table of ``df``, if the vault was made from one already.
 
     Without a vault the tokens are plain hashes. They keep equal values equal, but nothing can
     be restored from them safely: values whose hashes collide share a token.
     """
     if vault is None:
+        if found is not None:
+            raise ValueError("a table of found spans needs the vault that was made from it")
         work = redactable(df, text, types, extra, overlap, strip, "_spans")
         make = _hashed if isinstance(session, str) else _hashed.__wrapped__
         done = make(text, "_spans", overlap, session, secret)
         return computed(work, **{text: done}).drop("_spans")
-    found = found_spans(df, session, text, types, extra, overlap, strip)
+    if found is None:
+        found = found_spans(df, session, text, types, extra, overlap, strip)
     return scrub_found(found, found_entries(found), vault, secret, text, overlap, hot_rows)
 
 

@@ -34,12 +34,17 @@ def vault_entries(
     extra: str | None = None,
     overlap: str = "cover",
     strip: bool = True,
+    found: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct ``session, entity, value`` of everything a scrub of ``df`` would replace.
 
     The distinct runs inside each task before it shuffles, so a value that fills a third of
-    all texts still costs one row per task.
+    all texts still costs one row per task. With ``found``, the ``found_spans`` table of ``df``,
+    its spans and sessions are taken, and no text is scanned again.
     """
+    if found is not None:
+        spans = found.select(F.col("_session").alias("session"), F.inline("_spans"))
+        return span_entries(spans, F.col("session"))
     work = redactable(df, text, types, extra, overlap, strip, "_spans")
     return span_entries(
         work.select(as_session(session).alias("session"), F.inline("_spans")), F.col("session")
