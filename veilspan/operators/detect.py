@@ -31,21 +31,33 @@ def _matches(text: Column, kind: str) -> Column:
     return F.regexp_extract_all(text, F.lit(java_pattern(kind)), F.lit(2 if kind in LED else 0))
 
 
-def gated(text: Column, kinds: Sequence[str], per_kind, nothing: Column) -> Column:
-    """Concatenate ``per_kind(kind)`` arrays, scanning only where a cheap test allows it."""
+def gates(text: Column, kinds: Sequence[str]) -> dict[str, Column]:
+    """Of each detector a cheap test that the texts it finds something in pass."""
     unknown = set(kinds) - set(TYPES)
     if unknown:
         raise ValueError(f"unknown detectors: {sorted(unknown)}")
-    parts = []
+    digits = text.rlike(DIGIT_GATE)
+    return {k: text.contains("@") if k == "email" else digits for k in TYPES if k in kinds}
+
+
+def gated(text: Column, kinds: Sequence[str], per_kind, nothing: Column) -> Column:
+    """Concatenate ``per_kind(kind)`` arrays, scanning only where a cheap test allows it."""
+    parts, tests = [], gates(text, kinds)
     if "email" in kinds:
-        parts.append(F.when(text.contains("@"), per_kind("email")).otherwise(nothing))
+        parts.append(F.when(tests["email"], per_kind("email")).otherwise(nothing))
     digits = [k for k in TYPES if k in kinds and k != "email"]
     if digits:
         found = F.concat(*[per_kind(k) for k in digits])
-        parts.append(F.when(text.rlike(DIGIT_GATE), found).otherwise(nothing))
+        parts.append(F.when(tests[digits[0]], found).otherwise(nothing))
     return F.when(text.isNull(), nothing).otherwise(F.concat(*parts))
 
 
+def marked_parts(text: Column, pattern: str, led: bool = False) -> Column:
+    """``split_around`` of a text that does not hold the mark."""
+    put = f"$1{_MARK}$2{_MARK}" if led else f"{_MARK}$0{_MARK}"
+    return F.split(F.regexp_replace(text, pattern, put), _MARK, -1)
+
+
 def split_around(text: Column, pattern: str, led: bool = False) -> Column:
     """``[gap, match, gap, match, ..., gap]`` in one scan.
 
@@ -54,8 +66,7 @@ def split_around(text: Column, pattern: str, led: bool = False) -> Column:
     and gaps are found by scans of their own. With ``led`` the pattern's group 2 is the match,
     and group 1 before it belongs to the gap.
     """
-    put = f"$1{_MARK}$2{_MARK}" if led else f"{_MARK}$0{_MARK}"
-    marked = F.split(F.regexp_replace(text, pattern, put), _MARK, -1)
+    marked = marked_parts(text, pattern, led)
     gaps = F.split(text, pattern, -1)
     if led:
         lead = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
@@ -88,53 +99,89 @@ def place(parts: Column, span: Callable[[Column, Column, Column, Column], Column
 
 def match_values(text: Column, kind: str) -> Column:
     """Values of one detector in text order, after its check."""
-    found = _matches(text, kind)
+    return checked_values(_matches(text, kind), kind)
+
+
+def checked_values(found: Column, kind: str) -> Column:
     return F.filter(found, _CHECKS[kind]) if kind in VALIDATED else found
 
 
-def spans_of(text: Column, kinds: Sequence[str] = TYPES, checked: bool = True) -> Column:
-    """Spans of the given detectors in registry order, then position.
+def scan_columns(kinds: Sequence[str]) -> dict[str, str]:
+    return {kind: f"_veilspan_{kind}" for kind in TYPES if kind in kinds}
 
-    A match starts after all gaps and matches before it. A match that fails its check still
-    uses up its characters.
-    """
 
-    nothing = F.array().cast("array<struct<type:string,parts:array<string>>>")
+@lru_cache
+def _scans(text: str, kinds: tuple[str, ...], marks: bool) -> dict[str, Column]:
+    """Columns do not change, and building them takes many calls into the JVM, which every
+    micro-batch would repeat."""
+    col, cut = F.col(text), split_around if marks else marked_parts
+    names = scan_columns(kinds)
+    return {
+        names[kind]: F.when(gate, cut(col, java_pattern(kind), kind in LED))
+        for kind, gate in gates(col, kinds).items()
+    }
+
 
-    def scanned(kind: str) -> Column:
-        parts = split_around(text, java_pattern(kind), kind in LED)
-        return F.array(F.struct(F.lit(kind).alias("type"), parts.alias("parts")))
+@lru_cache
+def _placed_scans(kinds: tuple[str, ...], checked: bool) -> Column:
+    def located(kind: str, name: str) -> Column:
+        parts, check = F.col(name), _CHECKS.get(kind) if checked else None
 
-    def located(scan: Column) -> Column:
-        return place(
-            scan["parts"],
-            lambda value, start, end, _: F.struct(
-                scan["type"].alias("type"),
+        def span(value: Column, start: Column, end: Column) -> Column:
+            return F.struct(
+                F.lit(kind).alias("type"),
                 value.alias("value"),
                 start.alias("start"),
                 end.alias("end"),
-            ),
-        )
+            )
 
-    found = F.filter(gated(text, kinds, scanned, nothing), lambda scan: F.size(scan["parts"]) > 1)
-    spans = F.flatten(F.transform(found, located))
-    if checked and set(kinds) & set(VALIDATED):
-        spans = F.filter(spans, _passes)
-    return spans
+        value, first = F.get(parts, F.lit(1)), F.length(F.get(parts, F.lit(0)))
+        one = F.array(span(value, first, first + F.length(value))).cast(SPANS)
+        several = place(parts, lambda value, start, end, _: span(value, start, end)).cast(SPANS)
+        if check:
+            one = F.when(check(value), one).otherwise(no_spans())
+            several = F.filter(several, lambda s: check(s["value"]))
+        some = F.coalesce(F.size(parts), F.lit(0))
+        return F.when(some == 3, one).when(some > 3, several).otherwise(no_spans())
 
+    found = [located(kind, name) for kind, name in scan_columns(kinds).items()]
+    return F.concat(*found) if found else no_spans()
 
-@lru_cache
-def text_spans(text: str, kinds: tuple[str, ...] = TYPES, checked: bool = True) -> Column:
-    """``spans_of`` a named column. Columns do not change, and building this one takes thousands
-    of calls into the JVM, which every micro-batch would repeat."""
-    return spans_of(F.col(text), kinds, checked)
 
+def with_spans(
+    df: DataFrame,
+    text: str,
+    kinds: Sequence[str] = TYPES,
+    out: str = "spans",
+    checked: bool = True,
+    marks: bool = True,
+) -> DataFrame:
+    """Add the spans of the given detectors in registry order, then position.
 
-def _passes(span: Column) -> Column:
-    result = F.lit(True)
-    for kind, check in _CHECKS.items():
-        result = F.when(span["type"] == kind, check(span["value"])).otherwise(result)
-    return result
+    A match starts after all gaps and matches before it. A match that fails its check still
+    uses up its characters. The scans are columns of their own, and a detector's only match is
+    placed without a lambda: Spark compiles both, but interprets whatever stands inside or around
+    a lambda. ``marks`` tells that a text may hold the mark, which stripped ones do not.
+    """
+    kinds = tuple(kinds)
+    scanned = df.withColumns(_scans(text, kinds, marks))
+    return scanned.withColumn(out, _placed_scans(kinds, checked)).drop(
+        *scan_columns(kinds).values()
+    )
+
+
+def with_matches(df: DataFrame, text: str, kinds: Sequence[str] = TYPES) -> DataFrame:
+    """Add the matches of each detector, before its check, as columns (``scan_columns``)."""
+    col, names = F.col(text), scan_columns(kinds)
+    return df.withColumns(
+        {names[k]: F.when(gate, _matches(col, k)) for k, gate in gates(col, kinds).items()}
+    )
+
+
+def _rows_of(df: DataFrame, keys: Sequence[str], spans: str) -> DataFrame:
+    """The spans as rows. From a projection's column a filter on its size would be inferred, which
+    is pushed below the scans and repeats them."""
+    return computed(df, **{spans: F.col(spans)}).select(*keys, F.inline(spans))
 
 
 @lru_cache
@@ -190,7 +237,8 @@ def detect(
 ) -> DataFrame:
     """Add the span array. With ``strip`` the text column becomes the stripped text, which is
     what the offsets refer to."""
-    return computed(prepared(df, text, strip), **{out: text_spans(text, tuple(types))})
+    found = with_spans(prepared(df, text, strip), text, types, "_found", marks=not strip)
+    return computed(found, **{out: F.col("_found")}).drop("_found")
 
 
 def detect_spans(
@@ -201,7 +249,8 @@ def detect_spans(
     strip: bool = True,
 ) -> DataFrame:
     """Span table ``keys, type, value, start, end``, one row per match."""
-    return prepared(df, text, strip).select(*keys, F.inline(text_spans(text, tuple(types))))
+    found = with_spans(prepared(df, text, strip), text, types, "_found", marks=not strip)
+    return _rows_of(found, keys, "_found")
 
 
 def detect_spans_cut(
@@ -221,7 +270,11 @@ def detect_spans_cut(
     """
     work = prepared(df, text, strip).select(*keys, F.col(text).alias("_text"))
     is_long = F.length("_text") > size
-    short = work.filter(~is_long).select(*keys, F.inline(text_spans("_text", tuple(types))))
+
+    def spans_in(part: DataFrame, keys: list[str]) -> DataFrame:
+        return _rows_of(with_spans(part, "_text", types, "_found", marks=not strip), keys, "_found")
+
+    short = spans_in(work.filter(~is_long), [*keys])
     cuts = F.regexp_extract_all(
         F.col("_text"), F.lit(rf"(?s).{{{size}}}.*?{CUT_AFTER}|(?s).+"), F.lit(0)
     )
@@ -236,7 +289,7 @@ def detect_spans_cut(
 
     pieces = work.filter(is_long).select(*keys, F.inline(let(cuts, placed)))
     spread = pieces.repartition(*keys, "_at")
-    found = spread.select(*keys, "_at", F.inline(text_spans("_text", tuple(types))))
+    found = spans_in(spread, [*keys, "_at"])
     return short.unionByName(
         found.select(
             *keys,
@@ -256,9 +309,10 @@ def candidate_spans(
     strip: bool = True,
 ) -> DataFrame:
     """Span table before the card and address checks."""
-    return prepared(df, text, strip).select(
-        *keys, F.inline(text_spans(text, tuple(types), checked=False))
+    found = with_spans(
+        prepared(df, text, strip), text, types, "_found", checked=False, marks=not strip
     )
+    return _rows_of(found, keys, "_found")
 
 
 def valid_cards(spans: DataFrame, value: str = "value") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from veilspan.functions.arrays import blocks, let, piece, ranks, running
 from veilspan.functions.patterns import TYPES
 from veilspan.functions.tokens import as_session, entity_of, label_of, token_of
-from veilspan.operators.detect import no_spans, prepared, text_spans
+from veilspan.operators.detect import no_spans, prepared, with_spans
 from veilspan.operators.spans import covered, merged, sorted_spans
 from veilspan.operators.tables import computed
 
@@ -120,7 +120,7 @@ def redactable(
     """Stripped text plus the spans to be replaced, in the order the mapping uses."""
     if overlap not in ("cover", "splice"):
         raise ValueError(f"overlap must be 'cover' or 'splice', not {overlap!r}")
-    work = prepared(df, text, strip).withColumn(spans, text_spans(text, tuple(types)))
+    work = with_spans(prepared(df, text, strip), text, types, spans, marks=not strip)
     if extra is not None:
         work = work.withColumn(spans, _merged(spans, extra))
     return computed(work, **{spans: _covered(text, spans) if overlap == "cover" else F.col(spans)})
@@ -219,16 +219,15 @@ def _mapping_entries(spans: str, by_start: bool) -> Column:
     )
 
     def first_of_each(ordered: Column) -> Column:
-        labels = F.array_distinct(F.transform(ordered, lambda k: k["label"]))
-        return F.transform(
-            labels,
-            lambda label: F.struct(
-                label.alias("label"),
-                F.get(F.filter(ordered, lambda k: k["label"] == label), F.lit(0))["value"].alias(
-                    "value"
-                ),
+        firsts = let(
+            F.transform(ordered, lambda k: k["label"]),
+            lambda labels: F.filter(
+                ordered, lambda k, i: F.array_position(labels, k["label"]) == i + 1
             ),
         )
+        return F.transform(
+            firsts, lambda k: F.struct(k["label"].alias("label"), k["value"].alias("value"))
+        )
 
     return let(keyed, first_of_each)
 

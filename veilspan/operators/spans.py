@@ -20,14 +20,15 @@ def overlaps(a: Column, b: Column) -> Column:
 
 
 def sorted_spans(spans: Column, descending: bool = False) -> Column:
-    """Stable order by start."""
-    keyed = F.transform(
+    """Stable order by start. Start and place are one number, which sorts faster than a struct."""
+    start = F.transform(spans, lambda s: (-s["start"] if descending else s["start"]).cast("bigint"))
+    keys = F.sort_array(F.transform(start, lambda at, i: at * F.lit(1 << 32) + i))
+    return let(
         spans,
-        lambda s, i: F.struct(
-            (-s["start"] if descending else s["start"]).alias("at"), i.alias("ord"), s.alias("span")
+        lambda spans: F.transform(
+            keys, lambda k: F.get(spans, k.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
         ),
     )
-    return F.transform(F.sort_array(keyed), lambda k: k["span"])
 
 
 def _reach(spans: Column) -> Column:
@@ -97,7 +98,16 @@ def overlapping_pairs(spans: Column) -> Column:
             )
         )
 
-    return let(_by_place(spans), lambda o: let(_stops(o), lambda stops: paired(o, stops)))
+    def pairs(ordered: Column) -> Column:
+        # Each clear of the one before it: then clear of all before it.
+        meet = F.exists(
+            F.transform(ordered, lambda s, i: s["start"] < F.get(ordered, i - 1)["end"]),
+            lambda meets: F.coalesce(meets, F.lit(False)),
+        )
+        found = let(_stops(ordered), lambda stops: paired(ordered, stops))
+        return F.when(meet, found).otherwise(F.slice(found, F.lit(1), F.lit(0)))
+
+    return let(_by_place(spans), pairs)
 
 
 def overlapped(spans: Column) -> Column:

@@ -7,8 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions.patterns import TYPES
-from veilspan.operators.detect import gated, match_values, prepared, text_counts
+from veilspan.functions.patterns import TYPES, VALIDATED
+from veilspan.operators.detect import (
+    checked_values,
+    prepared,
+    scan_columns,
+    text_counts,
+    with_matches,
+)
+from veilspan.operators.tables import computed
 
 
 def pii_summary(
@@ -40,19 +47,27 @@ def pii_report(
     and spreads it over its values; the second step only adds up.
     """
     hit = "array<struct<type:string,value:string,first:boolean>>"
-    col = F.col(text)
-
-    def one(kind: str):
-        return F.transform(
-            match_values(col, kind),
-            lambda v, i: F.struct(
-                F.lit(kind).alias("type"), v.alias("value"), (i == 0).alias("first")
-            ),
+    nothing = F.array().cast(hit)
+
+    def entry(kind: str, value, first):
+        return F.struct(F.lit(kind).alias("type"), value.alias("value"), first.alias("first"))
+
+    def of(kind: str, name: str):
+        found = F.col(name)
+        kept = checked_values(found, kind)
+        several = F.transform(kept, lambda v, i: entry(kind, v, i == 0)).cast(hit)
+        if kind in VALIDATED:
+            return F.when(F.size(found) > 0, several).otherwise(nothing)
+        one = F.array(entry(kind, F.get(found, F.lit(0)), F.lit(True))).cast(hit)
+        return (
+            F.when(F.size(found) == 1, one).when(F.size(found) > 1, several).otherwise(nothing)
         )
 
-    hits = prepared(df, text, strip).select(
-        *by, F.inline(gated(col, types, one, F.array().cast(hit)))
-    )
+    # As in with_spans: the scans are compiled, and a lambda is left out where one value was found.
+    found = with_matches(prepared(df, text, strip), text, types)
+    parts = [of(kind, name) for kind, name in scan_columns(types).items()]
+    every = F.concat(*parts) if parts else nothing
+    hits = computed(found, _hits=every).select(*by, F.inline("_hits"))
     values = hits.groupBy(*by, "type", "value").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("first").alias("texts")
     )

@@ -15,12 +15,14 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     """Add or replace columns that are costly to compute.
 
     They pass through a generator. A filter on an ordinary computed column is pushed below it
-    and computes it a second time there.
+    and computes it a second time there. They are computed before it: Spark compiles a projection,
+    but interprets a generator's expressions if one of them holds a lambda.
     """
     kept = [c for c in df.columns if c not in columns]
     values = F.struct(*[column.alias(name) for name, column in columns.items()])
     order = df.columns + [name for name in columns if name not in df.columns]
-    return df.select(*kept, F.inline(F.array(values))).select(*order)
+    work = df.select(*kept, values.alias("_computed"))
+    return work.select(*kept, F.inline(F.array("_computed"))).select(*order)
 
 
 def work_folder(spark: SparkSession) -> str:
