@@ -122,3 +122,23 @@ def test_top_sentences_of_each_group():
     for g in range(9):
         own = np.sort(logits[group == g])[::-1][: toxicity.TOP]
         assert sorted(logits[taken & (group == g)], reverse=True) == list(own)
+
+
+def test_a_worker_scores_few_texts_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from veilspan.llm.toxicity import BITS, Model, _portions
+
+    weights = np.zeros(1 << BITS)
+    texts = [f"some plain words {i} . " * 30 for i in range(2_000)]
+    portions = list(_portions(iter([pd.Series(texts), pd.Series([], dtype=object), pd.Series(["é"])])))
+    assert [t.decode() for p in portions for t in p] == [*texts, "é"]
+    assert max(map(len, portions)) <= 512
+    tracemalloc.start()
+    scores, parts = Model(weights, -3.0).scores(portions[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(scores) == len(parts) == 512 and peak < 32_000_000

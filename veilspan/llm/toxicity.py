@@ -27,6 +27,9 @@ MAX_LABELLED = 6_000
 #: A word takes part in the fit if so many of these documents hold it.
 MIN_DOCS = 4
 THRESHOLD = 0.3
+#: Rows, and bytes of texts, that a worker scores at a time. A byte needs about 50 bytes of working arrays,
+#: and a worker keeps what it once took from the system.
+ROWS, BYTES = 512, 1 << 18
 #: Sentences of a document that the noisy-or takes, the most probable ones. All are scored.
 TOP = 16
 
@@ -78,7 +81,7 @@ class Model:
     def scores(self, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Of each text its score, and its sentences: their probabilities and first bytes."""
         out, parts = np.zeros(len(texts)), []
-        for a, b in slices(texts):
+        for a, b in slices(texts, BYTES):
             words = Words(texts[a:b], _WORD)
             logits, starts = self.sentence_logits(words)
             first = np.searchsorted(starts, words.offset)
@@ -97,7 +100,7 @@ class Model:
 def bag(texts: list[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
     """Of each text how many sentences it has, and of each word its sentence and its bucket, as
     32-bit integers."""
-    for a, b in slices(texts):
+    for a, b in slices(texts, BYTES):
         words = Words(texts[a:b], _WORD)
         sentence, starts = _sentences(words)
         first = np.searchsorted(starts, words.offset)
@@ -250,6 +253,13 @@ def train(
     return fit_bags(made, np.array([labelled[r["id_"]] > 0 for r in got], dtype=bool))
 
 
+def _portions(batches: Iterator[pd.Series]) -> Iterator[list[bytes]]:
+    """The texts of the batches in order, at most ``ROWS`` of one batch at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield [t.encode() for t in batch.iloc[at : at + ROWS]]
+
+
 def score(
     docs: DataFrame,
     model: Model,
@@ -277,8 +287,7 @@ def score(
         weights = np.zeros(1 << BITS)
         weights[buckets] = values
         own = Model(weights, bias)
-        for batch in batches:
-            texts = [t.encode() for t in batch]
+        for texts in _portions(batches):
             scores, parts = own.scores(texts)
             spans = []
             for text, (p, starts) in zip(texts, parts, strict=True):
