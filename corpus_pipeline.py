@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
 
 Every stage but the last takes and returns the columns of documents. ``n_chars`` follows the text
-where a stage changes it.
+where a stage changes it. Stages with Python workers give them their rows in small batches, because
+the workers of all stages are the same ones and keep the memory of the largest batch.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm import jaccard, lines, packing, pii, toxicity
-from veilspan.llm.common import cut_lineage, table
+from veilspan.llm.common import cut_lineage, small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below the threshold, unchanged."""
+    small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).filter("toxic_flag = 0").select(*docs.columns)
 
@@ -30,6 +32,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that with the smallest id; rows without an id
     stay."""
+    small_batches(spark)
     found = jaccard.near_duplicates(docs, width=5, percent=80)
     copies = found.filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
@@ -37,6 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with the kind in place of each span of personal data."""
+    small_batches(spark)
     found = pii.detect(docs)
     masked = F.col("pii.masked_text")
     return _with_length(found, docs.columns, ~masked.eqNullSafe(F.col("text")), masked)
@@ -44,6 +48,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the tokenised documents with their place in the packed sequences."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 

@@ -72,3 +72,20 @@ def test_all_stages_over_a_table_and_an_empty_one(spark, sf_dir, tmp_path):
     docs_of(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["jaccard_join", "pii", "packing"])
+def test_python_workers_get_few_texts_at_once(spark, name):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 10_000)
+    try:
+        stage(name)(spark, docs_of(spark, ROWS[:4]), "")
+        rows = spark.range(2_000, numPartitions=1)
+        sizes = rows.mapInPandas(lambda batches: (b.iloc[:1].assign(id=len(b)) for b in batches), "id long").collect()
+        assert sum(r.id for r in sizes) == 2_000 and max(r.id for r in sizes) <= common.ROWS
+        spark.conf.set(key, 100)
+        common.small_batches(spark)
+        assert spark.conf.get(key) == "100"
+    finally:
+        spark.conf.set(key, before)

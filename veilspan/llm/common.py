@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilspan.operators.tables import cut_lineage, discard, new_path
 
-__all__ = ["cut_lineage", "discard", "new_path", "table", "ship", "slices", "Words", "mix"]
+__all__ = ["cut_lineage", "discard", "new_path", "table", "ship", "small_batches", "slices", "Words", "mix"]
 
 _PACKAGE = Path(__file__).resolve().parents[1]
 _shipped: set[str] = set()
+_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Whole texts that a Python worker holds at once, some times over. Spark's 10,000 are a whole task.
+ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +39,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def small_batches(spark: SparkSession, rows: int = ROWS) -> None:
+    """From now on the session's Python workers get at most ``rows`` rows at once. Nothing else
+    changes; a smaller setting stays."""
+    now = int(spark.conf.get(_PER_BATCH))
+    if not 0 < now <= rows:
+        spark.conf.set(_PER_BATCH, rows)
+
+
 def slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes each, so that numpy's working arrays stay small."""
     start = size = 0
