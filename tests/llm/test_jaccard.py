@@ -125,3 +125,31 @@ def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (20, 5), (5, 6), (6, 4), (30, 31)]
     found = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r.id: r.label for r in found} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 4: 4, 5: 4, 6: 4, 20: 4, 30: 30, 31: 30}
+
+
+def test_only_texts_that_may_be_wanted_are_sent_to_a_join(spark, monkeypatch):
+    plans = []
+    cut = jaccard.cut_lineage
+
+    def seen(df):
+        if df.columns == ["id_", "text_"]:
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(jaccard, "cut_lineage", seen)
+    base = " ".join(f"w{k}" for k in range(80))
+    rows = [(i, " ".join(f"t{i}x{k}" for k in range(30))) for i in range(300)]
+    rows += [(1000, base), (1001, base + " more"), (None, base + " again"), (1001, base + " more"), (1002, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard.near_duplicates(docs, 4, 85).filter("doc_id >= 1000").distinct()
+    assert {(r.doc_id, r.component_id) for r in found.collect()} == {(1000, 1000), (1001, 1000), (1002, 1002)}
+    assert plans and all("rightHint=(strategy=broadcast)" in p and "bit" in p for p in plans)
+
+
+def test_texts_of_ids(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(500)] + [(None, "none"), (7, "again")], "id_ long, text_ string")
+    ids = spark.createDataFrame([(7,), (7,), (499,), (-1,)], "id_ long")
+    for slots in (64, 1 << 24):
+        monkeypatch.setattr(jaccard, "SLOTS", slots)
+        got = jaccard._texts_of(docs, ids)
+        assert sorted(map(tuple, got.collect())) == [(7, "again"), (7, "text 7"), (499, "text 499")]

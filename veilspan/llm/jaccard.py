@@ -34,6 +34,8 @@ from veilspan.llm.components import components
 FREQUENT, MOST = 48, 1 << 18
 #: Members of a leader that are verified together, and nodes of a block.
 BLOCK = 256
+#: Bits by which texts are chosen before they are sent; their broadcast is at most 2^18 words.
+SLOTS = 1 << 24
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -211,10 +213,27 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return cut_lineage(together.mapInPandas(keep, "a long, b long").distinct())
 
 
+def _texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows that have one of the ids (id_), written.
+
+    Ids are too many to broadcast, and a join would send all texts for the few that are wanted: so
+    a bit for each id's hash is broadcast first, and only rows whose bit is set go to the join.
+    """
+    ids = cut_lineage(ids.distinct())
+    slot = F.pmod(F.xxhash64("id_"), F.lit(SLOTS)).alias("slot")
+    word, bit = F.expr("shiftright(slot, 6)"), F.expr("shiftleft(1L, CAST(slot & 63L AS INT))")
+    words = ids.select(slot).groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    hashed = rows.select("*", slot).withColumn("word", word).withColumn("bit", bit)
+    fits = (F.col("h.word") == F.col("w.word")) & (F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    few = hashed.alias("h").join(F.broadcast(words.alias("w")), fits, "left_semi")
+    texts = cut_lineage(few.select(*rows.columns).join(ids, "id_", "left_semi"))
+    discard(ids)
+    return texts
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id_")).union(pairs.select("b")).distinct()
-    texts = cut_lineage(rows.join(ids, "id_", "left_semi"))
+    texts = _texts_of(rows, pairs.select(F.col("a").alias("id_")).union(pairs.select("b")))
     block = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("block")
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     sizes = cut_lineage(sizes)
@@ -335,7 +354,7 @@ def _joined_blocks(
 
     schema = "x long, y long, side int, node long, label long"
     left = cut_lineage(dealt(sides.join(samples, "block")).mapInPandas(rule_out, schema))
-    texts = cut_lineage(rows.join(left.select(F.col("node").alias("id_")).distinct(), "id_", "left_semi"))
+    texts = _texts_of(rows, left.select(F.col("node").alias("id_")))
     together = left.join(texts.withColumnRenamed("id_", "node"), "node")
     links = dealt(together).mapInPandas(compare, "a long, b long")
     links = cut_lineage(links.distinct())
