@@ -13,10 +13,10 @@ from veilspan.functions.patterns import NER_ENABLED
 from veilspan.functions.tokens import entity_of, label_of
 from veilspan.operators.detect import no_spans
 from veilspan.operators.entities import TOKENS, entities_of, entity_spans, ner_type, tag_entities
-from veilspan.operators.scrub import found_spans
+from veilspan.operators.scrub import found_entries, found_spans
 from veilspan.operators.spans import merge_span_tables
 from veilspan.operators.summary import summarize_spans
-from veilspan.operators.tables import cut_lineage, new_path
+from veilspan.operators.tables import DENSE, cut_lineage, discard, new_path
 from veilspan.operators.vault import vault_entries
 from veilspan.sources.texts import stream_texts
 from veilspan.streaming.streams import scrub_token_stream
@@ -256,20 +256,25 @@ def _scrubbed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     the texts come from one table of spans."""
     texts = corpus(spark, sf)
     found = found_spans(texts)
-    vault = v.build_vault(vault_entries(texts, found=found), SECRET)
-    scrubbed = v.scrub_tokens(texts, secret=SECRET, vault=vault, found=found)
-    return cut_lineage(scrubbed), vault
+    entries = found_entries(found)
+    vault = v.build_vault(entries, SECRET)
+    scrubbed = v.scrub_tokens(texts, secret=SECRET, vault=vault, found=found, entries=entries)
+    written = cut_lineage(scrubbed, DENSE)
+    discard(found, entries)
+    return written, vault
 
 
 def _scrubbed_with_repairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The same after an earlier vault took every plain hash for another value."""
     texts = corpus(spark, sf)
     found = found_spans(texts)
-    entries = vault_entries(texts, found=found)
+    entries = found_entries(found)
     earlier = v.build_vault(entries, SECRET).withColumn("value", F.concat("value", F.lit("?")))
-    earlier = cut_lineage(earlier)
     vault = earlier.unionByName(v.build_vault(entries, SECRET, earlier))
-    return cut_lineage(v.scrub_tokens(texts, secret=SECRET, vault=vault, found=found)), vault
+    scrubbed = v.scrub_tokens(texts, secret=SECRET, vault=vault, found=found, entries=entries)
+    written = cut_lineage(scrubbed, DENSE)
+    discard(found, entries)
+    return written, vault
 
 
 def scrub_tokens_repaired(spark: SparkSession, sf: str) -> DataFrame:

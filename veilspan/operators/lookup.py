@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.operators.tables import cut_lineage
+from veilspan.operators.tables import DENSE, cut_lineage, discard
 
 # Rows of one key that a single task may join; hotter keys are split over several tasks.
 HOT_ROWS = 1_000_000
+#: Bits by which rows are chosen before they are sent.
+SLOTS = 1 << 24
 
 
 def hot_keys(counted: DataFrame, on: list[str], rows: str, hot_rows: int) -> DataFrame:
@@ -45,16 +47,6 @@ def join_unique(
     return dealt.join(copied, [*on, "_salt"], how).drop("_salt")
 
 
-def _row_hash(df: DataFrame) -> Column:
-    """From the row's content, not its position: a retried task must salt it the same way."""
-    names = [
-        f.name
-        for f in df.schema.fields
-        if "map<" not in f.dataType.simpleString() and f.dataType.typeName() != "variant"
-    ]
-    return F.hash(*names)
-
-
 def attach_values(
     df: DataFrame,
     keys: Column,
@@ -62,61 +54,77 @@ def attach_values(
     session: str,
     out: str,
     hot_rows: int = HOT_ROWS,
+    row: str = "_row",
 ) -> DataFrame:
     """Add ``out``, the values of ``keys`` (an array of strings) in the same order.
 
     ``table`` has the columns ``session, key, value``; a key that is missing from it, or that
-    has more than one value there, yields null. Rows with an empty list should not be passed in,
-    they would all meet in one task for nothing. Keys must not hold the character U+001F.
-
-    Rows with equal key lists share one lookup, so copies of a text collapse before the first
-    shuffle. The distinct lists are written once and everything but the last join works on
-    them. A hot key (in more than ``hot_rows`` lists) or hot list (held by more than ``hot_rows``
-    rows) is split by a salt. Only the names of the hot ones travel by broadcast, and of them
-    there are at most (rows / hot_rows).
+    has more than one value there, yields null, and ``out`` may end before nulls. ``df`` is a
+    written table with a number of its own in each ``row``.
+
+    Rows whose number's bit is not set in a broadcast bitmap hold no key of the table and stay
+    where they are; only the others are sent to their values.
+    """
+    number = F.col(row).alias("_row")
+    uses = df.select(number, F.col(session).alias("session"), F.posexplode(keys).alias("pos", "key"))
+    values = values_by_row(uses, table, out, hot_rows).withColumnRenamed("_row", row)
+    marked = with_bit(df, values, row)
+    here = marked.filter("_bit").join(values, row, "left")
+    there = marked.filter("NOT _bit").withColumn(out, F.lit(None).cast(values.schema[out].dataType))
+    return here.unionByName(there).select(*df.columns, out)
+
+
+def values_by_row(uses: DataFrame, table: DataFrame, out: str, hot_rows: int) -> DataFrame:
+    """``_row, out`` of the rows that use a key of the table, written once.
+
+    ``uses`` has the columns ``_row, session, pos, key`` and is read twice. Each distinct key meets
+    the table once; the values then go to the uses, and to the rows. Numbers are sent, not texts,
+    and the shuffles go as each table is written. A key with more than ``hot_rows`` uses is split by
+    a salt. Only the names of those keys travel by broadcast, and of them there are at most
+    (uses / hot_rows).
     """
-    rows = df.withColumn("_list", F.unhex(F.sha2(F.array_join(keys, "\x1f"), 256)))
-    lists = cut_lineage(
-        rows.select(F.col(session).alias("session"), "_list", keys.alias("keys"))
-        .groupBy("session", "_list", "keys")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
-    size = lists.agg(F.sum(F.size("keys")).alias("uses"), F.max("rows").alias("most")).first()
-    uses = lists.select("session", "_list", F.posexplode("keys").alias("pos", "key"))
-
-    hot = None
-    if (size["uses"] or 0) > hot_rows:
-        per_key = uses.groupBy("session", "key").agg(F.count(F.lit(1)).alias("lists"))
-        hot = hot_keys(per_key, ["session", "key"], "lists", hot_rows)
-    values = _values_of_lists(uses, table, out, hot).withColumnRenamed("session", session)
-
-    hot = None
-    if (size["most"] or 0) > hot_rows:
-        held = lists.withColumnRenamed("session", session)
-        hot = hot_keys(held, [session, "_list"], "rows", hot_rows)
-    columns = [*df.columns, out]
-    return join_unique(
-        rows, values, [session, "_list"], "left", hot, _row_hash(df)
-    ).select(*columns)
-
-
-def _values_of_lists(
-    uses: DataFrame, table: DataFrame, out: str, hot: DataFrame | None
-) -> DataFrame:
-    """``session, _list, out``. Each distinct key meets the table once; the values then go to the
-    lists that hold the key."""
     on = ["session", "key"]
+    distinct = cut_lineage(uses.groupBy(*on).agg(F.count(F.lit(1)).alias("uses")), DENSE)
+    most = distinct.agg(F.max("uses")).first()[0] or 0
+    hot = hot_keys(distinct, on, "uses", hot_rows) if most > hot_rows else None
     found = (
         table.select(*on, "value")
-        .join(uses.select(*on).distinct(), on, "left_semi")
+        .join(distinct.select(*on), on, "left_semi")
         .groupBy(*on)
         .agg(F.min("value").alias("value"), F.max("value").alias("other"))
         .filter(F.col("value") == F.col("other"))
         .drop("other")
     )
-    return (
-        join_unique(uses, found, on, "left", hot, F.hash("_list", "pos"))
-        .groupBy("session", "_list")
+    # Positions without a value are no rows here; they are filled up again.
+    gaps = F.transform(
+        "pairs",
+        lambda p, i: F.concat(
+            F.array_repeat(
+                F.lit(None).cast("string"),
+                p["pos"] - F.coalesce(F.get("pairs", i - 1)["pos"], F.lit(-1)) - 1,
+            ),
+            F.array(p["value"]),
+        ),
+    )
+    values = cut_lineage(
+        join_unique(uses, found, on, "inner", hot, F.hash("_row", "pos"))
+        .groupBy("_row")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("pairs"))
-        .select("session", "_list", F.transform("pairs", lambda p: p["value"]).alias(out))
+        .select("_row", F.flatten(gaps).alias(out)),
+        DENSE,
     )
+    discard(distinct)
+    return values
+
+
+def with_bit(df: DataFrame, rows: DataFrame, row: str) -> DataFrame:
+    """Add ``_bit``, false only in rows whose number is not among those of ``rows``.
+
+    By one bit for each number's hash; the broadcast is at most 2^18 words."""
+    slot = F.pmod(F.xxhash64(row), F.lit(SLOTS))
+    word = F.shiftright(slot, 6).cast("int").alias("_bit_word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    words = rows.select(word, bit.alias("_one")).groupBy("_bit_word").agg(F.bit_or("_one").alias("_bits"))
+    is_set = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    marked = df.withColumn("_bit_word", word).join(F.broadcast(words), "_bit_word", "left")
+    return marked.select(*df.columns, is_set.alias("_bit"))

@@ -13,7 +13,7 @@ from veilspan.functions.text import stripped
 from veilspan.functions.tokens import as_session
 from veilspan.operators.detect import place, split_around
 from veilspan.operators.lookup import HOT_ROWS, attach_values, hot_keys, join_unique
-from veilspan.operators.tables import computed, cut_lineage
+from veilspan.operators.tables import DENSE, computed, cut_lineage
 
 
 def token_test(text: Column) -> Column:
@@ -55,14 +55,26 @@ def restore_tokens(
     """Replace each token the vault knows by its value; other tokens stay, and so do tokens
     with several values. Restored values are not scanned again.
 
-    Texts without tokens pass through where they are; only the others meet the vault.
+    Texts without tokens pass through where they are; the others are written once, with a number.
+    Their tokens meet the vault, and the texts the values.
     """
     col = F.col(text)
     columns = df.columns
     plain = df.filter(~token_test(col))
-    hits = has_tokens(df, text).withColumn("_session", as_session(session))
+    row = "_row"
+    while row in columns:
+        row = f"_{row}"
+    # Files hold no void columns; those are null in every row.
+    void = {name: F.lit(None) for name, kind in df.dtypes if kind == "void"}
+    hits = cut_lineage(
+        has_tokens(df, text)
+        .withColumns({"_session": as_session(session), row: F.monotonically_increasing_id()})
+        .drop(*void),
+        DENSE,
+    )
     table = vault.select("session", F.col("token").alias("key"), "value")
-    valued = attach_values(hits, _tokens(col), table, "_session", "_values", hot_rows)
+    valued = attach_values(hits, _tokens(col), table, "_session", "_values", hot_rows, row)
+    valued = valued.withColumns(void) if void else valued
 
     # Odd parts are the tokens, in the order of their values.
     values = F.col("_values")

@@ -12,12 +12,14 @@ from veilspan.functions.patterns import TYPES
 from veilspan.functions.tokens import as_session, entity_of, token_of
 from veilspan.operators.lookup import HOT_ROWS, attach_values
 from veilspan.operators.redact import _hashed, _spliced, redactable
-from veilspan.operators.tables import computed, cut_lineage
+from veilspan.operators.tables import DENSE, computed, cut_lineage, discard
 from veilspan.operators.vault import VALUE_KEY, vault_entries
 
 _WORK = ("_spans", "_session", "_row")
 #: Up to so many values the vault is filtered by them before it is shuffled.
 FEW = 100_000
+#: Values of up to so many bytes are sent as they are, longer ones as a hash.
+SHORT = 48
 
 
 class IncompleteVault(ValueError):
@@ -25,7 +27,9 @@ class IncompleteVault(ValueError):
 
 
 def _key(entity: Column, value: Column) -> Column:
-    return F.sha2(F.concat_ws("|", entity, value), 256)
+    """Entity and value; a hash of 64 bytes stands for a longer value, which no shorter one equals."""
+    short = F.octet_length(value) <= SHORT
+    return F.concat_ws("|", entity, F.when(short, value).otherwise(F.sha2(value, 256)))
 
 
 def found_spans(
@@ -48,13 +52,13 @@ def found_spans(
     some = F.coalesce(F.size("_spans"), F.lit(0)) > 0
     who = F.when(some, as_session(session))
     return cut_lineage(
-        work.withColumns({"_session": who, "_row": F.monotonically_increasing_id()})
+        work.withColumns({"_session": who, "_row": F.monotonically_increasing_id()}), DENSE
     )
 
 
 def found_entries(found: DataFrame) -> DataFrame:
     """Distinct ``session, entity, value`` of a ``found_spans`` table, written once."""
-    return cut_lineage(vault_entries(found, found=found))
+    return cut_lineage(vault_entries(found, found=found), DENSE)
 
 
 def scrub_tokens(
@@ -69,6 +73,7 @@ def scrub_tokens(
     strip: bool = True,
     hot_rows: int = HOT_ROWS,
     found: DataFrame | None = None,
+    entries: DataFrame | None = None,
 ) -> DataFrame:
     """Replace every span by its token.
 
@@ -77,7 +82,8 @@ def scrub_tokens(
     its hash may be the token of somebody else's value. So does a value with two tokens. The
     texts are written once with their spans, the spans' distinct values meet the vault, and only
     tokens that are not the plain hash are joined back. No value and no token enters a plan.
-    ``found`` is the ``found_spans`` table of ``df``, if the vault was made from one already.
+    ``found`` is the ``found_spans`` table of ``df``, if the vault was made from one already, and
+    ``entries`` its ``found_entries``.
 
     Without a vault the tokens are plain hashes. They keep equal values equal, but nothing can
     be restored from them safely: values whose hashes collide share a token.
@@ -89,9 +95,16 @@ def scrub_tokens(
         make = _hashed if isinstance(session, str) else _hashed.__wrapped__
         done = make(text, "_spans", overlap, session, secret)
         return computed(work, **{text: done}).drop("_spans")
+    if entries is not None and found is None:
+        raise ValueError("entries belong to a table of found spans")
     if found is None:
         found = found_spans(df, session, text, types, extra, overlap, strip)
-    return scrub_found(found, found_entries(found), vault, secret, text, overlap, hot_rows)
+    if entries is not None:
+        return scrub_found(found, entries, vault, secret, text, overlap, hot_rows)
+    entries = found_entries(found)
+    done = scrub_found(found, entries, vault, secret, text, overlap, hot_rows)
+    discard(entries)
+    return done
 
 
 def scrub_found(
@@ -122,7 +135,8 @@ def scrub_found(
             F.col("token").alias("value"),
             lacking.alias("lacking"),
             twice.alias("twice"),
-        )
+        ),
+        DENSE,
     )
     said = odd.agg(
         F.count_if("lacking").alias("lacking"), F.count_if("twice").alias("twice"), F.count("*").alias("all")
@@ -131,26 +145,20 @@ def scrub_found(
         raise IncompleteVault("the vault lacks values of the texts; add them before scrubbing")
     if said["twice"]:
         raise IncompleteVault("the vault has two tokens for a value of the texts")
-    hashed = _hashed.__wrapped__(text, "_spans", overlap, F.col("_session"), secret)
     if not said["all"]:
+        discard(odd)
+        hashed = _hashed.__wrapped__(text, "_spans", overlap, F.col("_session"), secret)
         return computed(found, **{text: hashed}).drop(*_WORK)
 
-    # Only texts that hold a value with another token than its hash meet those tokens.
+    # Texts without spans stay where they are; only those that hold a value with another token than
+    # its hash meet those tokens.
     spans = F.col("_spans")
-    repaired = odd.select("session", "key", "value")
-    uses = found.select("_row", F.col("_session").alias("session"), F.inline("_spans"))
-    key = _key(entity_of(F.col("type")), F.col("value"))
-    rows = cut_lineage(
-        uses.select("_row", "session", key.alias("key"))
-        .join(repaired, ["session", "key"], "left_semi")
-        .select("_row")
-        .distinct()
-    )
-    plain_rows = computed(found.join(rows, "_row", "left_anti"), **{text: hashed})
+    some = F.coalesce(F.size(spans), F.lit(0)) > 0
     keyed = F.transform(spans, lambda s: _key(entity_of(s["type"]), s["value"]))
     with_tokens = attach_values(
-        found.join(rows, "_row", "left_semi"), keyed, repaired, "_session", "_tokens", hot_rows
+        found.filter(some), keyed, odd.select("session", "key", "value"), "_session", "_tokens", hot_rows
     )
+    discard(odd)
     numbered = F.transform(
         spans,
         lambda s, i: F.struct(
@@ -166,4 +174,4 @@ def scrub_found(
     )
     replaced = let(numbered, lambda n: _spliced(F.col(text), n, lambda s: s["token"], overlap))
     done = computed(with_tokens, **{text: replaced}).drop("_tokens")
-    return plain_rows.unionByName(done).drop(*_WORK)
+    return found.filter(~some).unionByName(done).drop(*_WORK)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables of texts, values and tokens take two thirds of the disk that they take by default.
+DENSE = "zstd"
 
 
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
@@ -41,18 +43,19 @@ def new_path(spark: SparkSession, name: str = "table") -> str:
     return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write the rows once and go on from there, so that a lost executor costs a re-read.
 
     Unlike a cached frame the files survive executors, and they give later joins a known size.
     Nothing reads the shuffles behind the written table again; they go when it is there.
+    ``codec`` is the compression of the files, the session's by default.
     """
     spark = df.sparkSession
     path = new_path(spark)
     before = spark.conf.get(_FREE_SHUFFLES, None)
     spark.conf.set(_FREE_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(_FREE_SHUFFLES)

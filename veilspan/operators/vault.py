@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from veilspan.functions.patterns import TYPES
 from veilspan.functions.tokens import as_session, entity_of, token_of
 from veilspan.operators.redact import redactable
-from veilspan.operators.tables import cut_lineage
+from veilspan.operators.tables import DENSE, cut_lineage, discard
 
 VAULT_SCHEMA = (
     "session string, entity string, value string, token string, attempt int, version int"
@@ -74,22 +74,31 @@ def build_vault(
     shrinks with every round while the session's token space is not nearly full.
     """
     fresh = entries.select(*VALUE_KEY).distinct()
+    # Tables that nothing reads any more once the next round is written.
+    spent: list[DataFrame] = []
     if existing is not None:
-        fresh = missing_entries(cut_lineage(fresh), existing)
+        fresh = cut_lineage(fresh, DENSE)
+        spent.append(fresh)
+        fresh = missing_entries(fresh, existing)
     pending = fresh.withColumn("attempt", F.lit(0))
     held = [] if existing is None else [existing.select(*TOKEN_KEY)]
     settled: list[DataFrame] = []
     for _ in range(_MAX_ROUNDS):
-        ranked = cut_lineage(_ranked(pending, held, secret))
+        ranked = cut_lineage(_ranked(pending, held, secret), DENSE)
+        discard(*spent)
+        spent = []
         done = ranked.filter(~F.col("clash")).drop("clash")
-        settled.append(done)
-        held.append(done.select(*TOKEN_KEY))
         clashing = ranked.filter("clash")
         if clashing.isEmpty():
-            result = settled[0]
-            for part in settled[1:]:
+            result = done
+            for part in settled:
                 result = result.unionByName(part)
             return result
+        if done.isEmpty():
+            spent.append(ranked)
+        else:
+            settled.append(done)
+            held.append(done.select(*TOKEN_KEY))
         pending = clashing.select(*VALUE_KEY, (F.col("attempt") + 1).alias("attempt"))
     raise RuntimeError(
         "the token space of a session is full; spread the texts over several sessions"
