@@ -257,7 +257,7 @@ def _scrubbed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     texts = corpus(spark, sf)
     found = found_spans(texts)
     entries = found_entries(found)
-    vault = v.build_vault(entries, SECRET)
+    vault = v.build_vault(entries, SECRET, unique=True)
     scrubbed = v.scrub_tokens(texts, secret=SECRET, vault=vault, found=found, entries=entries)
     written = cut_lineage(scrubbed, DENSE)
     discard(found, entries)
@@ -269,8 +269,9 @@ def _scrubbed_with_repairs(spark: SparkSession, sf: str) -> tuple[DataFrame, Dat
     texts = corpus(spark, sf)
     found = found_spans(texts)
     entries = found_entries(found)
-    earlier = v.build_vault(entries, SECRET).withColumn("value", F.concat("value", F.lit("?")))
-    vault = earlier.unionByName(v.build_vault(entries, SECRET, earlier))
+    earlier = v.build_vault(entries, SECRET, unique=True)
+    earlier = earlier.withColumn("value", F.concat("value", F.lit("?")))
+    vault = earlier.unionByName(v.build_vault(entries, SECRET, earlier, unique=True))
     scrubbed = v.scrub_tokens(texts, secret=SECRET, vault=vault, found=found, entries=entries)
     written = cut_lineage(scrubbed, DENSE)
     discard(found, entries)

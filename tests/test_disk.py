@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import veilspan as v
 from checks import queries
-from veilspan.operators import tables, vault as vaults
+from veilspan.operators import restore, tables, vault as vaults
 from veilspan.operators.lookup import attach_values
 from veilspan.operators.tables import cut_lineage
 from veilspan.operators.vault import vault_entries
@@ -92,6 +92,23 @@ def test_a_scrub_leaves_its_texts_and_vault_only(spark, fresh_folder, repairs):
     assert vault.count() and scrubbed.count()
 
 
+def test_uses_of_tokens_are_written_before_they_are_dealt(spark, texts, monkeypatch):
+    df = texts(ROWS)
+    vault = v.build_vault(vault_entries(df), "k")
+    scrubbed = cut_lineage(v.scrub_tokens(df, secret="k", vault=vault))
+    first = []
+
+    def seen(table, *args):
+        first.append(sent(table))
+        return cut_lineage(table, *args)
+
+    monkeypatch.setattr(restore, "cut_lineage", seen)
+    left = v.unresolved_tokens(scrubbed.union(scrubbed), vault.filter("entity <> 'email'"), ["id"])
+    assert first[0] == 0, "one pass over the texts, no grouping by their keys"
+    assert sorted({(r.occurrences, r.reason) for r in left.collect()}) == [(2, "unknown")]
+    assert left.count() == 300
+
+
 def test_values_come_in_order_with_gaps_and_long_keys(spark):
     long = "x" * 500
     rows = [(0, "s", ["a", "b", "c", "a"]), (1, "s", ["n", "n"]), (2, "t", ["a"]), (3, "s", ["n", long, "n", "c"])]

@@ -55,6 +55,7 @@ def attach_values(
     out: str,
     hot_rows: int = HOT_ROWS,
     row: str = "_row",
+    sift: bool = False,
 ) -> DataFrame:
     """Add ``out``, the values of ``keys`` (an array of strings) in the same order.
 
@@ -63,12 +64,17 @@ def attach_values(
     written table with a number of its own in each ``row``.
 
     Rows whose number's bit is not set in a broadcast bitmap hold no key of the table and stay
-    where they are; only the others are sent to their values.
+    where they are; only the others are sent to their values. With ``sift``, for a table that holds
+    few of the keys, their uses are chosen by such a bitmap too.
     """
     number = F.col(row).alias("_row")
     uses = df.select(number, F.col(session).alias("session"), F.posexplode(keys).alias("pos", "key"))
+    if sift:
+        uses = cut_lineage(with_bit(uses, table, ["session", "key"]).filter("_bit").drop("_bit"), DENSE)
     values = values_by_row(uses, table, out, hot_rows).withColumnRenamed("_row", row)
-    marked = with_bit(df, values, row)
+    if sift:
+        discard(uses)
+    marked = with_bit(df, values, [row])
     here = marked.filter("_bit").join(values, row, "left")
     there = marked.filter("NOT _bit").withColumn(out, F.lit(None).cast(values.schema[out].dataType))
     return here.unionByName(there).select(*df.columns, out)
@@ -117,11 +123,11 @@ def values_by_row(uses: DataFrame, table: DataFrame, out: str, hot_rows: int) ->
     return values
 
 
-def with_bit(df: DataFrame, rows: DataFrame, row: str) -> DataFrame:
-    """Add ``_bit``, false only in rows whose number is not among those of ``rows``.
+def with_bit(df: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
+    """Add ``_bit``, false only in rows whose columns ``on`` are not among those of ``rows``.
 
-    By one bit for each number's hash; the broadcast is at most 2^18 words."""
-    slot = F.pmod(F.xxhash64(row), F.lit(SLOTS))
+    By one bit for each hash; the broadcast is at most 2^18 words."""
+    slot = F.pmod(F.xxhash64(*on), F.lit(SLOTS))
     word = F.shiftright(slot, 6).cast("int").alias("_bit_word")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))
     words = rows.select(word, bit.alias("_one")).groupBy("_bit_word").agg(F.bit_or("_one").alias("_bits"))

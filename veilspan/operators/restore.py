@@ -13,7 +13,7 @@ from veilspan.functions.text import stripped
 from veilspan.functions.tokens import as_session
 from veilspan.operators.detect import place, split_around
 from veilspan.operators.lookup import HOT_ROWS, attach_values, hot_keys, join_unique
-from veilspan.operators.tables import DENSE, computed, cut_lineage
+from veilspan.operators.tables import DENSE, computed, cut_lineage, discard
 
 
 def token_test(text: Column) -> Column:
@@ -102,7 +102,7 @@ def unresolved_tokens(
 
     ``reason`` is ``unknown``, or ``ambiguous`` for a token with several values. The texts are
     read once; each distinct token meets the vault once, and only the unresolved ones are
-    joined back.
+    joined back and counted.
     """
     on = ["session", "token"]
     rows = has_tokens(df, text).select(
@@ -110,25 +110,30 @@ def unresolved_tokens(
         as_session(session).alias("session"),
         F.explode(_tokens(F.col(text))).alias("token"),
     )
-    counted = cut_lineage(
-        rows.groupBy(*keys, *on).agg(F.count(F.lit(1)).alias("occurrences"))
-    )
-    distinct = counted.groupBy(*on).agg(F.count(F.lit(1)).alias("texts"))
+    uses = cut_lineage(rows, DENSE)
+    distinct = cut_lineage(uses.groupBy(*on).agg(F.count(F.lit(1)).alias("uses")), DENSE)
+    values = vault.select(*on, "value")
     known = (
-        vault.join(distinct, on, "left_semi")
-        .groupBy(*on)
-        .agg((F.min("value") == F.max("value")).alias("unique"))
+        distinct.join(values, on, "left")
+        .groupBy(*on, "uses")
+        .agg(F.min("value").alias("value"), F.max("value").alias("other"))
     )
-    bad = (
-        distinct.join(known, on, "left")
-        .filter(~F.coalesce("unique", F.lit(False)))
-        .select(
-            *on, F.when(F.col("unique").isNull(), "unknown").otherwise("ambiguous").alias("reason")
-        )
+    bad = cut_lineage(
+        known.filter(F.col("value").isNull() | (F.col("value") != F.col("other"))).select(
+            *on,
+            "uses",
+            F.when(F.col("value").isNull(), "unknown").otherwise("ambiguous").alias("reason"),
+        ),
+        DENSE,
     )
-    hot = hot_keys(distinct, on, "texts", hot_rows) if counted.count() > hot_rows else None
-    return join_unique(counted, bad, on, "inner", hot, F.hash(*keys)).select(
-        *keys, *on, "occurrences", "reason"
+    discard(distinct)
+    most = bad.agg(F.max("uses")).first()[0] or 0
+    hot = hot_keys(bad, on, "uses", hot_rows) if most > hot_rows else None
+    left = join_unique(uses, bad.drop("uses"), on, "inner", hot, F.hash(*keys))
+    return (
+        left.groupBy(*keys, *on, "reason")
+        .agg(F.count(F.lit(1)).alias("occurrences"))
+        .select(*keys, *on, "occurrences", "reason")
     )
 
 

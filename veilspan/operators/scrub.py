@@ -18,6 +18,8 @@ from veilspan.operators.vault import VALUE_KEY, vault_entries
 _WORK = ("_spans", "_session", "_row")
 #: Up to so many values the vault is filtered by them before it is shuffled.
 FEW = 100_000
+#: If less than one in so many values has a token that is not its hash, their uses are chosen first.
+SIFT = 4
 #: Values of up to so many bytes are sent as they are, longer ones as a hash.
 SHORT = 48
 
@@ -119,7 +121,8 @@ def scrub_found(
     """``scrub_tokens`` of a ``found_spans`` table, whose ``found_entries`` are ``entries``."""
     # A large vault stays in place when the values are few enough to broadcast.
     near = vault
-    if entries.count() <= FEW:
+    values = entries.count()
+    if values <= FEW:
         near = vault.join(entries, VALUE_KEY, "left_semi")
     known = (
         entries.join(near.select(*VALUE_KEY, "token"), VALUE_KEY, "left")
@@ -156,7 +159,13 @@ def scrub_found(
     some = F.coalesce(F.size(spans), F.lit(0)) > 0
     keyed = F.transform(spans, lambda s: _key(entity_of(s["type"]), s["value"]))
     with_tokens = attach_values(
-        found.filter(some), keyed, odd.select("session", "key", "value"), "_session", "_tokens", hot_rows
+        found.filter(some),
+        keyed,
+        odd.select("session", "key", "value"),
+        "_session",
+        "_tokens",
+        hot_rows,
+        sift=said["all"] < values / SIFT,
     )
     discard(odd)
     numbered = F.transform(

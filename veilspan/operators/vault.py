@@ -66,19 +66,25 @@ def missing_entries(entries: DataFrame, vault: DataFrame) -> DataFrame:
 
 
 def build_vault(
-    entries: DataFrame, secret: str = "", existing: DataFrame | None = None
+    entries: DataFrame,
+    secret: str = "",
+    existing: DataFrame | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Vault rows for the entries that ``existing`` does not hold yet.
 
-    One pass over the entries; further rounds touch only the colliding values, a share that
+    ``unique`` says that ``entries`` is a table without copies (``found_entries``), which need not
+    be looked for again. One pass over the entries; further rounds touch only the colliding values, a share that
     shrinks with every round while the session's token space is not nearly full.
     """
-    fresh = entries.select(*VALUE_KEY).distinct()
+    fresh = entries.select(*VALUE_KEY)
+    fresh = fresh if unique else fresh.distinct()
     # Tables that nothing reads any more once the next round is written.
     spent: list[DataFrame] = []
     if existing is not None:
-        fresh = cut_lineage(fresh, DENSE)
-        spent.append(fresh)
+        if not unique:
+            fresh = cut_lineage(fresh, DENSE)
+            spent.append(fresh)
         fresh = missing_entries(fresh, existing)
     pending = fresh.withColumn("attempt", F.lit(0))
     held = [] if existing is None else [existing.select(*TOKEN_KEY)]
