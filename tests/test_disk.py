@@ -9,6 +9,7 @@ import veilspan as v
 from checks import queries
 from veilspan.operators import restore, tables, vault as vaults
 from veilspan.operators.lookup import attach_values
+from veilspan.operators.restore import round_trip_check
 from veilspan.operators.tables import cut_lineage
 from veilspan.operators.vault import vault_entries
 
@@ -92,6 +93,12 @@ def test_a_scrub_leaves_its_texts_and_vault_only(spark, fresh_folder, repairs):
     assert vault.count() and scrubbed.count()
 
 
+def test_a_round_trip_sends_digests_as_bytes(spark, texts):
+    df = texts(ROWS)
+    plan = round_trip_check(df, df, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "unhex(sha2(" in plan
+
+
 def test_uses_of_tokens_are_written_before_they_are_dealt(spark, texts, monkeypatch):
     df = texts(ROWS)
     vault = v.build_vault(vault_entries(df), "k")

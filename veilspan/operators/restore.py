@@ -153,4 +153,4 @@ def round_trip_check(
 
 
 def _digest(text: Column) -> Column:
-    return F.sha2(text, 256)
+    return F.unhex(F.sha2(text, 256))
